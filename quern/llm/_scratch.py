@@ -7,6 +7,7 @@ temporary folder of this process stand in.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return a reader of what was written."""
         df.write.parquet(self.path(name))
+        gc.collect()  # lets Spark delete shuffle files of plans that nothing refers to any more
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .mixing import mixing_plan
 from .packing import pack_documents
+from .simhash import near_duplicates
+from .substrings import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,8 +29,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"), digest_only=True)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
