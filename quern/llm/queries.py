@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import edited_likeness
+from .hamming import near_duplicate_vectors
+from .langid import LanguageCodes, predict_languages
 from .mixing import mixing_plan
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .substrings import remove_repeats
+from .warc import round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +33,27 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = round_trip(_read(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(_read(spark, sf_dir, "documents"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    codes = LanguageCodes.fit(docs.where(~held_out))
+    found = predict_languages(docs.withColumn("held_out", held_out), codes)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -39,6 +64,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc_round_trip": op2_warc_round_trip,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_language_id": op5_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,

@@ -98,3 +98,15 @@ class WordCachedTokenizer:
         if not self._short or any(m in text for m in self._marks) or _PARTED_DIFFERENTLY.search(text):
             return self._whole(text)
         return b"".join(map(self._words.__getitem__, text.split()))
+
+
+def text_runs(texts: list[str | None], characters: int = 2_000_000):
+    """Index ranges of texts of about so many characters, so that memory follows this bound or the longest text."""
+    low = total = 0
+    for k, text in enumerate(texts):
+        total += len(text or "")
+        if total >= characters:
+            yield low, k + 1
+            low, total = k + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
