@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
 from .fingerprints import edited_likeness
 from .hamming import near_duplicate_vectors
+from .html_layout import extract_text
 from .langid import LanguageCodes, predict_languages
 from .mixing import mixing_plan
 from .packing import pack_documents
+from .rollups import TokenRollup, token_changes
 from .simhash import near_duplicates
 from .substrings import remove_repeats
 from .warc import round_trip
@@ -54,6 +57,30 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four commits over all documents: load, recounts without repeated lines, that again, no exact copies."""
+    docs = _read(spark, sf_dir, "documents")
+    rollup = TokenRollup(spark, Scratch(spark, "rollup").path("state"))
+    versions = {"word_bpe_49k": tokenizer_path("word_bpe_49k.json"), "words": None}
+    rollup.apply("load", token_changes(docs, "insert", versions))
+    lines = F.split("text", "\n")
+    fewer = docs.where(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
+    recounts = token_changes(fewer, "revise", versions)
+    rollup.apply("without repeated lines", recounts)
+    rollup.apply("without repeated lines", recounts)
+    first = docs.groupBy(F.sha2("text", 256).alias("alike")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = Scratch(spark, "rollup").save(first, "first")
+    copies = docs.select("doc_id", F.sha2("text", 256).alias("alike")).join(first, "alike").where("doc_id > first_id")
+    nothing = F.lit(None).cast("string")
+    gone = copies.select(F.lit("delete").alias("op"), "doc_id", nothing.alias("source"), nothing.alias("lang"), F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"), F.lit(0).alias("n_tokens"))
+    rollup.apply("without copies", gone)
+    return rollup.totals()
+
+
+def op7_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages")).select("page_id", F.length("rendered_text").alias("n_chars"), F.sha2("rendered_text", 256).alias("text_sha256"), "rendered_text")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -68,6 +95,8 @@ QUERIES = {
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_language_id": op5_language_id,
+    "op6_token_rollup": op6_token_rollup,
+    "op7_html_layout": op7_html_layout,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,

@@ -78,16 +78,19 @@ def blocks_for(n: int, distance: int, per_bucket: float = 0.25, most: int = 5) -
     return distance + s
 
 
-def close_links(prints: DataFrame, scratch: Scratch, distance: int = 4, bucket_limit: int = 128) -> DataFrame:
+def close_links(prints: DataFrame, scratch: Scratch, distance: int = 4, bucket_limit: int = 128, reach: int | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints that connect exactly those within the distance.
 
+    With a reach, a candidate search: also edges up to the reach, as far as buckets show them, and
+    all of a bucket over the limit is connected, by a chain; the caller verifies.
+
     prints has one row per distinct fp, written. Fingerprints in a bucket (equal bits in the same
     blocks) of at most bucket_limit are compared there. Those in larger buckets, a dense family,
     are linked without pairs: two are within the distance just if some value lies within half of
     it of both, so each is listed under all such values and neighbours under a value are chained.
     Edges then connect what pairs would, by a number of rows that is linear in the family.
     """
-    if distance % 2:
+    if distance % 2 and reach is None:
         raise ValueError("the distance must be even")
     spark = scratch.spark
     masks = block_masks((b := blocks_for(prints.count(), distance)), b - distance)
@@ -95,11 +98,15 @@ def close_links(prints: DataFrame, scratch: Scratch, distance: int = 4, bucket_l
     buckets = scratch.save(keyed.groupBy("block", "key").count().where("count > 1"), "buckets")
     shared = keyed.join(buckets, ["block", "key"])
     small = shared.where(F.col("count") <= bucket_limit).groupBy("block", "key").agg(F.collect_list("fp").alias("fps"))
-    near = F.filter("fps", lambda y: (y > F.col("u")) & (F.bit_count(y.bitwiseXOR(F.col("u"))) <= distance))
+    near = F.filter("fps", lambda y: (y > F.col("u")) & (F.bit_count(y.bitwiseXOR(F.col("u"))) <= (reach or distance)))
     pairs = small.select("fps", F.explode("fps").alias("u")).select("u", F.explode(near).alias("v")).distinct()
     pairs = scratch.save(pairs, "pairs")
     if buckets.where(F.col("count") > bucket_limit).isEmpty():
         return pairs
+    if reach is not None:
+        before = F.lag("fp").over(Window.partitionBy("block", "key").orderBy("fp"))
+        chained = shared.where(F.col("count") > bucket_limit).select("fp", before.alias("u")).where("u is not null")
+        return pairs.unionByName(scratch.save(chained.select("u", F.col("fp").alias("v")).distinct(), "chained"))
     dense = shared.where(F.col("count") > bucket_limit).select("fp").distinct()
     flips = [0] + [_signed(sum(1 << b for b in some)) for k in range(1, distance // 2 + 1) for some in combinations(range(BITS), k)]
     ball = F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: f.bitwiseXOR(F.col("fp")))
@@ -126,3 +133,74 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words_per
     classes = scratch.save(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
     scratch.drop("prints", "buckets", "pairs", "chained", "rooted", "smallest")
     return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_hashes(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (A-Z lowered; of fewer words: the whole)."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    size = min(words_per_shingle, len(words))
+    made = {xxh64_intdigest(b" ".join(words[k : k + size])) for k in range(len(words) - size + 1)} if words else set()
+    return np.sort(np.fromiter(made, np.uint64, len(made)).view(np.int64))
+
+
+def remove_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words_per_shingle=5, similarity=0.8, words_per_feature=2, distance=6, reach=10) -> DataFrame:
+    """Rows of docs without those whose word shingles have Jaccard similarity >= `similarity` with a row that stays.
+
+    SimHash finds candidates: texts whose fingerprints (of word pairs, which a changed word moves less
+    than longer shingles) lie within `distance` always meet in a block, those within `reach` mostly
+    do. Linked fingerprints and copies form candidate groups. In each group the row of smallest
+    (doc_id, text hash) stays and every other row is compared with it, on the shingles of its whole
+    text; similar ones go, the rest of the group starts over. So a row goes only if a similar one
+    stays, and a group's size adds no pairs, only rounds if it holds many unlike texts.
+
+    Null texts count as empty; texts without words are similar to one another. A null id comes
+    after others. Of rows equal in id and text one stays. Columns are those of docs.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near-duplicates")
+    identity = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_key")]
+
+    def printed(batches):
+        for batch in batches:
+            made = [simhash(t.as_py(), words_per_feature) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(made, np.uint64).view(np.int64))], names=["_id", "_key", "fp"])
+
+    found = scratch.save(docs.select(*identity, F.col(text_col).alias("text")).mapInArrow(printed, "_id long, _key long, fp long"), "found")
+    prints = scratch.save(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "prints")
+    roots = connected_components(close_links(prints, scratch, distance, reach=reach), scratch).withColumnRenamed("node", "fp")
+    grouped = scratch.save(prints.join(roots, "fp", "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root")), "grouped")
+    scratch.drop("prints", "buckets", "pairs", "chained")
+    members = scratch.save(found.join(grouped, "fp").groupBy("_id", "_key").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("rows")), "members")
+
+    def shingled(batches):
+        for batch in batches:
+            lists = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(3)]
+            ends = np.cumsum([0, *[len(x) for x in lists]]).astype(np.int32)
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["_id", "_key", "root", "shingles"])
+
+    texts = docs.select(*identity, F.col(text_col).alias("text")).join(members, ["_id", "_key"]).select("_id", "_key", "root", "text").dropDuplicates(["_id", "_key"])
+    left = scratch.save(texts.mapInArrow(shingled, "_id long, _key long, root long, shingles array<long>"), "left-0")
+    gone, turn = None, 0
+    while not left.isEmpty():
+        turn += 1
+        first = scratch.save(left.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("f")).select("root", "f._id", "f._key"), f"first-{turn}")
+        leaders = scratch.save(left.join(first, ["root", "_id", "_key"]).select("root", F.col("_id").alias("l_id"), F.col("_key").alias("l_key"), F.col("shingles").alias("l_shingles")), f"leaders-{turn}")
+        both = left.join(leaders, "root").where("_id <> l_id or _key <> l_key")
+        common = F.size(F.array_intersect("shingles", "l_shingles"))
+        union = F.size("shingles") + F.size("l_shingles") - common
+        judged = both.withColumn("similar", F.when(union == 0, True).otherwise(common >= similarity * union))
+        judged = scratch.save(judged.select("_id", "_key", "root", "shingles", "similar"), f"judged-{turn}")
+        more = judged.where("similar").select("_id", "_key")
+        gone = more if gone is None else gone.unionByName(more)
+        left = judged.where("not similar").drop("similar")
+        scratch.drop("left-0", f"first-{turn}", f"leaders-{turn}")
+    alike = members.where("rows > 1").select("_id", "_key")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *identity)
+    if gone is not None:
+        keyed = keyed.join(gone, ["_id", "_key"], "left_anti")
+    single = keyed.join(alike, ["_id", "_key"], "left_anti")
+    repeated = keyed.join(alike, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -285,7 +285,8 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", threshold=
     spans = repeated_spans(docs, scratch, id_col, text_col, threshold, gram)
     scratch.drop("anchors", "extended", "earliest")
     by_doc = spans.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "windows"))).alias("spans"))
-    rest = [] if digest_only else [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")]
+    with_text = not digest_only
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")] if with_text else []
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
@@ -294,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", threshold=
         *rest,
     )
     joined = keyed.join(by_doc, ["id", "key"], "left").select(
-        "doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.windows").alias("windows"), *(["rest"] if rest else [])
+        "doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.windows").alias("windows"), *(["rest"] if with_text else [])
     )
 
     def cut(batches):
@@ -308,12 +309,12 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", threshold=
                     column.append(value)
             made = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if rest:
+            if with_text:
                 made += [pa.array(rows[3], pa.string()), batch.column(4)]
                 names += ["kept_text", "rest"]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    if rest:
+    if with_text:
         schema += f", kept_text string, rest {keyed.schema['rest'].dataType.simpleString()}"
     return joined.mapInArrow(cut, schema)
