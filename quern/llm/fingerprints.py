@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._scratch import shuffle_partitions
+from ._scratch import Scratch, shuffle_partitions
 
 SAMPLES = 48
+WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 CODE_DIGITS = 4  # hex digits of a slot in the fingerprint
 _UNIT = 2.0**-32
 
@@ -26,23 +27,20 @@ def _uniforms(hash_: F.Column) -> tuple[F.Column, F.Column]:
     return (low + 0.5) * _UNIT, (high + 0.5) * _UNIT
 
 
-def slot_samples(term: F.Column, weights: list[F.Column], slot: int) -> list[F.Column]:
-    """A long for each weight (null where it is 0): the sample's order above 32 bits of its identity.
+def sample(term: F.Column, weight: F.Column, slot: int) -> F.Column:
+    """A long for a term of that weight (1 or more): its place in the slot's order above 32 bits of its identity.
 
     By the scheme of consistent weighted sampling: r, c ~ Gamma(2, 1), b ~ U(0, 1),
     t = floor(ln w / r + b), and the smallest ln a = ln c - r (t - b) - r wins.
     """
-    h1, h2, h3 = (F.xxhash64(term, F.lit(3 * slot + k)) for k in range(3))
-    (u1, u2), (u3, u4), (b, _) = _uniforms(h1), _uniforms(h2), _uniforms(h3)
+    h, g = F.xxhash64(term, F.lit(2 * slot)), F.xxhash64(term, F.lit(2 * slot + 1))
+    (u1, u2), (u3, u4) = _uniforms(h), _uniforms(g)
+    b = h.bitwiseXOR(g).bitwiseAND(F.lit(0xFFFFFFFF)) * _UNIT
     r, ln_c = -F.ln(u1 * u2), F.ln(-F.ln(u3 * u4))
-    out = []
-    for w in weights:
-        t = F.floor(F.ln(w) / r + b)
-        ln_a = ln_c - r * (t - b) - r
-        place = F.floor((F.greatest(F.least(ln_a, F.lit(120.0)), F.lit(-120.0)) + 120.0) * 2.0**23)  # 31 bits
-        identity = F.xxhash64(h3, t).bitwiseAND(F.lit(0xFFFFFFFF))
-        out.append(F.when(w > 0, F.shiftleft(place, 32).bitwiseOR(identity)))
-    return out
+    t = F.floor(F.ln(weight) / r + b)
+    ln_a = ln_c - r * (t - b + 1.0)  # within -64 and 64 for any weight below 2**31
+    identity = h.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(F.floor((ln_a + 64.0) * 2.0**24), 32).bitwiseOR(identity)
 
 
 def _signature(names: list[str]) -> F.Column:
@@ -63,24 +61,23 @@ def fingerprint_text(signature: str) -> F.Column:
     return F.coalesce(F.array_join(F.transform(signature, code), ""), F.lit("-" * CODE_DIGITS * SAMPLES))
 
 
-def weighted_signatures(rows: DataFrame, keys: list[str], texts: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Keys, carried long columns and a signature column sig_<text> of each text column, for every row.
+def weighted_signatures(rows: DataFrame, group: str, key: str, texts: list[str]) -> DataFrame:
+    """group, key and a signature column sig_<text> of each text column; rows without any term are left out.
 
-    rows must be dealt by a subset of keys, and keys tell rows apart: then terms are counted and
-    minima taken where the rows lie, without a shuffle. A text has at least one word here, the
-    empty one, which keeps its row and has no weight.
+    rows must be dealt by the column group, and key (a number) tells the rows of a group apart: then
+    no step shuffles. A sample depends on term and weight alone, so each is computed once for all
+    rows of a group that have it.
     """
-    each = rows.select(*keys, *carry, F.posexplode(F.array(*texts)).alias("of", "text"))
-    listed = each.select(*keys, *carry, "of", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).withColumn("term", F.xxhash64("word"))
-    carried = [F.min(c).alias(c) for c in carry]
-    weights = [F.count(F.when((F.col("of") == k) & (F.col("word") != ""), 1)).alias(f"w{k}") for k in range(len(texts))]
-    counted = listed.groupBy(*keys, "term").agg(*weights, *carried)
-    minima = []
-    for slot in range(SAMPLES):
-        samples = slot_samples(F.col("term"), [F.col(f"w{k}").cast("double") for k in range(len(texts))], slot)
-        minima += [F.min(sample).alias(f"m{k}_{slot}") for k, sample in enumerate(samples)]
-    least = counted.groupBy(*keys).agg(*minima, *carried)
-    return least.select(*keys, *carry, *[_signature([f"m{k}_{s}" for s in range(SAMPLES)]).alias(f"sig_{t}") for k, t in enumerate(texts)])
+    n = len(texts)
+    each = rows.select(group, key, F.posexplode(F.array(*texts)).alias("of", "text"))
+    words = each.select(group, (F.col(key).cast("long") * n + F.col("of")).alias("at"), F.explode(F.split("text", WHITE_SPACE)).alias("word"))
+    counted = words.where("word <> ''").groupBy(group, "at", F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("weight"))
+    alike = counted.groupBy(group, "term", "weight").agg(F.collect_list("at").alias("rows"))
+    sampled = alike.select(group, "rows", *[sample(F.col("term"), F.col("weight").cast("double"), s).alias(f"s{s}") for s in range(SAMPLES)])
+    spread = sampled.select(group, F.explode("rows").alias("at"), *[f"s{s}" for s in range(SAMPLES)])
+    least = [F.min(F.when(F.pmod("at", F.lit(n)) == k, F.col(f"s{s}"))).alias(f"m{k}_{s}") for k in range(n) for s in range(SAMPLES)]
+    found = spread.groupBy(group, F.floor(F.col("at") / n).cast("long").alias(key)).agg(*least)
+    return found.select(group, key, *[_signature([f"m{k}_{s}" for s in range(SAMPLES)]).alias(f"sig_{t}") for k, t in enumerate(texts)])
 
 
 def fingerprint_documents(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -88,10 +85,12 @@ def fingerprint_documents(docs: DataFrame, id_col="doc_id", text_col="text") ->
 
     Repeated rows and null ids stay rows of their own.
     """
-    n = shuffle_partitions(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "fingerprints")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.repartition(n, "row")
-    signed = weighted_signatures(rows, ["row"], ["text"])
+    rows = scratch.save(rows, "rows")
+    n = shuffle_partitions(docs.sparkSession)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(6 * n))).repartition(n, "part")
+    signed = weighted_signatures(dealt, "part", "row", ["text"])
     return rows.join(signed, "row", "left").select("doc_id", fingerprint_text("sig_text").alias("fingerprint"))
 
 
@@ -151,18 +150,16 @@ def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     numbered = (
         dealt.withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("next_text", F.lead("text").over(down))
-        .withColumn("nth", F.row_number().over(down))
+        .withColumn("nth", F.row_number().over(down).cast("long"))
         .withColumn("edited", F.when(F.col("guest") == 0, edited).otherwise(""))
     )
-    # the digest goes through the aggregation as four longs, which stay in its fixed-width buffers
-    digest = F.sha2(F.encode("edited", "UTF-8"), 256)
-    quarters = {f"d{k}": F.conv(F.substring("digest", 16 * k + 1, 16), 16, -10).cast("long") for k in range(4)}
-    hashed = numbered.withColumn("digest", digest).withColumns(quarters)
-    signed = weighted_signatures(hashed, ["bucket", "nth"], ["text", "edited"], ("guest", "doc_id", "n_chars", *quarters))
+    signed = weighted_signatures(numbered, "bucket", "nth", ["text", "edited"])
+    # the same exchange of texts serves both sides; only digests and signatures are shuffled again
+    about = numbered.select("bucket", "nth", "guest", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     follow = Window.partitionBy("bucket").orderBy("nth")
-    likened = signed.withColumn("sig_next", F.lead("sig_text").over(follow)).where("guest = 0")
-    sha256 = F.lower(F.concat(*[F.lpad(F.hex(q), 16, "0") for q in quarters]))
+    joined = about.join(signed, ["bucket", "nth"], "left").withColumn("sig_next", F.lead("sig_text").over(follow))
+    likened = joined.where("guest = 0")
     return likened.select(
-        "doc_id", "n_chars", sha256.alias("edited_sha256"), fingerprint_text("sig_text").alias("fingerprint"), fingerprint_text("sig_edited").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint_text("sig_text").alias("fingerprint"), fingerprint_text("sig_edited").alias("edited_fingerprint"),
         likeness("sig_text", "sig_edited").alias("near_edited"), likeness("sig_text", "sig_next").alias("near_next"),
     )
