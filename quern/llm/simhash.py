@@ -146,20 +146,18 @@ def shingle_hashes(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
 
 
 def remove_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words_per_shingle=5, similarity=0.8, words_per_feature=2, distance=6, reach=10) -> DataFrame:
-    """Rows of docs without those whose word shingles have Jaccard similarity >= `similarity` with a row that stays.
+    """docs with one row of each group of texts whose word shingles have Jaccard similarity >= `similarity`.
 
     SimHash finds candidates: texts whose fingerprints (of word pairs, which a changed word moves less
     than longer shingles) lie within `distance` always meet in a block, those within `reach` mostly
-    do. Linked fingerprints and copies form candidate groups. In each group the row of smallest
-    (doc_id, text hash) stays and every other row is compared with it, on the shingles of its whole
-    text; similar ones go, the rest of the group starts over. So a row goes only if a similar one
-    stays, and a group's size adds no pairs, only rounds if it holds many unlike texts.
+    do. Every candidate pair is verified on the shingles of both whole texts; verified links join
+    into groups, and the row of smallest (doc_id, text hash) stays. Texts that share a fingerprint
+    are verified against the one of smallest id, so copies and hot fingerprints add no pairs.
 
     Null texts count as empty; texts without words are similar to one another. A null id comes
     after others. Of rows equal in id and text one stays. Columns are those of docs.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
     identity = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_key")]
 
     def printed(batches):
@@ -168,39 +166,37 @@ def remove_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", wo
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(made, np.uint64).view(np.int64))], names=["_id", "_key", "fp"])
 
     found = scratch.save(docs.select(*identity, F.col(text_col).alias("text")).mapInArrow(printed, "_id long, _key long, fp long"), "found")
-    prints = scratch.save(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "prints")
-    roots = connected_components(close_links(prints, scratch, distance, reach=reach), scratch).withColumnRenamed("node", "fp")
-    grouped = scratch.save(prints.join(roots, "fp", "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("root")), "grouped")
-    scratch.drop("prints", "buckets", "pairs", "chained")
-    members = scratch.save(found.join(grouped, "fp").groupBy("_id", "_key").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("rows")), "members")
+    texts = scratch.save(found.groupBy("_key").agg(F.min("_id").alias("_id"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "texts")
+    prints = scratch.save(texts.groupBy("fp").agg(F.min(F.struct("_id", "_key")).alias("r")).select("fp", F.col("r._key").alias("rep")), "prints")
+    links = close_links(prints, scratch, distance, reach=reach)
+    reps = lambda c, name: prints.select(F.col("fp").alias(c), F.col("rep").alias(name))
+    between = links.join(reps("u", "a"), "u").join(reps("v", "b"), "v").select("a", "b")
+    within = texts.join(prints, "fp").where("_key <> rep").select(F.col("_key").alias("a"), F.col("rep").alias("b"))
+    pairs = scratch.save(between.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    scratch.drop("found", "buckets", "pairs", "chained")
 
     def shingled(batches):
         for batch in batches:
-            lists = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(3)]
+            lists = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(1)]
             ends = np.cumsum([0, *[len(x) for x in lists]]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["_id", "_key", "root", "shingles"])
-
-    texts = docs.select(*identity, F.col(text_col).alias("text")).join(members, ["_id", "_key"]).select("_id", "_key", "root", "text").dropDuplicates(["_id", "_key"])
-    left = scratch.save(texts.mapInArrow(shingled, "_id long, _key long, root long, shingles array<long>"), "left-0")
-    gone, turn = None, 0
-    while not left.isEmpty():
-        turn += 1
-        first = scratch.save(left.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("f")).select("root", "f._id", "f._key"), f"first-{turn}")
-        leaders = scratch.save(left.join(first, ["root", "_id", "_key"]).select("root", F.col("_id").alias("l_id"), F.col("_key").alias("l_key"), F.col("shingles").alias("l_shingles")), f"leaders-{turn}")
-        both = left.join(leaders, "root").where("_id <> l_id or _key <> l_key")
-        common = F.size(F.array_intersect("shingles", "l_shingles"))
-        union = F.size("shingles") + F.size("l_shingles") - common
-        judged = both.withColumn("similar", F.when(union == 0, True).otherwise(common >= similarity * union))
-        judged = scratch.save(judged.select("_id", "_key", "root", "shingles", "similar"), f"judged-{turn}")
-        more = judged.where("similar").select("_id", "_key")
-        gone = more if gone is None else gone.unionByName(more)
-        left = judged.where("not similar").drop("similar")
-        scratch.drop("left-0", f"first-{turn}", f"leaders-{turn}")
-    alike = members.where("rows > 1").select("_id", "_key")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *identity)
-    if gone is not None:
-        keyed = keyed.join(gone, ["_id", "_key"], "left_anti")
-    single = keyed.join(alike, ["_id", "_key"], "left_anti")
-    repeated = keyed.join(alike, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["_key", "shingles"])
+
+    named = pairs.select(F.col("a").alias("_key")).union(pairs.select("b")).distinct()
+    firsts = texts.join(named, "_key", "left_semi").select("_key", "_id")
+    wanted = docs.select(*identity, F.col(text_col).alias("text")).join(scratch.save(firsts, "firsts"), ["_id", "_key"]).select("_key", "text").dropDuplicates(["_key"])
+    shingles = scratch.save(wanted.mapInArrow(shingled, "_key long, shingles array<long>"), "shingles")
+    met = pairs.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    alike = scratch.save(met.where((union == 0) | (common >= similarity * union)).select(F.col("a").alias("u"), F.col("b").alias("v")), "alike")
+    scratch.drop("candidates", "firsts", "shingles", "prints")
+    roots = connected_components(alike, scratch).withColumnRenamed("node", "_key")
+    grouped = scratch.save(texts.join(roots, "_key").select("_key", "_id", "root"), "grouped")
+    stays = grouped.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("f")).select(F.col("f._key").alias("_key"))
+    gone = scratch.save(grouped.join(stays, "_key", "left_anti").select("_key"), "gone")
+    repeated = scratch.save(texts.where("rows > 1").join(gone, "_key", "left_anti").select("_key", F.col("_id").alias("_first")), "repeated")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *identity).join(gone, "_key", "left_anti").join(repeated, "_key", "left")
+    single = keyed.where("_first is null")
+    first = keyed.where("_first = _id").dropDuplicates(["_id", "_key"])
+    return single.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
