@@ -95,12 +95,17 @@ def close_links(prints: DataFrame, scratch: Scratch, distance: int = 4, bucket_l
     spark = scratch.spark
     masks = block_masks((b := blocks_for(prints.count(), distance)), b - distance)
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("block", "key"))
-    buckets = scratch.save(keyed.groupBy("block", "key").count().where("count > 1"), "buckets")
+    within = reach or distance
+    counted = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("count"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("count > 1")
+    counted = scratch.save(counted, "buckets")
+    # most buckets hold two: the count has both, and only members of larger ones are fetched
+    two = counted.where("count = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= within).select("u", "v")
+    buckets = counted.where("count > 2").select("block", "key", "count")
     shared = keyed.join(buckets, ["block", "key"])
     small = shared.where(F.col("count") <= bucket_limit).groupBy("block", "key").agg(F.collect_list("fp").alias("fps"))
-    near = F.filter("fps", lambda y: (y > F.col("u")) & (F.bit_count(y.bitwiseXOR(F.col("u"))) <= (reach or distance)))
-    pairs = small.select("fps", F.explode("fps").alias("u")).select("u", F.explode(near).alias("v")).distinct()
-    pairs = scratch.save(pairs, "pairs")
+    near = F.filter("fps", lambda y: (y > F.col("u")) & (F.bit_count(y.bitwiseXOR(F.col("u"))) <= within))
+    pairs = small.select("fps", F.explode("fps").alias("u")).select("u", F.explode(near).alias("v"))
+    pairs = scratch.save(pairs.unionByName(two).distinct(), "pairs")
     if buckets.where(F.col("count") > bucket_limit).isEmpty():
         return pairs
     if reach is not None:
