@@ -74,7 +74,7 @@ def hypotheses(findings: DataFrame) -> DataFrame:
     score = (score_of * 0.40 + F.col("weight") * 0.40 + more + F.col("a_confidence") * 0.12 + F.col("confidence") * 0.08) * penalty
     severity = F.element_at(F.array(*map(F.lit, fixed.SEVERITIES)), F.col("rank") + 1)
     claim = F.concat("claim", F.lit(" Corroborated by "), F.array_join("rules", ", "), F.lit("."))
-    by = Window.partitionBy("snapshot_id").orderBy(F.desc("score"), "decl")
+    by = Window.partitionBy("snapshot_id").orderBy(F.desc(F.round("score", 9)), "decl")  # scores that differ by rounding alone tie
     scored = rows.withColumn("score", score).withColumn("place", F.row_number().over(by))
     return scored.select("snapshot_id", "place", "hypothesis", claim.alias("claim"), severity.alias("severity"), "confidence", F.round("score", 6).alias("score"), penalty.alias("penalty"), "rules", "actions", "evidence")
 

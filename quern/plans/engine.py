@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Thresholds
 from ..rules import FINDING, RULES, Rule, Tables
 from ..sources import artifacts
+from ..sources.workspace import Workspace
 from . import correlate, exceptions, gc, histograms, threads
 
 
@@ -64,16 +65,18 @@ class Engine:
     def analyze(self, files: DataFrame, thresholds: Thresholds | None = None, multi_log: bool = False) -> Analysis:
         """Findings, hypotheses, timeline and rule status of every snapshot in files (see ``sources.artifacts``).
 
-        Lines, parsed tables and merged findings are cached: several rules read each.
+        Lines, parsed tables and findings are written to the shared folder: several rules read each.
         """
         thresholds = thresholds or Thresholds()
-        lines = artifacts.lines_of(files).persist()
-        kinds = artifacts.sniff(lines).persist()
+        space = Workspace(files.sparkSession)
+        lines = space.written(artifacts.lines_of(files), "lines")
+        kinds = space.written(artifacts.sniff(lines), "kinds")
         kept, skipped = artifacts.first_of_kind(kinds, multi_log)
         tables = tables_of(lines, kept)
         for name in ("dumps", "threads", "gc_logs", "gc_events", "histos", "histo_rows", "exceptions"):
-            setattr(tables, name, getattr(tables, name).persist())
-        merged = correlate.quoted(correlate.dedupe(self.findings(tables, thresholds)), lines).persist()
+            setattr(tables, name, space.written(getattr(tables, name), name))
+        found = space.written(self.findings(tables, thresholds), "findings")
+        merged = space.written(correlate.quoted(space.written(correlate.dedupe(found), "merged"), lines), "quoted")
         status = correlate.rule_status(files.select("snapshot_id").distinct(), kept, merged, self.declined(tables, thresholds), self.rules)
         return Analysis(tables, kinds, skipped, merged, correlate.hypotheses(merged), correlate.timeline(tables, thresholds), status, thresholds)
 

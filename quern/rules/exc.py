@@ -10,8 +10,6 @@ from ..functions import exprs as X
 from ..operators.series import densest_bucket, top_k
 from .base import Rule, Tables, findings, ordered, span
 
-PLACE = F.struct("file", "start_line")
-
 
 def printed(t: Tables) -> DataFrame:
     return t.exceptions.withColumn("print", X.exception_fingerprint(F.col("chain"), 5)).withColumn("root", X.root_cause(F.col("chain")))
