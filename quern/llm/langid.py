@@ -184,20 +184,19 @@ def predict_languages(docs: DataFrame, codes: LanguageCodes, text_col="text", am
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(codes)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    carried = docs.select(*columns).withColumn("_text", F.col(text_col))
+    at = columns.index(text_col)
 
     def predicted(batches):
         codes = sent.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             known = np.array([_has_letter(t) for t in texts], bool) & (len(codes.languages) > 0)
             names, scores, unsure = np.array(["und"] * len(texts), object), np.zeros(len(texts)), np.ones(len(texts), bool)
             if known.any():
                 nearest, score, lead = codes.decode(bit_margins([t for t, k in zip(texts, known, strict=True) if k], codes.weights))
                 names[known], scores[known], unsure[known] = np.array(codes.languages, object)[nearest], score, lead < ambiguous_below
             made = [pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(unsure)]
-            kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(kept + made, names=[*columns, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*columns, "lang_pred", "score", "ambiguous"])
 
-    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return carried.mapInArrow(predicted, schema)
+    schema = docs.select(*[F.col(f"`{c}`") for c in columns]).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(predicted, schema)
