@@ -63,7 +63,7 @@ class _Cache(dict):
 
 
 class WordCachedTokenizer:
-    def __init__(self, path: str, words: int = 400_000, pieces: int = 500_000):
+    def __init__(self, path: str, words: int = 250_000, pieces: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
