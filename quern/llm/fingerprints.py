@@ -153,9 +153,10 @@ def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         .withColumn("nth", F.row_number().over(down).cast("long"))
         .withColumn("edited", F.when(F.col("guest") == 0, edited).otherwise(""))
     )
-    signed = weighted_signatures(numbered, "bucket", "nth", ["text", "edited"])
-    # the same exchange of texts serves both sides; only digests and signatures are shuffled again
+    # what doesn't need the words is written first: then one shuffle of texts is on disk at a time
     about = numbered.select("bucket", "nth", "guest", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    about = Scratch(spark, "fingerprints").save(about, "about")
+    signed = weighted_signatures(numbered, "bucket", "nth", ["text", "edited"])
     follow = Window.partitionBy("bucket").orderBy("nth")
     joined = about.join(signed, ["bucket", "nth"], "left").withColumn("sig_next", F.lead("sig_text").over(follow))
     likened = joined.where("guest = 0")
