@@ -46,6 +46,7 @@ def scan(spark: SparkSession, root: str, snapshot_depth: int | None = 0, most_by
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     inner = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^/*{base.lstrip('/')}/?", "")
+    inner = F.coalesce(F.nullif(inner, F.lit("")), F.substring_index("path", "/", -1))  # the root may be a file
     parts = F.split(inner, "/")
     named = found.select("path", "length", "content", inner.alias("file"), F.element_at(parts, -1).alias("name"), F.size(parts).alias("depth"))
     snapshot = F.array_join(F.slice(F.split("file", "/"), 1, snapshot_depth), "/") if snapshot_depth else F.lit(base.rsplit("/", 1)[-1])
