@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ._components import connected_components
 from ._scratch import Scratch, shuffle_partitions
+from .similar_sets import SKETCH, parity_sketch, prefix, similar_links
 
 BITS = 64
 _SHINGLES_AT_ONCE = 1 << 17
@@ -78,40 +79,32 @@ def blocks_for(n: int, distance: int, per_bucket: float = 0.25, most: int = 5) -
     return distance + s
 
 
-def close_links(prints: DataFrame, scratch: Scratch, distance: int = 4, bucket_limit: int = 128, reach: int | None = None) -> DataFrame:
+def close_links(prints: DataFrame, scratch: Scratch, distance: int = 4, bucket_limit: int = 128) -> DataFrame:
     """Edges (u, v) between distinct fingerprints that connect exactly those within the distance.
 
-    With a reach, a candidate search: also edges up to the reach, as far as buckets show them, and
-    all of a bucket over the limit is connected, by a chain; the caller verifies.
-
     prints has one row per distinct fp, written. Fingerprints in a bucket (equal bits in the same
     blocks) of at most bucket_limit are compared there. Those in larger buckets, a dense family,
     are linked without pairs: two are within the distance just if some value lies within half of
     it of both, so each is listed under all such values and neighbours under a value are chained.
     Edges then connect what pairs would, by a number of rows that is linear in the family.
     """
-    if distance % 2 and reach is None:
+    if distance % 2:
         raise ValueError("the distance must be even")
     spark = scratch.spark
     masks = block_masks((b := blocks_for(prints.count(), distance)), b - distance)
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("block", "key"))
-    within = reach or distance
     counted = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("count"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("count > 1")
     counted = scratch.save(counted, "buckets")
     # most buckets hold two: the count has both, and only members of larger ones are fetched
-    two = counted.where("count = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= within).select("u", "v")
+    two = counted.where("count = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).select("u", "v")
     buckets = counted.where("count > 2").select("block", "key", "count")
     shared = keyed.join(buckets, ["block", "key"])
     small = shared.where(F.col("count") <= bucket_limit).groupBy("block", "key").agg(F.collect_list("fp").alias("fps"))
-    near = F.filter("fps", lambda y: (y > F.col("u")) & (F.bit_count(y.bitwiseXOR(F.col("u"))) <= within))
+    near = F.filter("fps", lambda y: (y > F.col("u")) & (F.bit_count(y.bitwiseXOR(F.col("u"))) <= distance))
     pairs = small.select("fps", F.explode("fps").alias("u")).select("u", F.explode(near).alias("v"))
     pairs = scratch.save(pairs.unionByName(two).distinct(), "pairs")
     if buckets.where(F.col("count") > bucket_limit).isEmpty():
         return pairs
-    if reach is not None:
-        before = F.lag("fp").over(Window.partitionBy("block", "key").orderBy("fp"))
-        chained = shared.where(F.col("count") > bucket_limit).select("fp", before.alias("u")).where("u is not null")
-        return pairs.unionByName(scratch.save(chained.select("u", F.col("fp").alias("v")).distinct(), "chained"))
     dense = shared.where(F.col("count") > bucket_limit).select("fp").distinct()
     flips = [0] + [_signed(sum(1 << b for b in some)) for k in range(1, distance // 2 + 1) for some in combinations(range(BITS), k)]
     ball = F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: f.bitwiseXOR(F.col("fp")))
@@ -150,53 +143,62 @@ def shingle_hashes(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
     return np.sort(np.fromiter(made, np.uint64, len(made)).view(np.int64))
 
 
-def remove_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words_per_shingle=5, similarity=0.8, words_per_feature=2, distance=6, reach=10) -> DataFrame:
+def _lists(lists: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *[len(x) for x in lists]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
+
+
+def remove_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words_per_shingle=5, similarity=0.8, bucket_limit=16, sample_rows=10_000, most_common=1 << 17) -> DataFrame:
     """docs with one row of each group of texts whose word shingles have Jaccard similarity >= `similarity`.
 
-    SimHash finds candidates: texts whose fingerprints (of word pairs, which a changed word moves less
-    than longer shingles) lie within `distance` always meet in a block, those within `reach` mostly
-    do. Every candidate pair is verified on the shingles of both whole texts; verified links join
-    into groups, and the row of smallest (doc_id, text hash) stays. Texts that share a fingerprint
-    are verified against the one of smallest id, so copies and hot fingerprints add no pairs.
+    Groups are those that all pairs of texts with that similarity, on the shingles of both whole texts,
+    link; the row of smallest (doc_id, text hash) stays. Pairs are found by an exact join on shared
+    prefixes of the shingle sets (similar_sets.py) at every number of rows. The order of shingles is
+    drawn from about sample_rows texts; groups don't depend on it.
 
     Null texts count as empty; texts without words are similar to one another. A null id comes
     after others. Of rows equal in id and text one stays. Columns are those of docs.
     """
-    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near-duplicates")
     identity = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_key")]
-
-    def printed(batches):
-        for batch in batches:
-            made = [simhash(t.as_py(), words_per_feature) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(made, np.uint64).view(np.int64))], names=["_id", "_key", "fp"])
-
-    found = scratch.save(docs.select(*identity, F.col(text_col).alias("text")).mapInArrow(printed, "_id long, _key long, fp long"), "found")
-    texts = scratch.save(found.groupBy("_key").agg(F.min("_id").alias("_id"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "texts")
-    prints = scratch.save(texts.groupBy("fp").agg(F.min(F.struct("_id", "_key")).alias("r")).select("fp", F.col("r._key").alias("rep")), "prints")
-    links = close_links(prints, scratch, distance, reach=reach)
-    reps = lambda c, name: prints.select(F.col("fp").alias(c), F.col("rep").alias(name))
-    between = links.join(reps("u", "a"), "u").join(reps("v", "b"), "v").select("a", "b")
-    within = texts.join(prints, "fp").where("_key <> rep").select(F.col("_key").alias("a"), F.col("rep").alias("b"))
-    pairs = scratch.save(between.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    scratch.drop("found", "buckets", "pairs", "chained")
+    read = docs.select(*identity, F.col(text_col).alias("text"))
 
     def shingled(batches):
         for batch in batches:
             lists = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(1)]
-            ends = np.cumsum([0, *[len(x) for x in lists]]).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["_key", "shingles"])
-
-    named = pairs.select(F.col("a").alias("_key")).union(pairs.select("b")).distinct()
-    firsts = texts.join(named, "_key", "left_semi").select("_key", "_id")
-    wanted = docs.select(*identity, F.col(text_col).alias("text")).join(scratch.save(firsts, "firsts"), ["_id", "_key"]).select("_key", "text").dropDuplicates(["_key"])
-    shingles = scratch.save(wanted.mapInArrow(shingled, "_key long, shingles array<long>"), "shingles")
-    met = pairs.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    alike = scratch.save(met.where((union == 0) | (common >= similarity * union)).select(F.col("a").alias("u"), F.col("b").alias("v")), "alike")
-    scratch.drop("candidates", "firsts", "shingles", "prints")
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(lists)], names=["key", "elements"])
+
+    in_sample = F.pmod(F.col("_key"), F.lit(max(1, docs.count() // sample_rows))) == 0
+    sample = read.where(in_sample).select(F.col("_key").alias("key"), "text").dropDuplicates(["key"]).mapInArrow(shingled, "key long, elements array<long>")
+    often = sample.select(F.explode("elements").alias("e")).groupBy("e").count().where("count > 2").orderBy(F.desc("count"), "e").limit(most_common).toArrow()
+    common, counts = often.column("e").to_numpy(), often.column("count").to_numpy()
+    order = np.argsort(common)
+    sent = spark.sparkContext.broadcast((common[order], counts[order]))
+
+    def sketched(batches):
+        for batch in batches:
+            lists = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(2)]
+            sketches = np.array([parity_sketch(x) for x in lists], np.int64).reshape(-1, len(SKETCH))
+            heads = _lists([prefix(x, similarity, *sent.value) for x in lists])
+            columns = [*batch.columns[:2], pa.array([len(x) for x in lists], pa.int32()), heads, *[pa.array(c) for c in sketches.T.copy()]]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "key", "n", "prefix", *SKETCH])
+
+    found = scratch.save(read.mapInArrow(sketched, "_id long, key long, n int, prefix array<long>, " + ", ".join(f"{p} long" for p in SKETCH)), "found")
+    texts = scratch.save(found.groupBy(F.col("key").alias("_key")).agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("rows")), "texts")
+    copied = texts.where("rows > 1").select(F.col("_key").alias("key"), "_id")
+    once = found.join(copied.select("key"), "key", "left_anti").unionByName(found.join(copied, ["key", "_id"], "left_semi").dropDuplicates(["key"]))
+    sets = scratch.save(once.select("key", "n", "prefix", *SKETCH), "sets")
+    scratch.drop("found")
+
+    def elements_of(keys: DataFrame) -> DataFrame:
+        firsts = texts.join(keys.withColumnRenamed("key", "_key"), "_key", "left_semi").select("_key", "_id")
+        wanted = read.join(firsts, ["_id", "_key"]).select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
+        return wanted.mapInArrow(shingled, "key long, elements array<long>")
+
+    alike = similar_links(sets, elements_of, similarity, scratch, bucket_limit)
     roots = connected_components(alike, scratch).withColumnRenamed("node", "_key")
+    scratch.drop("sets")
     grouped = scratch.save(texts.join(roots, "_key").select("_key", "_id", "root"), "grouped")
     stays = grouped.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("f")).select(F.col("f._key").alias("_key"))
     gone = scratch.save(grouped.join(stays, "_key", "left_anti").select("_key"), "gone")
