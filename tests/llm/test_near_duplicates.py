@@ -56,3 +56,15 @@ def test_star_shaped_family(spark):
     wanted = firsts(rows)
     assert len(wanted) < 20
     assert kept(spark, rows) == sorted(wanted)
+
+
+def test_added_and_changed_words(spark):
+    """Pairs just over the similarity, whose SimHashes differ by more bits than any reach."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(60):
+        text = prose(rng, 104)
+        texts += [text, text + prose(rng, 24)]
+    rows = numbered(texts)
+    assert len(wanted := firsts(rows)) == 60
+    assert kept(spark, rows) == sorted(wanted)
