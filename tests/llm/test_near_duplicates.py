@@ -68,3 +68,15 @@ def test_added_and_changed_words(spark):
     rows = numbered(texts)
     assert len(wanted := firsts(rows)) == 60
     assert kept(spark, rows) == sorted(wanted)
+
+
+def test_lines_repeated_more_often(spark):
+    """How often a line is repeated changes a fingerprint of counts, not the set of shingles."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(30):
+        text, line = prose(rng, 100), prose(rng, 10)
+        texts += [text + line, text + line * 31]
+    rows = numbered(texts)
+    assert len(wanted := firsts(rows)) == 30
+    assert kept(spark, rows) == sorted(wanted)
