@@ -80,3 +80,17 @@ def test_lines_repeated_more_often(spark):
     rows = numbered(texts)
     assert len(wanted := firsts(rows)) == 30
     assert kept(spark, rows) == sorted(wanted)
+
+
+def test_near_copies_behind_an_unlike_text_of_one_fingerprint(spark):
+    """One passage makes up most of every text, so that fingerprints agree; the rests differ by pairs."""
+    rng = random.Random(15)
+    passage = prose(rng, 7)
+    texts = [passage * 200 + prose(rng, 80)]
+    for _ in range(20):
+        rest = prose(rng, 80)
+        texts += [passage * 200 + rest, passage * 200 + rest[:-1] + ["other"]]
+    rows = numbered(texts)
+    assert len({simhash.simhash(text, 2) for _, text in rows}) == 1
+    assert len(wanted := firsts(rows)) == 21
+    assert kept(spark, rows) == sorted(wanted)
