@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 HIDDEN = frozenset(
-    "head script noscript style template title meta link base noembed noframes iframe object audio video canvas svg math datalist param source track area map rp".split()
+    """head script noscript style template title meta link base noembed noframes iframe object audio video canvas datalist param source track area map rp
+    desc defs metadata symbol clippath mask pattern marker annotation annotation-xml""".split()
 )
 BLOCK = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
-    header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr caption ul""".split()
+    header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td text tfoot th thead tr caption ul""".split()
 )
 SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 ol pre table ul dir menu fieldset".split())
-CLOSES_P = BLOCK - frozenset("body html tbody td tfoot th thead tr caption option optgroup legend".split())
+CLOSES_P = BLOCK - frozenset("body html tbody td text tfoot th thead tr caption option optgroup legend".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag ends these open elements, if none of the barriers lies between.
 ENDED_BY = {
@@ -53,6 +54,11 @@ _HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|colla
 #: Tables nested deeper than this are laid out as blocks.
 _DEEPEST_TABLE = 40
 _SPACES = re.compile("[ \t\n\r\f]+")
+#: Parts of a table that hold cells only; what else stands in them is moved out.
+_ROW_GROUPS = frozenset("tbody thead tfoot".split())
+_CELL_PLACES = _ROW_GROUPS | frozenset(["table", "tr"])
+_PLACE_ENDS = _CELL_PLACES | frozenset("td th caption html template".split())
+_SELF_CLOSED = re.compile(r"(?<![^\s\"'/])/\Z|(?:\A|\s)[^\s=\"']+/\Z")
 _HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 
 
@@ -89,6 +95,12 @@ class TreeBuilder:
                 self._close_up_to(open_p)
         if name in HEADINGS and self.at.name in HEADINGS:
             self._close_up_to(self.at)
+        if name in ("td", "th", "tr", "caption", "colgroup") or name in _ROW_GROUPS:
+            place = self.at
+            while place.parent is not None and place.name not in _PLACE_ENDS:
+                place = place.parent
+            if place.name in _CELL_PLACES:  # ends what stands between rows or cells
+                self.at = place
         if name in ENDED_BY:
             ended = self._open_in_scope(*ENDED_BY[name])
             if ended is not None:
@@ -101,6 +113,16 @@ class TreeBuilder:
             same.attributes = attributes | same.attributes
             return
         self._push(name, attributes)
+        if name == "form" and self.at.parent is not None and self.at.parent.name in _CELL_PLACES:
+            self._close_up_to(self.at)  # holds nothing there
+
+    def in_foreign(self) -> bool:
+        node = self.at
+        while node.parent is not None:
+            if node.name in ("svg", "math"):
+                return True
+            node = node.parent
+        return False
 
     def _push(self, name: str, attributes: dict[str, str]) -> None:
         child = Element(name, attributes, self.at)
@@ -149,7 +171,12 @@ def parse(html: str) -> Element:
         if tag[3]:
             for a in _ATTRIBUTE.finditer(tag[3]):
                 attributes.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
+        foreign = tag[3].endswith("/") and _SELF_CLOSED.search(tag[3]) and (name in ("svg", "math") or builder.in_foreign())
         builder.open(name, attributes)
+        if foreign:
+            if builder.at.name == name:
+                builder._close_up_to(builder.at)
+            continue
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(html, at)
             stop = close.start() if close else end
@@ -228,6 +255,19 @@ def _rows_of(table: Element):
                 yield from _rows_of(child)
 
 
+def _strays(part: Element):
+    """What stands in a table outside its cells and captions, in order; browsers move it out of the table."""
+    for child in part.children:
+        if isinstance(child, str):
+            yield child
+        elif child.name == "tr" or child.name in _ROW_GROUPS or child.name == "colgroup":
+            yield from _strays(child)
+        elif child.name == "caption" and part.name == "table" or child.name == "col" or child.name in ("td", "th") and part.name == "tr":
+            continue
+        else:
+            yield child
+
+
 def _span(cell: Element) -> int:
     value = cell.attributes.get("colspan", "1").strip()
     return min(max(int(value), 1), 1000) if value.isdecimal() and len(value) < 6 else 1
@@ -294,18 +334,18 @@ def _walk(node: Element, out: _Lines, pre: bool, depth: int) -> None:
                 out.write(child.attributes["alt"])
         elif name == "table" and depth < _DEEPEST_TABLE:
             out.apart()
+            before, after = Element("div", {}, child.parent), Element("div", {}, child.parent)
+            for stray in _strays(child):
+                (after if isinstance(stray, Element) and stray.name == "table" else before).children.append(stray)
+            for line in render_lines(before, depth + 1):
+                out.literal(line)
             for caption in child.children:
                 if isinstance(caption, Element) and caption.name == "caption" and visible(caption):
                     for line in render_lines(caption, depth):
                         out.literal(line)
             _table(child, out, depth)
-            for stray in child.children:
-                if isinstance(stray, str) and stray.strip():
-                    out.write(stray)
-                elif isinstance(stray, Element) and stray.name not in ("tr", "tbody", "thead", "tfoot", "caption", "colgroup", "col") and visible(stray):
-                    out.end_line()
-                    for line in render_lines(stray, depth):
-                        out.literal(line)
+            for line in render_lines(after, depth + 1):
+                out.literal(line)
             out.apart()
         elif name in ("ul", "ol", "menu", "dir"):
             _list(child, out, stack, pre)
