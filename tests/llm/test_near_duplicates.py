@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quern.llm import simhash
 
 RNG = random.Random(11)
@@ -94,3 +96,21 @@ def test_near_copies_behind_an_unlike_text_of_one_fingerprint(spark):
     assert len({simhash.simhash(text, 2) for _, text in rows}) == 1
     assert len(wanted := firsts(rows)) == 21
     assert kept(spark, rows) == sorted(wanted)
+
+
+@pytest.mark.parametrize("limit", [3])
+def test_groups_equal_brute_force(spark, limit):
+    """Families of any edit rate that share a common passage, copies, repeated lines, short, empty and null texts."""
+    rng = random.Random(16)
+    common = prose(rng, 40)
+    texts = [[], [], ["one"], ["One"], prose(rng, 3), common, common + ["tail"]]
+    for _ in range(6):
+        base = prose(rng, rng.randrange(20, 160)) + common
+        for _ in range(25):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randrange(0, 7)):
+                copy[at] = rng.choice(WORDS)
+            texts.append(copy + copy[:12] * rng.randrange(0, 3))
+    rows = [*numbered(texts, rng), (1000, None), (1001, " \n")]
+    assert kept(spark, rows, bucket_limit=limit) == sorted(firsts(rows))
+    assert kept(spark, rows, bucket_limit=limit, sample_rows=10, most_common=5) == sorted(firsts(rows))
