@@ -18,28 +18,29 @@ from ._scratch import Scratch, shuffle_partitions
 SAMPLES = 48
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 CODE_DIGITS = 4  # hex digits of a slot in the fingerprint
-_UNIT = 2.0**-32
+_BUCKETS = 4  # of neighbouring documents, and tasks, for each shuffle partition: what a task counts stays in memory
+_FINE, _COARSE = (1 << 21) - 1, 0xFFFFFFFF
 
 
-def _uniforms(hash_: F.Column) -> tuple[F.Column, F.Column]:
-    """Two uniform variates in (0, 1) from the halves of a hash."""
-    low, high = hash_.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hash_, 32)
-    return (low + 0.5) * _UNIT, (high + 0.5) * _UNIT
+def _uniform(bits: F.Column, mask: int) -> F.Column:
+    """A uniform variate in (0, 1) from the low bits of a hash."""
+    return (bits.bitwiseAND(F.lit(mask)) + 0.5) * (1.0 / (mask + 1))
 
 
 def sample(term: F.Column, weight: F.Column, slot: int) -> F.Column:
     """A long for a term of that weight (1 or more): its place in the slot's order above 32 bits of its identity.
 
     By the scheme of consistent weighted sampling: r, c ~ Gamma(2, 1), b ~ U(0, 1),
-    t = floor(ln w / r + b), and the smallest ln a = ln c - r (t - b) - r wins.
+    t = floor(ln w / r + b), and the smallest ln a = ln c - r (t - b) - r wins. The five uniform
+    variates behind r, b and c come from bits of two hashes that no two of them share.
     """
     h, g = F.xxhash64(term, F.lit(2 * slot)), F.xxhash64(term, F.lit(2 * slot + 1))
-    (u1, u2), (u3, u4) = _uniforms(h), _uniforms(g)
-    b = h.bitwiseXOR(g).bitwiseAND(F.lit(0xFFFFFFFF)) * _UNIT
-    r, ln_c = -F.ln(u1 * u2), F.ln(-F.ln(u3 * u4))
+    b = _uniform(h, _FINE)
+    r = -F.ln(_uniform(F.shiftrightunsigned(h, 21), _FINE) * _uniform(F.shiftrightunsigned(h, 42), _FINE))
+    ln_c = F.ln(-F.ln(_uniform(g, _COARSE) * _uniform(F.shiftrightunsigned(g, 32), _COARSE)))
     t = F.floor(F.ln(weight) / r + b)
     ln_a = ln_c - r * (t - b + 1.0)  # within -64 and 64 for any weight below 2**31
-    identity = h.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
+    identity = h.bitwiseXOR(t).bitwiseAND(F.lit(_COARSE))
     return F.shiftleft(F.floor((ln_a + 64.0) * 2.0**24), 32).bitwiseOR(identity)
 
 
@@ -73,11 +74,12 @@ def weighted_signatures(rows: DataFrame, group: str, key: str, texts: list[str])
     words = each.select(group, (F.col(key).cast("long") * n + F.col("of")).alias("at"), F.explode(F.split("text", WHITE_SPACE)).alias("word"))
     counted = words.where("word <> ''").groupBy(group, "at", F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("weight"))
     alike = counted.groupBy(group, "term", "weight").agg(F.collect_list("at").alias("rows"))
-    sampled = alike.select(group, "rows", *[sample(F.col("term"), F.col("weight").cast("double"), s).alias(f"s{s}") for s in range(SAMPLES)])
-    spread = sampled.select(group, F.explode("rows").alias("at"), *[f"s{s}" for s in range(SAMPLES)])
-    least = [F.min(F.when(F.pmod("at", F.lit(n)) == k, F.col(f"s{s}"))).alias(f"m{k}_{s}") for k in range(n) for s in range(SAMPLES)]
-    found = spread.groupBy(group, F.floor(F.col("at") / n).cast("long").alias(key)).agg(*least)
-    return found.select(group, key, *[_signature([f"m{k}_{s}" for s in range(SAMPLES)]).alias(f"sig_{t}") for k, t in enumerate(texts)])
+    slots = [f"s{s}" for s in range(SAMPLES)]
+    sampled = alike.select(group, "rows", *[sample(F.col("term"), F.col("weight").cast("double"), k).alias(s) for k, s in enumerate(slots)])
+    # one minimum a slot: with more in one aggregation the generated method would be too long to be compiled
+    least = sampled.select(group, F.explode("rows").alias("at"), *slots).groupBy(group, "at").agg(*[F.min(s).alias(s) for s in slots])
+    signed = least.select(group, F.floor(F.col("at") / n).cast("long").alias(key), F.pmod("at", F.lit(n)).alias("of"), _signature(slots).alias("sig"))
+    return signed.groupBy(group, key).agg(*[F.max(F.when(F.col("of") == k, F.col("sig"))).alias(f"sig_{t}") for k, t in enumerate(texts)])
 
 
 def fingerprint_documents(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -94,29 +96,32 @@ def fingerprint_documents(docs: DataFrame, id_col="doc_id", text_col="text") ->
     return rows.join(signed, "row", "left").select("doc_id", fingerprint_text("sig_text").alias("fingerprint"))
 
 
-def _dealt_by_order(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Documents with a bucket of neighbouring ids (ascending) each; as many rows to one as to another.
+def _dealt_by_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, tie and a bucket of neighbours each, so that (bucket, doc_id, tie) ascend together, null ids first.
 
-    Bounds are quantiles of all ids, a few for each shuffle partition. Null ids come before all.
+    Bounds are quantiles of all ids, a few for each shuffle partition. An id (or null) that holds
+    several quantiles has as many buckets, dealt by tie, the hash of the text.
     """
-    n = 6 * shuffle_partitions(docs.sparkSession)
+    n = _BUCKETS * shuffle_partitions(docs.sparkSession)
     coarse = int(n**0.5) + 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shares = [k / n for k in range(1, n)]
-    found = rows.select(F.percentile_approx("doc_id", shares, 20 * n)).first()[0]
+    rows = rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    found, known, total = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n), F.count("doc_id"), F.count(F.lit(1))).first()
+    of_null = max(1, round(n * (total - known) / max(1, total)))
     bounds = sorted(set(found or []))
-    if not bounds:
-        return rows.withColumn("bucket", F.lit(0)), 1
-    at = F.lit(0)
-    if len(bounds) > coarse:  # search among every coarse-th bound, then between two of them
-        heads = F.array(*[F.lit(b).cast("long") for b in bounds[::coarse]])
-        groups = F.array(*[F.array(*[F.lit(b).cast("long") for b in bounds[k + 1 : k + coarse]]).cast("array<bigint>") for k in range(0, len(bounds), coarse)])
-        head = F.size(F.filter(heads, lambda b: b < F.col("doc_id")))
-        inner = F.size(F.filter(F.get(groups, head - 1), lambda b: b < F.col("doc_id")))
-        at = F.when(head == 0, 0).otherwise((head - 1) * coarse + 1 + inner)
-    else:
-        at = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id")))
-    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(at)), len(bounds) + 1
+    shares = [(found or []).count(b) for b in bounds] + [1]
+    spread = lambda m: F.floor(F.col("tie") / 2.0**63 * m).cast("int")
+    longs = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
+    # search among every coarse-th bound, then between two of them
+    head = F.size(F.filter(longs(bounds[::coarse]), lambda b: b < F.col("doc_id")))
+    groups = F.array(*[longs(bounds[k + 1 : k + coarse]) for k in range(0, max(1, len(bounds)), coarse)])
+    inner = F.size(F.filter(F.get(groups, head - 1), lambda b: b < F.col("doc_id")))
+    at = F.when(head == 0, 0).otherwise((head - 1) * coarse + 1 + inner)
+    before = [of_null + sum(shares[:k]) for k in range(len(shares))]
+    placed = rows.withColumn("at", at)
+    own = F.when(F.col("doc_id") == F.get(longs(bounds), F.col("at")), spread(F.get(longs(shares), F.col("at")))).otherwise(0)
+    bucket = F.when(F.col("doc_id").isNull(), spread(F.lit(of_null))).otherwise(F.get(longs(before), F.col("at")).cast("int") + own)
+    return placed.withColumn("bucket", bucket).drop("at")
 
 
 def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -127,23 +132,23 @@ def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Documents are dealt once, by neighbouring ids; the first of the next bucket comes as a guest at
-    the end of each. Null texts are empty and null ids come last; of rows that tie in id, the one
-    with the smaller text comes first, and rows equal in both are neighbours. A table of one row is
+    the end of each. Null texts are empty and null ids come last; rows that tie in id come in the
+    order of a hash of the text, and rows equal in both are neighbours. A table of one row is
     its own next; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows, n = _dealt_by_order(docs, id_col, text_col)
-    # next below: the largest id (null: none) and smallest text of the nearest lower bucket that has rows
-    edge = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("doc_id").isNotNull().alias("known"))
+    rows = _dealt_by_order(docs, id_col, text_col)
+    # the first of a bucket, in descending order, is the guest of the bucket above it that has rows
+    edge = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("tie"))
     tops = rows.groupBy("bucket").agg(F.max(edge).alias("top")).collect()  # one row a bucket
     order = sorted((r["bucket"] for r in tops), reverse=True)
     host = {order[(k + 1) % len(order)]: b for k, b in enumerate(order)}
-    top_rows = [(r["bucket"], host[r["bucket"]], r["top"]["id"] if r["top"]["known"] else None) for r in tops]
-    hosts = spark.createDataFrame(top_rows, "bucket int, host int, top long")
-    guests = rows.join(F.broadcast(hosts), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top")))
-    guests = guests.groupBy("host", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("host").alias("bucket"), F.lit(1).alias("guest"))
-    dealt = rows.withColumn("guest", F.lit(0)).unionByName(guests).repartition(min(n, shuffle_partitions(spark)), "bucket")
-    down = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    top_rows = [(r["bucket"], host[r["bucket"]], r["top"]["id"] if r["top"]["known"] else None, r["top"]["tie"]) for r in tops]
+    hosts = spark.createDataFrame(top_rows, "bucket int, host int, top long, top_tie long")
+    guests = rows.join(F.broadcast(hosts), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("tie") == F.col("top_tie")))
+    guests = guests.groupBy("host", "doc_id", "tie").agg(F.min("text").alias("text")).select("doc_id", "text", "tie", F.col("host").alias("bucket"), F.lit(1).alias("guest"))
+    dealt = rows.withColumn("guest", F.lit(0)).unionByName(guests).repartition(_BUCKETS * shuffle_partitions(spark), "bucket")
+    down = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.desc("tie"), "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int"))
     edited = F.concat(kept, F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
