@@ -21,7 +21,9 @@ MAX_CAPACITY = f"\\bMax Capacity(?: \\((?:small|medium|large)\\))?:\\s*({_SIZE})
 OLD_GENERATION = f"\\[(?:ParOldGen|PSOldGen|Tenured Generation|CMS Old Gen|CMS):\\s*{_SIZE}\\s*->\\s*({_SIZE})"
 STATISTICS = "^[A-Za-z][A-Za-z ]{2,48}:.*\\d+(?:\\.\\d+)?\\s*/\\s*\\d+(?:\\.\\d+)?"
 TRADITIONAL = "^(?:(\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?[+-]\\d{4}):\\s+)?(\\d+(?:\\.\\d+)?):\\s+\\[(Full GC|GC)\\b(.*)$"
-LABELS = ["Normal", "Mixed", "Concurrent Start", "Prepare Mixed"]
+LABELS = ["normal", "mixed", "concurrent start", "prepare mixed"]
+#: The inside of a parenthesis, which may hold others, as in (System.gc()).
+PARENTHESIS = "\\(((?:[^()]|\\([^()]*\\))*)\\)"
 
 KEY = ["snapshot_id", "file"]
 COLUMNS = (
@@ -102,10 +104,10 @@ def _unified(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     after = F.coalesce(heap(2), F.when(~i.contains("Metaspace:"), _bytes(i, SHARES, 2)))
     ms = extracted(i, "([0-9]+(?:\\.[0-9]+)?)\\s*ms\\b").try_cast("double")
     pause = il.startswith("pause ")
-    parens = F.regexp_extract_all(i, F.lit("\\(([^()]*)\\)"), F.lit(1))
+    parens = F.regexp_extract_all(i, F.lit(PARENTHESIS), F.lit(1))
     said = F.filter(parens, lambda x: ~x.rlike(f"(?i)^(?:{_SIZE}%?)$"))
-    cause = F.try_element_at(F.filter(said, lambda x: ~x.isin(*LABELS)), F.lit(-1))
-    label = F.get(F.filter(said, lambda x: x.isin(*LABELS)), 0)
+    cause = F.try_element_at(F.filter(said, lambda x: ~F.lower(x).isin(*LABELS)), F.lit(-1))
+    label = F.get(F.filter(said, lambda x: F.lower(x).isin(*LABELS)), 0)
     only = lambda c: F.when(told, c)
     found = records.groupBy(*KEY, "gc_id").agg(
         F.min("line_no").alias("line_no"),
@@ -175,7 +177,7 @@ def _traditional(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         heap(3).alias("capacity"),
         _bytes(whole, OLD_GENERATION, 1).alias("old_after"),
         _bytes(whole, METASPACE, 2).alias("metaspace_after"),
-        extracted(tail, "\\(([^()]*)\\)").alias("cause"),
+        extracted(tail, PARENTHESIS).alias("cause"),
         lower.rlike("to-space exhausted|evacuation failure|promotion failed").alias("to_space_exhausted"),
         lower.contains("humongous allocation").alias("humongous"),
         extracted(head, TRADITIONAL, 1).alias("wall_raw"),
