@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._scratch import Scratch, shuffle_partitions
+from ._scratch import shuffle_partitions
 
 SAMPLES = 48
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -62,38 +62,52 @@ def fingerprint_text(signature: str) -> F.Column:
     return F.coalesce(F.array_join(F.transform(signature, code), ""), F.lit("-" * CODE_DIGITS * SAMPLES))
 
 
-def weighted_signatures(rows: DataFrame, group: str, key: str, texts: list[str]) -> DataFrame:
-    """group, key and a signature column sig_<text> of each text column; rows without any term are left out.
+def weighted_signatures(rows: DataFrame, group: str, key: str, texts: list[str], told: dict[str, F.Column] | None = None) -> DataFrame:
+    """group, key, a signature column sig_<text> of each text column (null: no terms), and the longs in told.
 
     rows must be dealt by the column group, and key (a number) tells the rows of a group apart: then
     no step shuffles. A sample depends on term and weight alone, so each is computed once for all
-    rows of a group that have it.
+    rows of a group that have it. What is told of a row rides along as the words of one more text,
+    each the minimum of a slot, so that it need not be joined to the signatures.
     """
-    n = len(texts)
-    each = rows.select(group, key, F.posexplode(F.array(*texts)).alias("of", "text"))
-    words = each.select(group, (F.col(key).cast("long") * n + F.col("of")).alias("at"), F.explode(F.split("text", WHITE_SPACE)).alias("word"))
-    counted = words.where("word <> ''").groupBy(group, "at", F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("weight"))
-    alike = counted.groupBy(group, "term", "weight").agg(F.collect_list("at").alias("rows"))
-    slots = [f"s{s}" for s in range(SAMPLES)]
-    sampled = alike.select(group, "rows", *[sample(F.col("term"), F.col("weight").cast("double"), k).alias(s) for k, s in enumerate(slots)])
-    # one minimum a slot: with more in one aggregation the generated method would be too long to be compiled
+    told = told or {}
+    n = len(texts) + 1
+    as_words = F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("-")) for c in told.values()])
+    each = rows.select(group, key, F.posexplode(F.array(*texts, as_words)).alias("of", "text"))
+    words = each.select(group, (F.col(key).cast("long") * n + F.col("of")).alias("at"), "of", F.posexplode(F.split("text", WHITE_SPACE)).alias("pos", "word")).where("word <> ''")
+    is_told = F.col("of") == len(texts)
+    term, slot = F.when(is_told, F.col("word").try_cast("long")).otherwise(F.xxhash64("word")), F.when(is_told, F.col("pos") + 1).otherwise(0)
+    counted = words.groupBy(group, "at", slot.alias("slot"), term.alias("term")).agg(F.count(F.lit(1)).alias("weight"))
+    alike = counted.groupBy(group, "slot", "term", "weight").agg(F.collect_list("at").alias("rows"))
+    slots = [f"s{s}" for s in range(max(SAMPLES, len(told)))]
+    of_slot = lambda k: sample(F.col("term"), F.col("weight").cast("double"), k)
+    told_or = lambda k: F.when(F.col("slot") == 0, of_slot(k)).when(F.col("slot") == k + 1, F.col("term")) if k < len(told) else of_slot(k)
+    sampled = alike.select(group, "rows", *[told_or(k).alias(s) for k, s in enumerate(slots)])
+    # one minimum a slot, and no test where nothing is told: the JVM compiles no method of over 8000 bytes
     least = sampled.select(group, F.explode("rows").alias("at"), *slots).groupBy(group, "at").agg(*[F.min(s).alias(s) for s in slots])
-    signed = least.select(group, F.floor(F.col("at") / n).cast("long").alias(key), F.pmod("at", F.lit(n)).alias("of"), _signature(slots).alias("sig"))
-    return signed.groupBy(group, key).agg(*[F.max(F.when(F.col("of") == k, F.col("sig"))).alias(f"sig_{t}") for k, t in enumerate(texts)])
+    signed = least.select(group, F.floor(F.col("at") / n).cast("long").alias(key), F.pmod("at", F.lit(n)).alias("of"), _signature(slots[:SAMPLES]).alias("sig"), F.array(*slots[: len(told)]).cast("array<bigint>").alias("told"))
+    found = signed.groupBy(group, key).agg(*[F.max(F.when(F.col("of") == k, F.col("sig"))).alias(f"sig_{t}") for k, t in enumerate(texts)], F.max(F.when(F.col("of") == len(texts), F.col("told"))).alias("told"))
+    return found.select(group, key, *[f"sig_{t}" for t in texts], *[F.get("told", k).alias(c) for k, c in enumerate(told)])
+
+
+def _in_pieces(hex_: F.Column, name: str, pieces: int = 8) -> dict[str, F.Column]:
+    """Longs that hold eight hex digits each."""
+    return {f"{name}{k}": F.conv(F.substring(hex_, 8 * k + 1, 8), 16, 10) for k in range(pieces)}
+
+
+def _from_pieces(name: str, pieces: int = 8) -> F.Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(f"{name}{k}"), 8, "0") for k in range(pieces)]))
 
 
 def fingerprint_documents(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id and fingerprint of every row of docs; null and empty texts have one of dashes.
+    """doc_id (a long) and fingerprint of every row of docs; null and empty texts have one of dashes.
 
     Repeated rows and null ids stay rows of their own.
     """
-    scratch = Scratch(docs.sparkSession, "fingerprints")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = scratch.save(rows, "rows")
-    n = shuffle_partitions(docs.sparkSession)
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(6 * n))).repartition(n, "part")
-    signed = weighted_signatures(dealt, "part", "row", ["text"])
-    return rows.join(signed, "row", "left").select("doc_id", fingerprint_text("sig_text").alias("fingerprint"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    n = _BUCKETS * shuffle_partitions(docs.sparkSession)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n))).repartition(n, "part").withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("row")))
+    return weighted_signatures(dealt, "part", "nth", ["text"], {"doc_id": F.col("doc_id")}).select("doc_id", fingerprint_text("sig_text").alias("fingerprint"))
 
 
 def _dealt_by_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,8 +145,8 @@ def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     (or all) of the next document's, in the order of descending id; after the last comes the first.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are dealt once, by neighbouring ids; the first of the next bucket comes as a guest at
-    the end of each. Null texts are empty and null ids come last; rows that tie in id come in the
+    Documents are dealt once, by neighbouring ids, in the one shuffle of texts; the first of the next
+    bucket comes as a guest at the end of each. Null texts are empty and null ids come last; rows that tie in id come in the
     order of a hash of the text, and rows equal in both are neighbours. A table of one row is
     its own next; an empty table gives no rows.
     """
@@ -158,14 +172,11 @@ def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         .withColumn("nth", F.row_number().over(down).cast("long"))
         .withColumn("edited", F.when(F.col("guest") == 0, edited).otherwise(""))
     )
-    # what doesn't need the words is written first: then one shuffle of texts is on disk at a time
-    about = numbered.select("bucket", "nth", "guest", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    about = Scratch(spark, "fingerprints").save(about, "about")
-    signed = weighted_signatures(numbered, "bucket", "nth", ["text", "edited"])
+    sha = F.sha2(F.encode("edited", "UTF-8"), 256)
+    signed = weighted_signatures(numbered, "bucket", "nth", ["text", "edited"], {"doc_id": F.col("doc_id"), "n_chars": F.col("n_chars"), "guest": F.col("guest")} | _in_pieces(sha, "sha"))
     follow = Window.partitionBy("bucket").orderBy("nth")
-    joined = about.join(signed, ["bucket", "nth"], "left").withColumn("sig_next", F.lead("sig_text").over(follow))
-    likened = joined.where("guest = 0")
+    likened = signed.withColumn("sig_next", F.lead("sig_text").over(follow)).where("guest = 0")
     return likened.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint_text("sig_text").alias("fingerprint"), fingerprint_text("sig_edited").alias("edited_fingerprint"),
+        "doc_id", "n_chars", _from_pieces("sha").alias("edited_sha256"), fingerprint_text("sig_text").alias("fingerprint"), fingerprint_text("sig_edited").alias("edited_fingerprint"),
         likeness("sig_text", "sig_edited").alias("near_edited"), likeness("sig_text", "sig_next").alias("near_next"),
     )
