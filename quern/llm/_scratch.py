@@ -32,6 +32,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/quern-{label}-{uuid.uuid4().hex}"
 
+    def inner(self, name: str) -> Scratch:
+        """Tables of a step, in a folder of this run."""
+        made = Scratch(self.spark, name)
+        made.root = self.path(name)
+        return made
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -52,3 +58,11 @@ class Scratch:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like that one which df doesn't have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

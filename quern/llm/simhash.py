@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._components import connected_components
-from ._scratch import Scratch, shuffle_partitions
-from .similar_sets import SKETCH, parity_sketch, prefix, similar_links
+from ._scratch import Scratch, shuffle_partitions, unused
+from .similar_sets import BAND, SKETCH, min_hash_bands, parity_sketch, similar_groups
 
 BITS = 64
 _SHINGLES_AT_ONCE = 1 << 17
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
-    bytes_ = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+def _bit_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
+    bytes_ = np.asarray(hashes if isinstance(hashes, np.ndarray) else np.array(hashes, "<u8")).view(np.uint8).reshape(-1, 8)
     return np.unpackbits(bytes_, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
@@ -148,62 +148,73 @@ def _lists(lists: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
 
 
-def remove_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words_per_shingle=5, similarity=0.8, bucket_limit=16, sample_rows=10_000, most_common=1 << 17) -> DataFrame:
+def _majority(elements: np.ndarray) -> int:
+    """SimHash (signed) of a set of hashes: each counts once."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(elements), _SHINGLES_AT_ONCE):
+        total += _bit_counts(elements[at : at + _SHINGLES_AT_ONCE])
+    return int(np.packbits(2 * total > len(elements), bitorder="little").view("<i8")[0])
+
+
+def remove_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words_per_shingle=5, similarity=0.8, distance=4, bucket_limit=16) -> DataFrame:
     """docs with one row of each group of texts whose word shingles have Jaccard similarity >= `similarity`.
 
-    Groups are those that all pairs of texts with that similarity, on the shingles of both whole texts,
-    link; the row of smallest (doc_id, text hash) stays. Pairs are found by an exact join on shared
-    prefixes of the shingle sets (similar_sets.py) at every number of rows. The order of shingles is
-    drawn from about sample_rows texts; groups don't depend on it.
+    Candidates are texts whose SimHashes (over distinct shingles) share pigeonhole blocks for
+    `distance`; as texts of similarity 0.8 differ in 10 of 64 bits on average, min-hash bands add the
+    pairs that no SimHash reaches (similar_sets.py has the chance of a miss, 2.6e-5 at 0.8). All
+    candidates are decided on the shingles of both whole texts, and a group is what links connect.
+    The row of smallest (doc_id, text digest) of a group stays.
 
     Null texts count as empty; texts without words are similar to one another. A null id comes
     after others. Of rows equal in id and text one stays. Columns are those of docs.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
-    identity = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_key")]
-    read = docs.select(*identity, F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    place, digest = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)), F.unhex(F.md5(text))
+    read = docs.select(place.alias("place"), digest.alias("digest"), text.alias("text"))
+
+    def described(batches):
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(2)]
+            numbers = np.array([[_majority(x), *parity_sketch(x), *min_hash_bands(x)] for x in sets], np.int64).reshape(-1, 1 + len(SKETCH) + len(BAND))
+            of_set = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *of_set, *[pa.array(c) for c in numbers.T.copy()]], names=["place", "digest", "set", "n", "fp", *SKETCH, *BAND])
 
     def shingled(batches):
         for batch in batches:
             lists = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(lists)], names=["key", "elements"])
 
-    in_sample = F.pmod(F.col("_key"), F.lit(max(1, docs.count() // sample_rows))) == 0
-    sample = read.where(in_sample).select(F.col("_key").alias("key"), "text").dropDuplicates(["key"]).mapInArrow(shingled, "key long, elements array<long>")
-    often = sample.select(F.explode("elements").alias("e")).groupBy("e").count().where("count > 2").orderBy(F.desc("count"), "e").limit(most_common).toArrow()
-    common, counts = often.column("e").to_numpy(), often.column("count").to_numpy()
-    order = np.argsort(common)
-    sent = spark.sparkContext.broadcast((common[order], counts[order]))
-
-    def sketched(batches):
-        for batch in batches:
-            lists = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(2)]
-            sketches = np.array([parity_sketch(x) for x in lists], np.int64).reshape(-1, len(SKETCH))
-            heads = _lists([prefix(x, similarity, *sent.value) for x in lists])
-            columns = [*batch.columns[:2], pa.array([len(x) for x in lists], pa.int32()), heads, *[pa.array(c) for c in sketches.T.copy()]]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "key", "n", "prefix", *SKETCH])
-
-    found = scratch.save(read.mapInArrow(sketched, "_id long, key long, n int, prefix array<long>, " + ", ".join(f"{p} long" for p in SKETCH)), "found")
-    texts = scratch.save(found.groupBy(F.col("key").alias("_key")).agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("rows")), "texts")
-    copied = texts.where("rows > 1").select(F.col("_key").alias("key"), "_id")
-    once = found.join(copied.select("key"), "key", "left_anti").unionByName(found.join(copied, ["key", "_id"], "left_semi").dropDuplicates(["key"]))
-    sets = scratch.save(once.select("key", "n", "prefix", *SKETCH), "sets")
+    numbers = ["n", "fp", *SKETCH, *BAND]
+    found = scratch.save(read.mapInArrow(described, "place long, digest binary, set binary, n int, " + ", ".join(f"{c} long" for c in numbers[1:])), "found")
+    texts = scratch.save(found.groupBy("set", "place", "digest").agg(F.count(F.lit(1)).alias("rows")), "texts")
+    # equal sets are one class: their numbers are equal, so a minimum is the number
+    classes = texts.groupBy("set").agg(F.min(F.struct("place", "digest")).alias("first"))
+    told = found.groupBy("set").agg(*[F.min(c).alias(c) for c in numbers])
+    sets = scratch.save(told.join(classes, "set").select(F.monotonically_increasing_id().alias("key"), "set", "first", *numbers), "sets")
     scratch.drop("found")
 
+    masks = block_masks((b := blocks_for(sets.count(), distance)), b - distance)
+    blocks = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)]
+    members = sets.select("key", F.explode(F.array(*blocks, *[F.col(b) for b in BAND])).alias("bucket"))
+
     def elements_of(keys: DataFrame) -> DataFrame:
-        firsts = texts.join(keys.withColumnRenamed("key", "_key"), "_key", "left_semi").select("_key", "_id")
-        wanted = read.join(firsts, ["_id", "_key"]).select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
+        firsts = sets.join(keys, "key").select("key", "first.place", "first.digest")
+        wanted = read.join(firsts, ["place", "digest"]).select("key", "text").dropDuplicates(["key"])
         return wanted.mapInArrow(shingled, "key long, elements array<long>")
 
-    alike = similar_links(sets, elements_of, similarity, scratch, bucket_limit)
-    roots = connected_components(alike, scratch).withColumnRenamed("node", "_key")
-    scratch.drop("sets")
-    grouped = scratch.save(texts.join(roots, "_key").select("_key", "_id", "root"), "grouped")
-    stays = grouped.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("f")).select(F.col("f._key").alias("_key"))
-    gone = scratch.save(grouped.join(stays, "_key", "left_anti").select("_key"), "gone")
-    repeated = scratch.save(texts.where("rows > 1").join(gone, "_key", "left_anti").select("_key", F.col("_id").alias("_first")), "repeated")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *identity).join(gone, "_key", "left_anti").join(repeated, "_key", "left")
-    single = keyed.where("_first is null")
-    first = keyed.where("_first = _id").dropDuplicates(["_id", "_key"])
-    return single.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
+    roots = similar_groups(sets, members, elements_of, similarity, scratch, bucket_limit)
+    rooted = sets.join(roots, "key", "left").select("first", F.coalesce("root", "key").alias("root"))
+    stays = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.place", "first.digest"), "stays")
+    p, d = unused(docs, "place"), unused(docs, "digest")
+    gone = scratch.save(texts.join(stays, ["place", "digest"], "left_anti").select(F.col("place").alias(p), F.col("digest").alias(d)), "gone")
+    again = scratch.save(texts.where("rows > 1").join(stays, ["place", "digest"]).select(F.col("place").alias(p), F.col("digest").alias(d)), "again")
+    scratch.drop("sets", "texts")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.select(*columns, place.alias(p), digest.alias(d)).join(gone, [p, d], "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, [p, d], "left_anti").unionByName(left.join(again, [p, d], "left_semi").dropDuplicates([p, d]))
+    return left.select(*columns)

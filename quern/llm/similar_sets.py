@@ -1,42 +1,44 @@
-"""Exact set-similarity join: all pairs of sets with a Jaccard similarity, by shared prefix elements.
+"""Groups of similar sets: candidates share a key, sketches rule pairs out, and the rest is compared exactly.
 
-Elements have one fixed order, elements that a sample shows to be common last. Two sets of n and m
-elements with similarity t share an element among the first n - ceil(t n) + 1 of one and
-m - ceil(t m) + 1 of the other, whatever the order and however many sets there are.
+No bucket is expanded into all its pairs. Members are compared with one member of their bucket that
+shares most keys; what that connects is one group, and only pairs across groups are looked at again.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ._components import connected_components
 from ._scratch import Scratch
 
 #: Longs of a parity sketch: bit h % (64 * _LONGS) is the parity of the elements h that fall on it.
 _LONGS = 8
 SKETCH = [f"p{k}" for k in range(_LONGS)]
-_STAR_ROUNDS = 2
+#: Two sets of similarity t miss each other with a chance of (1 - t ** ROWS) ** BANDS: 2.6e-5 at 0.8, at any number of sets.
+BANDS, ROWS = 20, 4
+BAND = [f"b{k}" for k in range(BANDS)]
+_ELEMENTS_AT_ONCE = 1 << 12
+_PICKY_TURNS = 2
 
+_rng = np.random.default_rng(20)
+_FLIP, _TIMES = (_rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
+_FOLD = _rng.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
-def prefix(elements: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """First elements of a set (distinct longs) in the fixed order; an empty set has one of its own, 0.
 
-    common is sorted, counts are the sample's counts of its elements; only speed depends on them.
-    """
-    n = len(elements)
-    if not n:
-        return np.zeros(1, np.int64)
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
-        rank = np.where(common[at] == elements, counts[at], 0)
-    return elements[np.lexsort((elements, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+def min_hash_bands(elements: np.ndarray) -> np.ndarray:
+    """A long a band, equal for two sets with a chance of their Jaccard similarity to the power ROWS."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(elements), _ELEMENTS_AT_ONCE):
+        some = elements[at : at + _ELEMENTS_AT_ONCE].view(np.uint64)[None, :]
+        least = np.minimum(least, ((some ^ _FLIP) * _TIMES).min(axis=1))
+    folded = least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))
+    return (folded * _FOLD).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def parity_sketch(elements: np.ndarray) -> np.ndarray:
@@ -52,83 +54,76 @@ def _possible(a: str, b: str, similarity: float) -> Column:
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6)
 
 
-def _named(df: DataFrame, before: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(before + c) for c in ["key", "n", *SKETCH]])
+def _named(df: DataFrame, before: str, *more: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(before + c) for c in ["key", *more, "n", *SKETCH]])
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
-def similar_links(sets: DataFrame, elements_of, similarity: float, scratch: Scratch, bucket_limit: int = 16) -> DataFrame:
-    """Edges (u, v) that connect exactly what all pairs of at least that similarity would connect.
+def similar_groups(sets: DataFrame, members: DataFrame, elements_of, similarity: float, scratch: Scratch, bucket_limit: int = 16) -> DataFrame:
+    """(key, root) of all sets that have a partner: sets that pairs of at least that similarity link have one root.
 
-    sets is written, one row a set: key, n, prefix, and the sketch; elements_of(keys) gives key,
-    elements of those sets. Sets with a common prefix element form a bucket. All pairs of a bucket of
-    at most bucket_limit are compared. In a larger one all members are compared with the one whose
-    prefix is most shared, those left over with another; members found similar to the same one are
-    connected already, and every other pair of the bucket is compared, block by block.
+    sets is written, one row a set: key (long), n, and the sketch. members has (key, bucket): sets in
+    a common bucket are candidates, and all their pairs are decided. elements_of(keys) gives key and
+    elements of those sets; it is asked once for each set at most.
     """
-    of_element = Window.partitionBy("element")
-    members = sets.select("key", F.explode("prefix").alias("element")).repartition("element")
-    size, sign = F.count(F.lit(1)).over(of_element), F.bit_xor(F.xxhash64("key")).over(of_element)
-    members = members.select("element", "key", size.alias("size"), F.min("key").over(of_element).alias("least"), F.max("key").over(of_element).alias("most"), sign.alias("sign"))
-    members = scratch.save(members.where("size > 1"), "members")
-    # elements of the same sets give the same bucket: one of them is taken
-    buckets = scratch.save(members.groupBy("size", "least", "most", "sign").agg(F.min("element").alias("element")), "buckets")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        near = pairs.join(_named(sets, "a_").withColumnRenamed("a_key", "a"), "a").join(_named(sets, "b_").withColumnRenamed("b_key", "b"), "b")
-        near = scratch.save(near.where(_possible("a_", "b_", similarity)).select("a", "b"), f"{name}-near")
-        elements = scratch.save(elements_of(near.select(F.explode(F.array("a", "b")).alias("key")).distinct()), f"{name}-elements")
+    fetched: list[DataFrame] = []
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(_named(sets, "a_").withColumnRenamed("a_key", "a"), "a").join(_named(sets, "b_").withColumnRenamed("b_key", "b"), "b")
+        return met.where(_possible("a_", "b_", similarity)).select("a", "b")
+
+    def verified(near: DataFrame, name: str) -> DataFrame:
+        wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        for known in fetched:
+            wanted = wanted.join(known.select("key"), "key", "left_anti")
+        fetched.append(scratch.save(elements_of(wanted), f"{name}-elements"))
+        elements = reduce(DataFrame.unionByName, fetched)
         met = near.join(elements.toDF("a", "x"), "a").join(elements.toDF("b", "y"), "b")
         common = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - common
-        found = scratch.save(met.where((union == 0) | (common >= similarity * union)).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
-        scratch.drop(f"{name}-near", f"{name}-elements")
-        return found
-
-    pairs = buckets.where("size = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    shared = members.select("element", "key", "size").join(buckets.where("size > 2").select("element"), "element")
-    few = shared.where(F.col("size") <= bucket_limit).groupBy("element").agg(F.collect_list("key").alias("keys")).select(F.array_sort("keys").alias("keys"))
-    few = few.select("keys", F.explode("keys").alias("a")).select("a", F.explode(F.filter("keys", lambda k: k > F.col("a"))).alias("b"))
-    pairs = scratch.save(pairs.unionByName(few).distinct(), "pairs")
-    if buckets.where(F.col("size") > bucket_limit).isEmpty():
-        links = verified(pairs, "links")
-        scratch.drop("members", "buckets", "pairs")
-        return links
-
-    score = members.where(F.col("size") > bucket_limit).groupBy("key").count()
-    score = score.join(sets.select("key", F.size("prefix").alias("all")), "key").select("key", (F.col("count") / F.col("all")).alias("score"))
-    large = shared.where(F.col("size") > bucket_limit).join(scratch.save(score, "score"), "key")
-    large = scratch.save(large.withColumn("star", F.lit(None).cast("long")), "large-0")
-    scratch.drop("members", "buckets")
-    stars = None
-    for k in range(1, _STAR_ROUNDS + 1):
-        centres = large.where("star is null").groupBy("element").agg(F.max(F.struct("score", "key"))["key"].alias("centre"))
-        met = large.join(scratch.save(centres, f"centres-{k}"), "element", "left")
-        found = verified(_ordered(met.where("star is null and centre is not null"), "key", "centre"), f"stars-{k}")
-        stars = found if stars is None else stars.unionByName(found)
-        near = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("key"), F.col("v").alias("centre"), F.lit(True).alias("near"))
-        met = met.join(near, ["key", "centre"], "left")
-        now = F.when(F.col("near") | (F.col("key") == F.col("centre")), F.col("centre"))
-        large = scratch.save(met.select("element", "key", "size", "score", F.coalesce("star", now).alias("star")), f"large-{k}")
-        scratch.drop(f"large-{k - 1}", f"centres-{k}")
-
-    # of two members of different stars at least one isn't of the bucket's largest star
-    star_sizes = large.where("star is not null").groupBy("element", "star").count()
-    largest = scratch.save(star_sizes.groupBy("element").agg(F.max(F.struct("count", "star"))["star"].alias("largest")), "largest")
-    outside = large.join(largest, "element").where("star is null or star <> largest").select("element", "key", "size", "star")
-    outside = scratch.save(outside, "outside")
-    open_ = outside.select("element").distinct()
-    known = _named(sets, "")
+        return scratch.save(met.where((union == 0) | (common >= similarity * union)).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = scratch.save(members.join(sizes, "bucket").select("bucket", "key", "size"), "members")
+    # a text that many were copied from shares more keys with each of them than they do with one another
+    score = shared.groupBy("key").agg(F.sum("size").alias("score"))
+    centres = shared.join(score, "key").groupBy("bucket").agg(F.max(F.struct("score", "key"))["key"].alias("centre"))
+    shared = scratch.save(shared.join(centres, "bucket"), "centred")
+    scratch.drop("members")
+    links = verified(scratch.save(possible(_ordered(shared, "key", "centre")), "near-0"), "links-0")
+    roots = connected_components(links, scratch.inner("roots-0"))
+
+    # pairs across groups that no centre decided
+    grouped = shared.where("size > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    grouped = scratch.save(grouped, "grouped")
+    open_ = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    rest = scratch.save(grouped.join(open_, "bucket").where("key <> centre").select("bucket", "key", "size", "root"), "rest")
+    scratch.drop("near-0", "centred", "grouped")
+    few = rest.where(F.col("size") <= bucket_limit).groupBy("bucket").agg(F.collect_list(F.struct("key", "root")).alias("all")).select("all", F.explode("all").alias("one"))
+    few = few.select("one", F.explode(F.filter("all", lambda x: (x["key"] > F.col("one.key")) & (x["root"] != F.col("one.root")))).alias("other"))
+    few = few.select(F.col("one.key").alias("a"), F.col("other.key").alias("b"))
+    many = rest.where(F.col("size") > bucket_limit)
+    # of two members of different groups at least one isn't of the bucket's largest group
+    largest = many.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
     blocks = F.ceil(F.col("size") / 512).cast("int")
-    left = outside.join(known, "key").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    right = large.join(open_, "element", "left_semi").join(known, "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    renamed = lambda df, before: df.select("element", "block", *[F.col(c).alias(before + c) for c in ["key", "star", "n", *SKETCH]])
-    across = renamed(left, "a_").join(renamed(right, "b_"), ["element", "block"])
-    across = across.where("a_key <> b_key and coalesce(a_star <> b_star, true)").where(_possible("a_", "b_", similarity))
+    outside = many.join(largest, "bucket").where("root <> largest").join(_named(sets, ""), "key").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    inside = many.join(outside.select("bucket").distinct(), "bucket", "left_semi").join(_named(sets, ""), "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    across = _named(outside, "a_", "bucket", "block", "root").join(_named(inside, "b_", "bucket", "block", "root"), (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_block") == F.col("b_block")) & (F.col("a_root") != F.col("b_root")) & _possible("a_", "b_", similarity))
     across = _ordered(across, "a_key", "b_key")
-    links = verified(scratch.save(pairs.unionByName(across).distinct(), "all-pairs"), "links")
-    scratch.drop("pairs", "score", f"large-{_STAR_ROUNDS}", "largest", "outside", "all-pairs")
-    return stars.unionByName(links)
+    left = scratch.save(possible(few.distinct()).unionByName(across).distinct(), "left-0")
+    turn = 0
+    while not left.isEmpty():
+        turn += 1
+        chosen = left
+        if turn <= _PICKY_TURNS:  # one pair of each set first: what it connects makes most others needless
+            chosen = _ordered(left.groupBy("a").agg(F.min("b").alias("b")).unionByName(left.groupBy("b").agg(F.max("a").alias("a")).select("a", "b")), "a", "b")
+        chosen = scratch.save(chosen, f"chosen-{turn}")
+        links = links.unionByName(verified(chosen, f"links-{turn}"))
+        roots = connected_components(links, scratch.inner(f"roots-{turn}"))
+        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        met = left.join(chosen, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        left = scratch.save(met.where("not coalesce(root_a = root_b, false)").select("a", "b"), f"left-{turn}")
+    return roots.withColumnRenamed("node", "key")

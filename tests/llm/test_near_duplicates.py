@@ -113,4 +113,3 @@ def test_groups_equal_brute_force(spark, limit):
             texts.append(copy + copy[:12] * rng.randrange(0, 3))
     rows = [*numbered(texts, rng), (1000, None), (1001, " \n")]
     assert kept(spark, rows, bucket_limit=limit) == sorted(firsts(rows))
-    assert kept(spark, rows, bucket_limit=limit, sample_rows=10, most_common=5) == sorted(firsts(rows))
