@@ -9,12 +9,15 @@ preformatted text as written.
 from __future__ import annotations
 
 import re
+import sys
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import unused
+
 # Fixed values of HTML: element names by what the parser or the layout does with them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -48,11 +51,12 @@ ENDED_BY = {
 }
 SCOPE = frozenset("html table td th caption button object template".split())
 
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: Tables nested deeper than this are laid out as blocks.
-_DEEPEST_TABLE = 40
+#: A quote opens a quoted value only after an equals sign; anywhere else it is part of a name or value.
+_TAG = re.compile(
+    r"<(?:!--(?:>|->|.*?(?:-->|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z))", re.S
+)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+_HIDING_STYLE = re.compile(r"(?:\A|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACES = re.compile("[ \t\n\r\f]+")
 #: Parts of a table that hold cells only; what else stands in them is moved out.
 _ROW_GROUPS = frozenset("tbody thead tfoot".split())
@@ -62,12 +66,36 @@ _SELF_CLOSED = re.compile(r"(?<![^\s\"'/])/\Z|(?:\A|\s)[^\s=\"']+/\Z")
 _HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 
 
+#: What an opening tag may end, by kind: (names, barriers). The first kind is the open paragraph.
+_KINDS = list(dict.fromkeys([(frozenset(["p"]), SCOPE), *ENDED_BY.values()]))
+_KIND_OF = {name: _KINDS.index(kind) for name, kind in ENDED_BY.items()}
+_IN_A_KIND = frozenset().union(*[names | barriers for names, barriers in _KINDS])
+#: An end tag doesn't reach beyond these.
+_FLOORS = frozenset("table td th caption".split())
+
+
 class Element:
-    __slots__ = ("name", "attributes", "children", "parent")
+    """ends holds, for each kind, the outermost open element that a tag of the kind would end here.
+
+    place is the nearest part of a table around it, floor the depth of the nearest of _FLOORS: with these
+    no tag has to look at its ancestors, however deep they are.
+    """
+
+    __slots__ = ("attributes", "children", "depth", "ends", "floor", "foreign", "name", "parent", "place")
 
     def __init__(self, name: str, attributes: dict[str, str], parent: Element | None):
         self.name, self.attributes, self.parent = name, attributes, parent
         self.children: list[Element | str] = []
+        if parent is None:
+            self.depth, self.floor, self.foreign, self.place, self.ends = 0, -1, False, self, (None,) * len(_KINDS)
+            return
+        self.depth = parent.depth + 1
+        self.floor = self.depth if name in _FLOORS else parent.floor
+        self.foreign = parent.foreign or name in ("svg", "math")
+        self.place = self if name in _PLACE_ENDS else parent.place
+        self.ends = parent.ends
+        if name in _IN_A_KIND:
+            self.ends = tuple(None if name in barriers else end or (self if name in names else None) for (names, barriers), end in zip(_KINDS, parent.ends, strict=True))
 
 
 class TreeBuilder:
@@ -76,40 +104,35 @@ class TreeBuilder:
     def __init__(self):
         self.root = Element("#root", {}, None)
         self.at = self.root
+        self.opened: dict[str, list[Element]] = {}  # by name, the innermost last
 
     def _close_up_to(self, element: Element) -> None:
-        self.at = element.parent or self.root
+        while self.at is not self.root:
+            last = self.at
+            self.opened[last.name].pop()
+            self.at = last.parent
+            if last is element:
+                break
 
-    def _open_in_scope(self, names: frozenset[str], barriers: frozenset[str]) -> Element | None:
-        node, found = self.at, None
-        while node.parent is not None and node.name not in barriers:
-            if node.name in names:
-                found = node
-            node = node.parent
-        return found
+    def _close_inside(self, element: Element) -> None:
+        while self.at is not element:
+            self._close_up_to(self.at)
 
     def open(self, name: str, attributes: dict[str, str]) -> None:
-        if name in CLOSES_P:
-            open_p = self._open_in_scope(frozenset(["p"]), SCOPE)
-            if open_p is not None:
-                self._close_up_to(open_p)
+        if name in CLOSES_P and (open_p := self.at.ends[0]) is not None:
+            self._close_up_to(open_p)
         if name in HEADINGS and self.at.name in HEADINGS:
             self._close_up_to(self.at)
-        if name in ("td", "th", "tr", "caption", "colgroup") or name in _ROW_GROUPS:
-            place = self.at
-            while place.parent is not None and place.name not in _PLACE_ENDS:
-                place = place.parent
-            if place.name in _CELL_PLACES:  # ends what stands between rows or cells
-                self.at = place
-        if name in ENDED_BY:
-            ended = self._open_in_scope(*ENDED_BY[name])
-            if ended is not None:
-                self._close_up_to(ended)
+        if (name in ("td", "th", "tr", "caption", "colgroup") or name in _ROW_GROUPS) and self.at.place.name in _CELL_PLACES:
+            self._close_inside(self.at.place)  # ends what stands between rows or cells
+        if name in _KIND_OF and (ended := self.at.ends[_KIND_OF[name]]) is not None:
+            self._close_up_to(ended)
         if name not in _HEAD_ONLY and name not in ("head", "html") and self.at.name == "head":
             self._close_up_to(self.at)
         if name in ("td", "th") and self.at.name in ("table", "tbody", "thead", "tfoot"):
             self._push("tr", {})
-        if name in ("html", "body") and (same := self._open_in_scope(frozenset([name]), frozenset())) is not None:
+        if name in ("html", "body") and self.opened.get(name):
+            same = self.opened[name][0]
             same.attributes = attributes | same.attributes
             return
         self._push(name, attributes)
@@ -117,31 +140,24 @@ class TreeBuilder:
             self._close_up_to(self.at)  # holds nothing there
 
     def in_foreign(self) -> bool:
-        node = self.at
-        while node.parent is not None:
-            if node.name in ("svg", "math"):
-                return True
-            node = node.parent
-        return False
+        return self.at.foreign
 
     def _push(self, name: str, attributes: dict[str, str]) -> None:
         child = Element(name, attributes, self.at)
         self.at.children.append(child)
         if name not in VOID:
             self.at = child
+            self.opened.setdefault(name, []).append(child)
 
     def close(self, name: str) -> None:
         if name == "br":
             return self.open("br", {})
-        barriers = frozenset() if name in SCOPE or name in ("body", "html") else frozenset(["table", "td", "th", "caption"])
-        node = self.at
-        while node.parent is not None:
-            if node.name == name or name in HEADINGS and node.name in HEADINGS:
-                return self._close_up_to(node)
-            if node.name in barriers:
-                break
-            node = node.parent
-        if name == "p":
+        floor = -1 if name in SCOPE or name in ("body", "html") else self.at.floor
+        same = [self.opened[n][-1] for n in (HEADINGS if name in HEADINGS else (name,)) if self.opened.get(n)]
+        innermost = max(same, key=lambda e: e.depth, default=None)
+        if innermost is not None and innermost.depth > floor:
+            self._close_up_to(innermost)
+        elif name == "p":
             self.open("p", {})
             self._close_up_to(self.at)
 
@@ -190,7 +206,9 @@ def visible(e: Element) -> bool:
         return False
     a = e.attributes
     if not a:
-        return True
+        return e.name != "dialog"
+    if e.name == "dialog" and "open" not in a:
+        return False
     if "hidden" in a or e.name == "input" and a.get("type", "").lower() == "hidden":
         return False
     return not ("style" in a and _HIDING_STYLE.search(a["style"]))
@@ -204,8 +222,9 @@ class _Lines:
         self.line: list[str] = []
         self.space = self.blank = False
         self.indent = indent
-        self.mark = ""
-        self.numbered: dict[int, int] = {}  # items so far of each ordered list
+        self.marks: list[tuple[int, str]] = []  # of items whose first line is still to come, and where they stand
+        self.items = 0  # items that are open
+        self.numbered: dict[int, int] = {}  # the next number of each ordered list
 
     def write(self, text: str) -> None:
         words = _SPACES.sub(" ", text)
@@ -227,9 +246,11 @@ class _Lines:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        self.lines.append((self.indent + self.mark + text).rstrip(" "))
-        if self.mark:
-            self.indent, self.mark = self.indent + " " * len(self.mark), ""
+        indent = self.indent
+        for at, mark in self.marks:
+            indent = indent[:at] + mark + indent[at + len(mark) :]
+        self.marks = []
+        self.lines.append((indent + text).rstrip(" "))
 
     def broken(self) -> None:
         if self.line:
@@ -246,13 +267,14 @@ class _Lines:
         self._put(line)
 
 
-def _rows_of(table: Element):
-    for child in table.children:
+def _rows_of(table: Element, group: int = 0):
+    """(row group, cells) of each row; the rows of a table outside any group are one."""
+    for k, child in enumerate(table.children):
         if isinstance(child, Element) and visible(child):
             if child.name == "tr":
-                yield [c for c in child.children if isinstance(c, Element) and c.name in ("td", "th") and visible(c)]
-            elif child.name in ("tbody", "thead", "tfoot"):
-                yield from _rows_of(child)
+                yield group, [c for c in child.children if isinstance(c, Element) and c.name in ("td", "th") and visible(c)]
+            elif child.name in _ROW_GROUPS:
+                yield from _rows_of(child, k + 1)
 
 
 def _strays(part: Element):
@@ -268,22 +290,34 @@ def _strays(part: Element):
             yield child
 
 
-def _span(cell: Element) -> int:
-    value = cell.attributes.get("colspan", "1").strip()
-    return min(max(int(value), 1), 1000) if value.isdecimal() and len(value) < 6 else 1
+def _span(cell: Element, of: str = "colspan", most: int = 1000) -> int:
+    value = cell.attributes.get(of, "1").strip()
+    span = int(value) if value.isdecimal() and len(value) < 6 else 1
+    return most if of == "rowspan" and span == 0 else min(max(span, 1), most)
+
 
+def _table(table: Element, out: _Lines) -> None:
+    """Cells in columns as wide as their widest line, two spaces apart; cells may hold several lines.
 
-def _table(table: Element, out: _Lines, depth: int) -> None:
-    """Cells in columns as wide as their widest line, two spaces apart; cells may hold several lines."""
+    A cell over several rows stands in its first row, and the rows below leave its columns free.
+    """
     rows: list[list[tuple[int, list[str]]]] = []
     widths: dict[int, int] = {}
-    for cells in _rows_of(table):
+    free_after: dict[int, int] = {}  # column: the first row that may use it
+    last_group = 0
+    for nth, (group, cells) in enumerate(_rows_of(table)):
+        if group != last_group:
+            free_after, last_group = {}, group
         row, column = [], 0
         for cell in cells:
-            lines = render_lines(cell, depth + 1)
+            while free_after.get(column, 0) > nth:
+                column += 1
+            lines = render_lines(cell)
             row.append((column, lines))
             if (span := _span(cell)) == 1:  # a cell over several columns widens none
                 widths[column] = max(widths.get(column, 0), *(len(x) for x in lines), 0)
+            if (down := _span(cell, "rowspan", 65534)) > 1:
+                free_after |= dict.fromkeys(range(column, column + span), nth + down)
             column += span
         rows.append(row)
     left, edge = {}, 0
@@ -299,7 +333,7 @@ def _table(table: Element, out: _Lines, depth: int) -> None:
             out.literal(text)
 
 
-def _walk(node: Element, out: _Lines, pre: bool, depth: int) -> None:
+def _walk(node: Element, out: _Lines, pre: bool) -> None:
     # an explicit stack: pages nest deeper than Python's calls may
     stack: list = [("children", iter(node.children), pre, None)]
     while stack:
@@ -332,19 +366,19 @@ def _walk(node: Element, out: _Lines, pre: bool, depth: int) -> None:
         elif name == "img":
             if child.attributes.get("alt", "").strip():
                 out.write(child.attributes["alt"])
-        elif name == "table" and depth < _DEEPEST_TABLE:
+        elif name == "table":
             out.apart()
             before, after = Element("div", {}, child.parent), Element("div", {}, child.parent)
             for stray in _strays(child):
                 (after if isinstance(stray, Element) and stray.name == "table" else before).children.append(stray)
-            for line in render_lines(before, depth + 1):
+            for line in render_lines(before):
                 out.literal(line)
             for caption in child.children:
                 if isinstance(caption, Element) and caption.name == "caption" and visible(caption):
-                    for line in render_lines(caption, depth):
+                    for line in render_lines(caption):
                         out.literal(line)
-            _table(child, out, depth)
-            for line in render_lines(after, depth + 1):
+            _table(child, out)
+            for line in render_lines(after):
                 out.literal(line)
             out.apart()
         elif name in ("ul", "ol", "menu", "dir"):
@@ -365,59 +399,79 @@ def _walk(node: Element, out: _Lines, pre: bool, depth: int) -> None:
                 out.indent = before
                 edge()
 
-            stack.append(("block", iter(child.children), pre or name == "pre", leave))
+            children = child.children
+            if name == "details" and "open" not in child.attributes:  # closed: its summary alone shows
+                children = [c for c in children if isinstance(c, Element) and c.name == "summary"][:1]
+            stack.append(("block", iter(children), pre or name == "pre", leave))
         else:
             if name == "q":
                 out.write('"')
             stack.append(("inline", iter(child.children), pre, (lambda: out.write('"')) if name == "q" else None))
 
 
-def _in_list(e: Element) -> bool:
-    node = e.parent
-    while node is not None:
-        if node.name == "li":
-            return True
-        if node.name in ("table", "#root", "body"):
-            return False
-        node = node.parent
-    return False
-
-
 def _list(e: Element, out: _Lines, stack: list, pre: bool) -> None:
-    edge = out.end_line if _in_list(e) else out.apart
+    edge = out.end_line if out.items else out.apart
     edge()
     stack.append(("list", iter(e.children), pre, edge))
 
 
+def _whole(text: str | None) -> int | None:
+    text = (text or "").strip()
+    return int(text) if text.removeprefix("-").isdecimal() and len(text) < 10 else None
+
+
+def _number(e: Element, parent: Element, out: _Lines) -> int:
+    """Number of an item of an ordered list: its value, else one on from the item before (or down, if reversed)."""
+    backward = "reversed" in parent.attributes
+    number = _whole(e.attributes.get("value"))
+    if number is None:
+        number = out.numbered.get(id(parent))
+    if number is None:
+        number = _whole(parent.attributes.get("start"))
+    if number is None:
+        number = sum(isinstance(c, Element) and c.name == "li" and visible(c) for c in parent.children) if backward else 1
+    out.numbered[id(parent)] = number + (-1 if backward else 1)
+    return number
+
+
 def _item(e: Element, out: _Lines, stack: list, pre: bool) -> None:
     out.end_line()
     parent = e.parent
-    mark = "- "
-    if parent is not None and parent.name == "ol":
-        start = parent.attributes.get("start", "1").strip()
-        first = int(start) if start.lstrip("-").isdecimal() and len(start) < 10 else 1
-        nth = out.numbered.get(id(parent), 0)
-        out.numbered[id(parent)] = nth + 1
-        mark = f"{first + nth}. "
-    before, out.mark = out.indent, mark
+    mark = f"{_number(e, parent, out)}. " if parent is not None and parent.name == "ol" else "- "
+    before = out.indent
+    own = (len(before), mark)
+    out.marks.append(own)
+    out.indent += " " * len(mark)
+    out.items += 1
 
     def leave():
         out.end_line()
-        out.indent, out.mark = before, ""
+        out.indent = before
+        out.marks = [m for m in out.marks if m is not own]
+        out.items -= 1
 
     stack.append(("item", iter(e.children), pre, leave))
 
 
-def render_lines(node: Element, depth: int = 0) -> list[str]:
+def render_lines(node: Element) -> list[str]:
     out = _Lines()
-    _walk(node, out, False, depth)
+    _walk(node, out, False)
     out.end_line()
     return out.lines
 
 
 def render(html: str | None) -> str:
     """All visible text of a page as laid-out lines; empty for a null or empty page."""
-    return "\n".join(render_lines(parse(html))) if html else ""
+    if not html:
+        return ""
+    root = parse(html)
+    # a table in a cell is laid out by a call within a call, and a page may nest as many as it has tags
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + 8 * html.count("<"))
+    try:
+        return "\n".join(render_lines(root))
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def extract_text(pages: DataFrame, html_col="html") -> DataFrame:
@@ -426,13 +480,14 @@ def extract_text(pages: DataFrame, html_col="html") -> DataFrame:
     A null page has empty text. Pages are read whole and rendered one by one; rows, repeated or
     with null ids, stay as they are.
     """
-    columns = [c for c in pages.columns if c != "rendered_text"]
+    columns = [c for c in pages.columns if c.lower() != "rendered_text"]
+    kept, html = [F.col(f"`{c}`") for c in columns], unused(pages, "page_html")
 
     def each(batches):
         for batch in batches:
             texts = [render(h.as_py()) for h in batch.column(batch.num_columns - 1)]
-            kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=[*columns, "rendered_text"])
+            same = [batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(texts, pa.string())], names=[*columns, "rendered_text"])
 
-    schema = pages.select(*columns).schema.add("rendered_text", "string")
-    return pages.select(*columns, F.col(html_col).alias("_html")).mapInArrow(each, schema)
+    schema = pages.select(*kept).schema.add("rendered_text", "string")
+    return pages.select(*kept, F.col(f"`{html_col}`").alias(html)).mapInArrow(each, schema)
