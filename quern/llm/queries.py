@@ -60,7 +60,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four commits over all documents: load, recounts without repeated lines, that again, no exact copies."""
     docs = _read(spark, sf_dir, "documents")
-    rollup = TokenRollup(spark, Scratch(spark, "rollup").path("state"))
+    scratch = Scratch(spark, "rollup")
+    rollup = TokenRollup(spark, scratch.path("state"))
     versions = {"word_bpe_49k": tokenizer_path("word_bpe_49k.json"), "words": None}
     rollup.apply("load", token_changes(docs, "insert", versions))
     lines = F.split("text", "\n")
@@ -68,9 +69,10 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     recounts = token_changes(fewer, "revise", versions)
     rollup.apply("without repeated lines", recounts)
     rollup.apply("without repeated lines", recounts)
-    first = docs.groupBy(F.sha2("text", 256).alias("alike")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = Scratch(spark, "rollup").save(first, "first")
-    copies = docs.select("doc_id", F.sha2("text", 256).alias("alike")).join(first, "alike").where("doc_id > first_id")
+    alike = F.sha2(F.coalesce("text", F.lit("")), 256).alias("alike")
+    first = docs.groupBy(alike).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = scratch.save(first, "first")
+    copies = docs.select("doc_id", alike).join(first, "alike").where("doc_id > first_id")
     nothing = F.lit(None).cast("string")
     gone = copies.select(F.lit("delete").alias("op"), "doc_id", nothing.alias("source"), nothing.alias("lang"), F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"), F.lit(0).alias("n_tokens"))
     rollup.apply("without copies", gone)

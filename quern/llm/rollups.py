@@ -3,32 +3,40 @@
 A ledger holds the count of each document under each tokenizer version; totals by source, language
 and tokenizer version are kept beside it. A batch of inserts, deletes and revised counts becomes
 signed changes against the ledger (minus what a document counted, plus what it counts now), and
-only these are added to the totals. A batch has an identifier and is committed by one marker, the
+only these are added to the totals. A batch has an identifier and is committed by one row, the
 last thing written: a batch applied again is a no-op, and one that was cut off is simply redone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LEDGER = "doc_id long, tokenizer string, source string, lang string, n_tokens long, kept boolean, turn long"
-_TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batches array<string>"
+from ._scratch import shuffle_partitions
+
+_LEDGER = "bucket int, doc_id long, tokenizer string, source string, lang string, n_tokens long, kept boolean, turn long"
+_TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+_COMMIT = "batch string, turn long"
 
 
 class TokenRollup:
-    """State in a folder: ledger/<turn> and totals/<turn>, one of each for each committed batch.
+    """State in a folder: for each turn its entries of the ledger, the totals after it, and its commit.
 
-    A turn is committed if its totals were written whole (Spark's _SUCCESS marker). Each totals table
-    carries the identifiers of all batches in it, so the last committed one is the state. One writer
-    at a time.
+    The commit, a row with the batch's identifier, is written last, and a turn without one never
+    happened. Entries lie in buckets of document ids, so a batch reads only buckets that hold its
+    documents; every compact_every turns all that is in force is written anew as a base, and
+    entries before it are not read again. One writer at a time. buckets bounds the parallelism and
+    must stay as it was when the state was begun.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, compact_every: int = 16):
+        self.spark, self.folder, self.buckets, self.compact_every = spark, folder.rstrip("/"), buckets, compact_every
 
-    def _turns(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/totals")
+    def _whole(self, kind: str) -> list[int]:
+        """Turns of which a table of that kind was written whole (Spark's _SUCCESS marker)."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
@@ -36,29 +44,44 @@ class TokenRollup:
         marker = self.spark._jvm.org.apache.hadoop.fs.Path
         return sorted(int(p.getName()) for p in found if fs.exists(marker(p, "_SUCCESS")))
 
+    def _commits(self) -> DataFrame:
+        turns = self._whole("commits")
+        if not turns:
+            return self.spark.createDataFrame([], _COMMIT)
+        return self.spark.read.schema(_COMMIT).json([f"{self.folder}/commits/{t}" for t in turns])
+
     def _state(self) -> DataFrame:
-        turns = self._turns()
+        turns = self._whole("commits")
         if not turns:
             return self.spark.createDataFrame([], _TOTALS)
         return self.spark.read.schema(_TOTALS).parquet(f"{self.folder}/totals/{turns[-1]}")
 
     def batches(self) -> set[str]:
-        row = self._state().select("batches").first()
-        return set(row[0]) if row else set()
+        return {r["batch"] for r in self._commits().collect()}
+
+    def _entries(self) -> DataFrame:
+        """The last base and the entries of all committed turns after it."""
+        turns = self._whole("commits")
+        bases = [t for t in self._whole("bases") if turns and t <= turns[-1]]
+        last = bases[-1] if bases else -1
+        paths = [f"{self.folder}/bases/{last}"] * bool(bases) + [f"{self.folder}/ledger/{t}" for t in turns if t > last]
+        if not paths:
+            return self.spark.createDataFrame([], _LEDGER)
+        read = [self.spark.read.schema(_LEDGER).parquet(path) for path in paths]
+        return reduce(DataFrame.unionByName, read)
+
+    def _in_force(self, rows: DataFrame) -> DataFrame:
+        of_null = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+        last = rows.groupBy("bucket", "doc_id", "tokenizer", of_null.alias("own")).agg(F.max(F.struct("turn", "kept", "n_tokens", "source", "lang")).alias("r"))
+        return last.select("bucket", "doc_id", "tokenizer", "r.source", "r.lang", "r.n_tokens", "r.kept", "r.turn").where("kept")
 
     def ledger(self) -> DataFrame:
         """The count now in force of each (doc_id, tokenizer). Rows of null doc_id are all in force."""
-        turns = self._turns()
-        if not turns:
-            return self.spark.createDataFrame([], _LEDGER)
-        rows = self.spark.read.schema(_LEDGER).parquet(*[f"{self.folder}/ledger/{t}" for t in turns])
-        last = rows.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(F.struct("turn", "kept", "n_tokens", "source", "lang")).alias("r"))
-        last = last.select("doc_id", "tokenizer", "r.source", "r.lang", "r.n_tokens", "r.kept", "r.turn").where("kept")
-        return last.unionByName(rows.where("doc_id is null and kept"))
+        return self._in_force(self._entries())
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of all that is in force."""
-        return self._state().where("n_docs <> 0 or n_tokens <> 0").drop("batches")
+        return self._state().where("n_docs <> 0 or n_tokens <> 0")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch of (op, doc_id, source, lang, tokenizer, n_tokens); False if it already was.
@@ -67,34 +90,39 @@ class TokenRollup:
         delete (needs doc_id and tokenizer only; of an unknown document it does nothing). Null counts
         are 0. If a batch names a document and tokenizer several times, a delete wins, else the
         largest (n_tokens, source, lang). A null doc_id can only be inserted, each row as a document.
+        changes is evaluated once.
         """
-        done = self.batches()
-        if batch in done:
+        if batch in self.batches():
             return False
-        turn = max(self._turns(), default=-1) + 1
-        shaped = changes.select(
-            (F.col("op") != "delete").alias("kept"), F.col("doc_id").cast("long"), "source", "lang", "tokenizer", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens")
-        )
-        named = shaped.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(F.struct((~F.col("kept")).alias("gone"), "n_tokens", "source", "lang")).alias("r"))
-        named = named.select("doc_id", "tokenizer", "r.source", "r.lang", "r.n_tokens", (~F.col("r.gone")).alias("kept"))
-        entries = named.unionByName(shaped.where("doc_id is null and kept")).withColumn("turn", F.lit(turn).cast("long"))
-        entries.write.mode("overwrite").parquet(f"{self.folder}/ledger/{turn}")
+        turn = max(self._whole("commits"), default=-1) + 1
+        own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+        bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("own"), F.lit(self.buckets))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets))).cast("int")
+        shaped = changes.select((F.col("op") == "delete").alias("gone"), F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "tokenizer", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
+        shaped = shaped.withColumn("own", own).withColumn("bucket", bucket).repartition(min(2 * self.buckets, shuffle_partitions(self.spark)), "bucket")
+        named = shaped.groupBy("bucket", "doc_id", "tokenizer", "own").agg(F.max(F.struct("gone", "n_tokens", "source", "lang")).alias("r"))
+        entries = named.where("doc_id is not null or not r.gone").select("bucket", "doc_id", "tokenizer", "r.source", "r.lang", "r.n_tokens", (~F.col("r.gone")).alias("kept"), F.lit(turn).cast("long").alias("turn"))
+        entries.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/ledger/{turn}")
         entries = self.spark.read.schema(_LEDGER).parquet(f"{self.folder}/ledger/{turn}")
 
-        old = self.ledger().where("doc_id is not null").select("doc_id", "tokenizer", F.struct("source", "lang", "n_tokens").alias("old"))
-        met = entries.join(old, ["doc_id", "tokenizer"], "left")
+        touched = [r["bucket"] for r in entries.where("bucket >= 0").select("bucket").distinct().collect()]  # as many as there are buckets at most
+        old = self._in_force(self._entries().where(F.col("bucket").isin(touched) if touched else F.lit(False))).select("bucket", "doc_id", "tokenizer", F.struct("source", "lang", "n_tokens").alias("old"))
+        met = entries.join(old, ["bucket", "doc_id", "tokenizer"], "left")
         minus = F.when(F.col("old").isNotNull(), F.struct("old.source", "old.lang", (-F.col("old.n_tokens")).alias("n_tokens"), F.lit(-1).alias("n_docs")))
         plus = F.when(F.col("kept"), F.struct("source", "lang", "n_tokens", F.lit(1).alias("n_docs")))
         signed = met.select("tokenizer", F.explode(F.array_compact(F.array(minus, plus))).alias("c")).select("c.source", "c.lang", "tokenizer", F.col("c.n_docs").cast("long").alias("n_docs"), "c.n_tokens")
-        both = self._state().drop("batches").unionByName(signed).groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        names = F.array(*[F.lit(b) for b in sorted(done | {batch})])
-        marked = both.unionByName(self._nothing()).withColumn("batches", names)
-        marked.write.mode("overwrite").parquet(f"{self.folder}/totals/{turn}")
+        both = self._state().unionByName(signed).groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        both.write.mode("overwrite").parquet(f"{self.folder}/totals/{turn}")
+        self.spark.createDataFrame([(batch, turn)], _COMMIT).coalesce(1).write.mode("overwrite").json(f"{self.folder}/commits/{turn}")
+        if turn % self.compact_every == self.compact_every - 1:
+            self.compact()
         return True
 
-    def _nothing(self) -> DataFrame:
-        """A row of zeros: with it a state has its batches even when nothing is in force."""
-        return self.spark.createDataFrame([(None, None, None, 0, 0)], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    def compact(self) -> None:
+        """Write all that is in force as one base; a base that was cut off is not used."""
+        turns = self._whole("commits")
+        if turns:
+            rows = self.ledger().repartition(min(2 * self.buckets, shuffle_partitions(self.spark)), "bucket")
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/bases/{turns[-1]}")
 
 
 def token_changes(docs: DataFrame, op: str, tokenizers: dict[str, str | None], id_col="doc_id", text_col="text", source_col="source", lang_col="lang") -> DataFrame:
