@@ -182,14 +182,14 @@ def parse_gc_traditional(spark, d):
     return events.select("snapshot_id", "seq", "kind", "cause", "at_ms", F.round(F.col("pause_ms") * 100).cast("long").alias("pause_hundredths"), "heap_before", "heap_after", "capacity", "old_after", "metaspace_after", "line_no")
 
 
-_WORDS = ["Using G1", "Using Parallel", "Using The Z Garbage Collector", "Using Shenandoah", "Using Concurrent Mark Sweep", "Using Serial", "Using Epsilon"]
-_NAMES = ["G1", "PARALLEL", "ZGC", "SHENANDOAH", "CMS", "SERIAL", "UNKNOWN"]
+_WORDS = ["Using G1", "Using Parallel", "Using The Z Garbage Collector", "Using Shenandoah", "Using CMS GC", "Using Serial", "Using Epsilon", "GC(0) Pause Init Mark 0.100ms", "GC(0) Pause Mark Start 0.100ms", "GC(0) Pause Young (Normal) (G1 Evacuation Pause) 9M->8M(16M) 1.000ms"]
+_NAMES = ["G1", "PARALLEL", "ZGC", "SHENANDOAH", "CMS", "SERIAL", "UNKNOWN", "SHENANDOAH", "ZGC", "G1"]
 
 
-@query("gc_collector", f"SELECT 'c' || n_nationkey AS snapshot_id, ([{', '.join(repr(n) for n in _NAMES)}])[n_nationkey % 7 + 1] AS collector, true AS unified, 1704067200000 + n_nationkey * 1000 - 250 AS boot_epoch_ms FROM nation")
+@query("gc_collector", f"SELECT 'c' || n_nationkey AS snapshot_id, ([{', '.join(repr(n) for n in _NAMES)}])[n_nationkey % 10 + 1] AS collector, true AS unified, 1704067200000 + n_nationkey * 1000 - 250 AS boot_epoch_ms FROM nation")
 def gc_collector(spark, d):
     key = F.col("n_nationkey").cast("long")
-    word = F.element_at(F.array(*map(F.lit, _WORDS)), (key % 7 + 1).cast("int"))
+    word = F.element_at(F.array(*map(F.lit, _WORDS)), (key % 10 + 1).cast("int"))
     stamp = F.date_format(F.timestamp_seconds(1704067200 + key), "yyyy-MM-dd'T'HH:mm:ss.SSS")
     texts = F.array(F.concat(F.lit("["), stamp, F.lit("+0000][0.250s][info][gc] "), word), F.lit("[0.500s][info][gc] GC(0) Pause Full (Allocation Failure) 9M->8M(16M) 1.000ms"))
     rows = table(spark, d, "nation").select(F.concat(F.lit("c"), key.cast("string")).alias("snapshot_id"), F.lit("gc.log").alias("file"), F.lit(0).alias("nth"), texts.alias("texts"))

@@ -39,21 +39,15 @@ def human_bytes(column: Column) -> Column:
     )
 
 
-_STAMP = (
-    "\\d{4}[-/]\\d{2}[-/]\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}(?:[.,]\\d{1,9})?(?:Z|[+-]\\d{2}:?\\d{2})?"
-    "|\\d{2}/\\d{2}/\\d{2} \\d{2}:\\d{2}:\\d{2}\\.\\d{1,9}"
-    "|\\d{1,2} [A-Z][a-z]{2} \\d{4} \\d{2}:\\d{2}:\\d{2}(?:\\.\\d{1,9})?(?: [A-Z]{2,5})?"
-)
-
-
 def stamp_in(column: Column) -> Column:
     """First time stamp within a text, as written."""
-    return extracted(column, f"({_STAMP})")
+    return extracted(column, f"({fixed.STAMP_IN_TEXT})")
 
 
 def epoch_millis(column: Column) -> Column:
     """Milliseconds of a stamp in any known format, session time zone if it has none; null if none fits."""
     text = F.trim(F.regexp_replace(F.translate(column, "[]", "  "), " +", " "))
+    text = F.regexp_replace(text, "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) (?=[A-Z][a-z]{2} \\d{2} )", "")
     return F.unix_millis(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in fixed.STAMP_FORMATS]))
 
 
@@ -148,8 +142,7 @@ def held_synchronizers(locks: Column) -> Column:
 
 
 def jvm_internal_name(name: Column) -> Column:
-    listed = "|".join(fixed.JVM_THREADS)
-    return F.coalesce(F.trim(name).rlike(f"(?i)^(?:{listed}|{fixed.JVM_THREAD_PATTERN})"), F.lit(False))
+    return F.coalesce(F.trim(name).rlike("(?i)" + fixed.JVM_THREAD_NAME), F.lit(False))
 
 
 def vm_worker(stack: Column, locks: Column) -> Column:
@@ -193,6 +186,24 @@ def is_major(kind: Column, collector: Column) -> Column:
     return (kind == "FULL") | (kind == "CYCLE") & collector.isin("ZGC", "SHENANDOAH")
 
 
+def major_noun(collector: Column) -> Column:
+    """What a report calls major collections; of ZGC the whole-heap cycles are what others have full ones for."""
+    return F.when(collector == "ZGC", "whole-heap concurrent cycles").otherwise("Full GC collections")
+
+
+def major_label(collector: Column) -> Column:
+    return F.when(collector == "ZGC", "cycle").otherwise("Full GC")
+
+
+def old_after_mb(old_after: Column) -> Column:
+    """Whole mebibytes; the other sizes of an event are fractions (as_mb)."""
+    return F.floor(old_after / 1048576).cast("long")
+
+
+def as_mb(size: Column) -> Column:
+    return size / 1048576.0
+
+
 def fatal_error(cls: Column) -> Column:
     named = cls.rlike("OutOfMemory|StackOverflow|NoClassDef|Linkage")
     return named | cls.endswith("Error") & ~cls.contains("Exception")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import held_synchronizers, waiting_monitor
+from ..sources.workspace import checkpointed
 
 
 def wait_edges(threads: DataFrame, within: list[str]) -> DataFrame:
@@ -35,9 +35,7 @@ def functional_cycles(edges: DataFrame, within: list[str], most_nodes: int | Non
     on the way. A node is on a cycle just if something points at it after at least as many steps as
     there are nodes. Rounds follow the logarithm of the largest graph; lineage is cut by checkpoint.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+    checkpointed(edges.sparkSession)
     if most_nodes is None:
         most_nodes = edges.groupBy(*within).count().agg(F.max("count")).first()[0] or 0
     step = edges.select(*within, F.col("src").alias("node"), F.col("dst").alias("to"), F.least("src", "dst").alias("low")).checkpoint()
@@ -51,21 +49,23 @@ def functional_cycles(edges: DataFrame, within: list[str], most_nodes: int | Non
     return on.join(sizes, [*within, "cycle"]).select(*within, "node", "cycle", "length")
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, component, size) of the strongly connected components of a general graph (src, dst).
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component, size) of the strongly connected components of a graph (src, dst); component is the smallest member.
 
-    component is the smallest member. By trimming of nodes without edges in or out, then colouring: each node
-    takes the largest node that reaches it, and the nodes that reach back to their colour's root
-    within the colour are its component; the rest goes on. Nodes are those of the edges.
+    Nodes are those of the edges. A graph with at most one edge out of each node has its cycles by
+    pointer doubling, in rounds that follow the logarithm of its size. Any other is coloured: each
+    node takes the largest node that reaches it, and the nodes that reach back to their colour's
+    root within the colour are its component; the rest goes on. There a round follows one edge, so
+    rounds are as many as the longest shortest path is long, without a limit.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+    checkpointed(edges.sparkSession)
     left = edges.select("src", "dst").distinct().checkpoint()
     nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().checkpoint()
+    if left.groupBy("src").count().where("count > 1").isEmpty():
+        return _of_cycles(nodes, left)
     done = None
     while not nodes.isEmpty():
-        colour = _spread(nodes.withColumn("colour", F.col("node")), left, "src", "dst", most_rounds)
+        colour = _spread(nodes.withColumn("colour", F.col("node")), left, "src", "dst")
         inner = (
             left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src")
             .join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst")
@@ -73,7 +73,7 @@ def strong_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
             .select("src", "dst")
         )
         seeds = colour.withColumn("mark", (F.col("node") == F.col("colour")).cast("int"))
-        back = _spread(seeds.select("node", F.col("mark").alias("colour")), inner.checkpoint(), "dst", "src", most_rounds)
+        back = _spread(seeds.select("node", F.col("mark").alias("colour")), inner.checkpoint(), "dst", "src")
         found = back.where("colour = 1").select("node").join(colour, "node").checkpoint()
         named = found.withColumn("component", F.min("node").over(_by("colour"))).withColumn("size", F.count(F.lit(1)).over(_by("colour"))).select("node", "component", "size")
         done = named if done is None else done.unionByName(named)
@@ -82,19 +82,25 @@ def strong_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return done if done is not None else nodes.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size"))
 
 
+def _of_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    # every node gets a way on: those without one stay where they are
+    on = nodes.join(edges.withColumnRenamed("src", "node"), "node", "left").select(F.lit(0).alias("g"), F.col("node").alias("src"), F.coalesce("dst", "node").alias("dst"))
+    found = functional_cycles(on, ["g"]).select("node", F.col("cycle").alias("component"), F.col("length").alias("size"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+
+
 def _by(column: str):
     from pyspark.sql.window import Window
 
     return Window.partitionBy(column)
 
 
-def _spread(start: DataFrame, edges: DataFrame, frm: str, to: str, most_rounds: int) -> DataFrame:
+def _spread(start: DataFrame, edges: DataFrame, frm: str, to: str) -> DataFrame:
     """Each node takes the largest colour that reaches it along edges."""
     now = start.checkpoint()
-    for _ in range(most_rounds):
+    while True:
         sent = edges.join(now.withColumnRenamed("node", frm), frm).groupBy(F.col(to).alias("node")).agg(F.max("colour").alias("new"))
         moved = now.join(sent, "node", "left").select("node", F.greatest("colour", F.coalesce("new", "colour")).alias("next"), "colour").checkpoint()
         now = moved.select("node", F.col("next").alias("colour"))
         if moved.where("next <> colour").isEmpty():
             return now
-    raise RuntimeError(f"colours still move after {most_rounds} rounds; allow more for a graph of longer paths")

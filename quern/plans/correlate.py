@@ -87,8 +87,8 @@ def severity_census(findings: DataFrame) -> DataFrame:
     return findings.select("snapshot_id").distinct().join(levels).join(counted, ["snapshot_id", "severity"], "left").select("snapshot_id", "severity", "rank", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rule_status(snapshots: DataFrame, artifacts: DataFrame, findings: DataFrame, declined: DataFrame, rules: list) -> DataFrame:
-    """snapshot_id, rule_id, status: not-applicable, N finding(s), declined: why, or clean."""
+def rule_status(snapshots: DataFrame, artifacts: DataFrame, findings: DataFrame, declined: DataFrame, rules: list, failed: list[str] = ()) -> DataFrame:
+    """snapshot_id, rule_id, status: not-applicable, error (the rule failed), N finding(s), declined: why, or clean."""
     spark = snapshots.sparkSession
     known = F.broadcast(spark.createDataFrame([(r.id, r.artifact) for r in rules], "rule_id string, artifact string"))
     every = snapshots.join(known)
@@ -97,7 +97,7 @@ def rule_status(snapshots: DataFrame, artifacts: DataFrame, findings: DataFrame,
     why = declined.groupBy("snapshot_id", "rule_id").agg(F.min("why").alias("why"))
     rows = every.join(present, ["snapshot_id", "artifact"], "left").join(fired, ["snapshot_id", "rule_id"], "left").join(why, ["snapshot_id", "rule_id"], "left")
     status = (
-        F.when(F.col("n") == 1, "1 finding").when(F.col("n") > 1, F.format_string("%d findings", "n")).when(F.col("here").isNull(), "not-applicable").when(F.col("why").isNotNull(), F.concat(F.lit("declined: "), "why")).otherwise("clean")
+        F.when(F.col("here").isNotNull() & F.col("rule_id").isin(list(failed)) if failed else F.lit(False), "error").when(F.col("n") == 1, "1 finding").when(F.col("n") > 1, F.format_string("%d findings", "n")).when(F.col("here").isNull(), "not-applicable").when(F.col("why").isNotNull(), F.concat(F.lit("declined: "), "why")).otherwise("clean")
     )
     return rows.select("snapshot_id", "rule_id", status.alias("status"))
 

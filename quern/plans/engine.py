@@ -1,8 +1,11 @@
-"""The whole analysis as one lazy plan over any number of snapshots."""
+"""The whole analysis over any number of snapshots: tables written once, then a plan a rule."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ class Analysis:
     timeline: DataFrame
     status: DataFrame
     thresholds: Thresholds
+    errors: dict[str, str] = field(default_factory=dict)
 
     def gate(self, severity: str) -> DataFrame:
         """(snapshot_id, failed): whether some finding is at least that severe."""
@@ -55,6 +59,29 @@ class Engine:
             out = out.unionByName(rule.evaluate(tables, thresholds))
         return out
 
+    def isolated(self, tables: Tables, thresholds: Thresholds, space: Workspace) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+        """Findings, (snapshot_id, rule_id, why) of what was declined, and errors by rule: a rule that fails costs no other's findings."""
+        spark = tables.lines.sparkSession
+        errors: dict[str, str] = {}
+
+        def kept(name: str, rule: Rule, make: Callable[[], DataFrame]) -> DataFrame | None:
+            try:
+                return space.written(make(), f"{name}-{rule.id}")
+            except Exception as e:
+                errors[rule.id] = f"{rule.id} failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+                return None
+
+        def run(rule: Rule) -> tuple[DataFrame | None, DataFrame | None]:
+            found = kept("findings", rule, lambda: rule.evaluate(tables, thresholds))
+            why = kept("declined", rule, lambda: rule.declined(tables, thresholds).withColumn("rule_id", F.lit(rule.id))) if found is not None and rule.declined else None
+            return found, why
+
+        with ThreadPoolExecutor(max_workers=8) as pool:  # small jobs that wait for one another would leave the cluster idle
+            made = list(pool.map(run, self.rules))
+        findings = reduce(DataFrame.unionByName, [f for f, _ in made if f is not None], spark.createDataFrame([], FINDING))
+        declined = reduce(DataFrame.unionByName, [w for _, w in made if w is not None], spark.createDataFrame([], "snapshot_id string, why string, rule_id string"))
+        return findings, declined, errors
+
     def declined(self, tables: Tables, thresholds: Thresholds) -> DataFrame:
         out = tables.lines.sparkSession.createDataFrame([], "snapshot_id string, why string, rule_id string")
         for rule in self.rules:
@@ -75,10 +102,10 @@ class Engine:
         tables = tables_of(lines, kept)
         for name in ("dumps", "threads", "gc_logs", "gc_events", "histos", "histo_rows", "exceptions"):
             setattr(tables, name, space.written(getattr(tables, name), name))
-        found = space.written(self.findings(tables, thresholds), "findings")
+        found, declined, errors = self.isolated(tables, thresholds, space)
         merged = space.written(correlate.quoted(space.written(correlate.dedupe(found), "merged"), lines), "quoted")
-        status = correlate.rule_status(files.select("snapshot_id").distinct(), kept, merged, self.declined(tables, thresholds), self.rules)
-        return Analysis(tables, kinds, skipped, merged, correlate.hypotheses(merged), correlate.timeline(tables, thresholds), status, thresholds)
+        status = correlate.rule_status(files.select("snapshot_id").distinct(), kept, merged, declined, self.rules, sorted(errors))
+        return Analysis(tables, kinds, skipped, merged, correlate.hypotheses(merged), correlate.timeline(tables, thresholds), status, thresholds, errors)
 
 
 def analyze_folder(spark: SparkSession, root: str, thresholds: Thresholds | None = None, snapshot_depth: int = 0) -> Analysis:

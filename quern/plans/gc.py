@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import epoch_millis, extracted, parse_bytes
+from ..functions.fixed import COLLECTOR_WORDS
 
+# What lines of collection logs look like.
 _SIZE = "\\d+(?:\\.\\d+)?\\s*[KMGT]?B?"
 TRANSITION = f"({_SIZE})\\s*->\\s*({_SIZE})\\s*\\(\\s*({_SIZE})\\s*\\)"
 HEAP = f"Heap:\\s*({_SIZE})\\s*->\\s*({_SIZE})\\s*\\(\\s*({_SIZE})\\s*\\)"
@@ -41,16 +46,11 @@ def formats(lines: DataFrame, first_lines: int = 400) -> DataFrame:
 
 
 def guess_collector(text: F.Column) -> F.Column:
-    t = F.lower(text)
-    return (
-        F.when(t.rlike("\\bzgc\\b|the z garbage collector|garbage collection \\((?:warmup|proactive|allocation)|\\by: |\\bz: "), "ZGC")
-        .when(t.contains("shenandoah"), "SHENANDOAH")
-        .when(t.rlike("\\bg1\\b|evacuation pause|mixed\\)|concurrent start"), "G1")
-        .when(t.rlike("\\bcms\\b|concurrent mark sweep"), "CMS")
-        .when(t.rlike("parallel|psyounggen|paroldgen"), "PARALLEL")
-        .when(t.rlike("serial|defnew"), "SERIAL")
-        .otherwise("UNKNOWN")
-    )
+    lower = F.lower(text)
+    told = F.lit("UNKNOWN")
+    for name, words in reversed(COLLECTOR_WORDS):
+        told = F.when(reduce(or_, [F.contains(lower, F.lit(w)) for w in words]), name).otherwise(told)
+    return told
 
 
 def _last(value: F.Column) -> F.Column:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.exprs import epoch_millis, extracted
 from .exceptions import FRAME, frame
 
+# What lines of thread dumps look like.
 DATE = "^\\d{4}[-/]\\d{2}[-/]\\d{2}[ T]\\d{2}:\\d{2}:\\d{2}"
 MARKER = "^Full thread dump (.+?)?:\\s*$"
 HEADER = '^"(.*?)"\\s*(.*)$'

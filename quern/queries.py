@@ -297,11 +297,11 @@ def parse_bytes(spark, d):
 
 
 @query("epoch_parse", """
-    SELECT event_id, (epoch_us(ts) // 1000) // 1000 * 1000 AS a, (epoch_us(ts) // 1000) AS b, (epoch_us(ts) // 1000) // 1000 * 1000 AS c, CAST(NULL AS BIGINT) AS bad FROM events""")
+    SELECT event_id, (epoch_us(ts) // 1000) // 1000 * 1000 AS a, (epoch_us(ts) // 1000) AS b, (epoch_us(ts) // 1000) // 1000 * 1000 AS c, (epoch_us(ts) // 1000) // 1000 * 1000 AS ctime, (epoch_us(ts) // 1000) - 28800000 AS zoned, CAST(NULL AS BIGINT) AS bad FROM events""")
 def epoch_parse(spark, d):
     t = F.col("ts").cast("timestamp")
     form = lambda f: X.epoch_millis(F.date_format(t, f))
-    return table(spark, d, "events").select("event_id", form("yyyy-MM-dd HH:mm:ss").alias("a"), form("yyyy-MM-dd HH:mm:ss,SSS").alias("b"), form("yyyy/MM/dd HH:mm:ss").alias("c"), X.epoch_millis(F.lit("10:11:12")).alias("bad"))
+    return table(spark, d, "events").select("event_id", form("yyyy-MM-dd HH:mm:ss").alias("a"), form("yyyy-MM-dd HH:mm:ss,SSS").alias("b"), form("yyyy/MM/dd HH:mm:ss").alias("c"), form("EEE MMM dd HH:mm:ss 'UTC' yyyy").alias("ctime"), form("yyyy-MM-dd'T'HH:mm:ss.SSS'+0800'").alias("zoned"), X.epoch_millis(F.lit("10:11:12")).alias("bad"))
 
 
 @query("quote", "SELECT doc_id, CASE WHEN length(l) > 200 THEN left(l, 199) || '…' ELSE l END AS quote FROM (SELECT doc_id, rtrim(string_split(text, chr(10))[1], ' ') l FROM documents)")

@@ -7,6 +7,7 @@ content); ``lines`` rows are (snapshot_id, file, ord, line_no, text). Everything
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,19 +23,28 @@ THREAD_DUMP, GC_LOG, HEAP_HISTO, APP_LOG, UNKNOWN = "THREAD_DUMP", "GC_LOG", "HE
 
 
 def decode(content: F.Column) -> F.Column:
-    """UTF-8 with or without mark, else GBK, else Latin-1. GBK needs spark.sql.legacy.javaCharsets=true and is skipped without."""
+    """UTF-8 with or without mark, else GBK, else Latin-1. Only what isn't UTF-8 goes to a Python worker."""
     marked = F.hex(F.substring(content, 1, 3)) == "EFBBBF"
     bare = F.when(marked, F.substring(content, F.lit(4), F.octet_length(content))).otherwise(content)
     utf8 = bare.cast("string")
-    return F.when(F.is_valid_utf8(utf8), utf8).otherwise(_not_utf8(bare))
+    valid = F.is_valid_utf8(utf8)
+    return F.when(valid, utf8).otherwise(_not_utf8(F.when(~valid, bare)))
+
+
+def _gbk_or_latin(content: bytes | None) -> str | None:
+    if content is None:
+        return None
+    try:
+        return bytes(content).decode("gbk")
+    except UnicodeDecodeError:
+        return bytes(content).decode("latin-1")
 
 
 def _not_utf8(content: F.Column) -> F.Column:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true":
-        gbk = F.decode(content, "GBK")
-        return F.when(~F.contains(gbk, F.lit("�")), gbk).otherwise(F.decode(content, "ISO-8859-1"))
-    return F.decode(content, "ISO-8859-1")
+    def each(parts: pd.Series) -> pd.Series:
+        return parts.map(_gbk_or_latin, na_action="ignore")
+
+    return F.pandas_udf(each, "string")(content)
 
 
 def scan(spark: SparkSession, root: str, snapshot_depth: int | None = 0, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:

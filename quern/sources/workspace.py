@@ -10,14 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A local session without one has a temporary folder; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="quern-"))
+    return _own[0]
+
+
+def checkpointed(spark: SparkSession) -> None:
+    """Let checkpoint() write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
+
+
 class Workspace:
     def __init__(self, spark: SparkSession):
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not _own:
-                _own.append("file://" + tempfile.mkdtemp(prefix="quern-"))
-            named = _own[0]
-        self.spark, self.folder = spark, f"{named.rstrip('/')}/engine-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}"
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"

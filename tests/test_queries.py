@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quern import artifact_queries  # noqa: F401  registers its queries
+from quern import artifact_queries, function_queries  # noqa: F401  both register their queries
 from quern.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
