@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from ._components import connected_components
 from ._scratch import Scratch, shuffle_partitions, unused
-from .similar_sets import BAND, SKETCH, min_hash_bands, parity_sketch, similar_groups
+from .similar_sets import min_hash_bands, parity_sketch, similar_groups
+from .tokens import text_runs
 
 BITS = 64
 _SHINGLES_AT_ONCE = 1 << 17
@@ -178,28 +179,31 @@ def remove_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", wo
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            sets = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(2)]
-            numbers = np.array([[_majority(x), *parity_sketch(x), *min_hash_bands(x)] for x in sets], np.int64).reshape(-1, 1 + len(SKETCH) + len(BAND))
-            of_set = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *of_set, *[pa.array(c) for c in numbers.T.copy()]], names=["place", "digest", "set", "n", "fp", *SKETCH, *BAND])
+            made = []
+            for t in batch.column(2):
+                x = shingle_hashes(t.as_py(), words_per_shingle)
+                made.append((xxh3_128_digest(x.tobytes()), len(x), _majority(x), parity_sketch(x), min_hash_bands(x)))
+            sets, n, fp, sketches, bands = zip(*made, strict=True) if made else [()] * 5
+            columns = [pa.array(sets, pa.binary()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), _lists(list(sketches)), _lists(list(bands))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["place", "digest", "set", "n", "fp", "sketch", "bands"])
 
     def shingled(batches):
         for batch in batches:
-            lists = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(lists)], names=["key", "elements"])
+            for low, high in text_runs(batch.column(1)):
+                lists = [shingle_hashes(t.as_py(), words_per_shingle) for t in batch.column(1)[low:high]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], _lists(lists)], names=["key", "elements"])
 
-    numbers = ["n", "fp", *SKETCH, *BAND]
-    found = scratch.save(read.mapInArrow(described, "place long, digest binary, set binary, n int, " + ", ".join(f"{c} long" for c in numbers[1:])), "found")
+    found = scratch.save(read.mapInArrow(described, "place long, digest binary, set binary, n int, fp long, sketch array<long>, bands array<long>"), "found")
     texts = scratch.save(found.groupBy("set", "place", "digest").agg(F.count(F.lit(1)).alias("rows")), "texts")
-    # equal sets are one class: their numbers are equal, so a minimum is the number
-    classes = texts.groupBy("set").agg(F.min(F.struct("place", "digest")).alias("first"))
-    told = found.groupBy("set").agg(*[F.min(c).alias(c) for c in numbers])
-    sets = scratch.save(told.join(classes, "set").select(F.monotonically_increasing_id().alias("key"), "set", "first", *numbers), "sets")
+    # equal sets are one class, and what follows from the set alone is equal in all its rows
+    of_set = ["n", "fp", "sketch", "bands"]
+    classes = found.groupBy("set").agg(F.min(F.struct("place", "digest")).alias("first"), *[F.any_value(c).alias(c) for c in of_set])
+    sets = scratch.save(classes.select(F.monotonically_increasing_id().alias("key"), "set", "first", *of_set), "sets")
     scratch.drop("found")
 
     masks = block_masks((b := blocks_for(sets.count(), distance)), b - distance)
     blocks = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)]
-    members = sets.select("key", F.explode(F.array(*blocks, *[F.col(b) for b in BAND])).alias("bucket"))
+    members = sets.select("key", F.explode(F.concat(F.array(*blocks), "bands")).alias("bucket"))
 
     def elements_of(keys: DataFrame) -> DataFrame:
         firsts = sets.join(keys, "key").select("key", "first.place", "first.digest")

@@ -18,10 +18,8 @@ from ._scratch import Scratch
 
 #: Longs of a parity sketch: bit h % (64 * _LONGS) is the parity of the elements h that fall on it.
 _LONGS = 8
-SKETCH = [f"p{k}" for k in range(_LONGS)]
 #: Two sets of similarity t miss each other with a chance of (1 - t ** ROWS) ** BANDS: 2.6e-5 at 0.8, at any number of sets.
 BANDS, ROWS = 20, 4
-BAND = [f"b{k}" for k in range(BANDS)]
 _ELEMENTS_AT_ONCE = 1 << 12
 _PICKY_TURNS = 2
 
@@ -50,12 +48,12 @@ def parity_sketch(elements: np.ndarray) -> np.ndarray:
 def _possible(a: str, b: str, similarity: float) -> Column:
     """False only where sizes or sketches rule the similarity out."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = reduce(add, [F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in SKETCH])
+    differ = reduce(add, [F.bit_count(F.get(f"{a}sketch", k).bitwiseXOR(F.get(f"{b}sketch", k))) for k in range(_LONGS)])
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6)
 
 
 def _named(df: DataFrame, before: str, *more: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(before + c) for c in ["key", *more, "n", *SKETCH]])
+    return df.select(*[F.col(c).alias(before + c) for c in ["key", *more, "n", "sketch"]])
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -65,7 +63,7 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def similar_groups(sets: DataFrame, members: DataFrame, elements_of, similarity: float, scratch: Scratch, bucket_limit: int = 16) -> DataFrame:
     """(key, root) of all sets that have a partner: sets that pairs of at least that similarity link have one root.
 
-    sets is written, one row a set: key (long), n, and the sketch. members has (key, bucket): sets in
+    sets is written, one row a set: key (long), n, and the sketch (an array of longs). members has (key, bucket): sets in
     a common bucket are candidates, and all their pairs are decided. elements_of(keys) gives key and
     elements of those sets; it is asked once for each set at most.
     """

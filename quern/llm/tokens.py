@@ -100,10 +100,11 @@ class WordCachedTokenizer:
         return b"".join(map(self._words.__getitem__, text.split()))
 
 
-def text_runs(texts: list[str | None], characters: int = 2_000_000):
-    """Index ranges of texts of about so many characters, so that memory follows this bound or the longest text."""
+def text_runs(texts, characters: int = 2_000_000):
+    """Index ranges of texts (strings or Arrow's) of about so many characters, so that memory follows this bound or the longest text."""
     low = total = 0
     for k, text in enumerate(texts):
+        text = text.as_py() if hasattr(text, "as_py") else text
         total += len(text or "")
         if total >= characters:
             yield low, k + 1
