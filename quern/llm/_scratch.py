@@ -20,6 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="quern-"))
     return "file://" + _own_folder[0]

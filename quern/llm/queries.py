@@ -37,7 +37,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = round_trip(_read(spark, sf_dir, "pages"))
+    read = round_trip(_read(spark, sf_dir, "pages"), keep_payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
@@ -51,7 +51,8 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    # a null doc_id counts as an empty text: it is learned from
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
     codes = LanguageCodes.fit(docs.where(~held_out))
     found = predict_languages(docs.withColumn("held_out", held_out), codes)
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

@@ -67,12 +67,19 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block
 
 
+def _record_id(page_id: int | None, row: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
+
+
 def _one_line(text: str | None) -> str | None:
     return None if text is None else re.sub(r"[\x00-\x20\x7f]+", " ", text).strip()
 
 
 def write_archives(records: DataFrame, path: str, segment_bytes=8192, chunk_bytes=4096, date="1970-01-01T00:00:00Z", codec="gzip", records_per_file=8_000) -> None:
-    """Write one logical record per row of (page_id, record_uuid, url, record_type, refers_to, digest, payload).
+    """Write one logical record per row of (page_id, row, url, record_type, refers_to, refers_row, digest, payload).
+
+    A record's identifier is made of page_id and row, a number that no other row has, so a revisit
+    names the very record it revisits.
 
     A response's block is an HTTP message with chunked body, cut into segments of segment_bytes; a
     revisit's is the HTTP head alone, with the length of the payload it stands for. Files hold at
@@ -83,8 +90,7 @@ def write_archives(records: DataFrame, path: str, segment_bytes=8192, chunk_byte
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                page = "" if r["page_id"] is None else r["page_id"]
-                own, payload = f"<urn:page:{page}:{r['record_uuid']}>", r["payload"]
+                own, payload = _record_id(r["page_id"], r["row"]), r["payload"]
                 head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 response = r["record_type"] == "response"
                 if response:
@@ -93,7 +99,7 @@ def write_archives(records: DataFrame, path: str, segment_bytes=8192, chunk_byte
                     block = (head + f"Content-Length: {len(payload)}\r\n\r\n").encode()
                 common = [("WARC-Date", date), ("WARC-Target-URI", _one_line(r["url"])), ("WARC-Payload-Digest", f"sha256:{r['digest']}")]
                 if r["refers_to"] is not None:
-                    common += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{r['refers_to']}>")]
+                    common += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(r["refers_to"], r["refers_row"]))]
                 segments = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
                 for k, some in enumerate(segments, 1):
                     fields = [("WARC-Type", r["record_type"] if k == 1 else "continuation"), ("WARC-Record-ID", own if k == 1 else f"{own[:-1]}:{k}>")]
@@ -198,10 +204,10 @@ def reassembled(physical: DataFrame) -> DataFrame:
 
 
 def page_records(logical: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload, problem of logical page records.
+    """page_id, record_id, record_type, refers_to (a page), refers_id, payload_bytes, payload_digest, payload, problem of logical page records.
 
     A response's payload is decoded and its digest computed and compared with the header's. A
-    revisit has the digest and length that its own headers state and no payload.
+    revisit has the digest and length that its own headers state and no payload (see ``resolved``).
     """
 
     def decoded(batches):
@@ -224,13 +230,26 @@ def page_records(logical: DataFrame) -> DataFrame:
                         problem = f"unreadable: {e}"
                 for column, value in zip(rows, (length, stated, payload, problem), strict=True):
                     column.append(value)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "record_type", "refers_to")]
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "record_id", "record_type", "refers_to", "refers_id")]
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "problem"])
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["page_id", "record_id", "record_type", "refers_to", "refers_id", "payload_bytes", "payload_digest", "payload", "problem"])
 
     page = lambda c: F.regexp_extract(F.col(c), "^<urn:page:(-?\\d+)", 1).try_cast("long")
-    read = logical.select("record_type", "payload_digest", "block", "problem", page("record_id").alias("page_id"), page("refers_to").alias("refers_to"))
-    return read.mapInArrow(decoded, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, problem string")
+    read = logical.select("record_type", "payload_digest", "block", "problem", page("record_id").alias("page_id"), "record_id", page("refers_to").alias("refers_to"), F.col("refers_to").alias("refers_id"))
+    return read.mapInArrow(decoded, "page_id long, record_id string, record_type string, refers_to long, refers_id string, payload_bytes long, payload_digest string, payload binary, problem string")
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """Page records whose revisits are checked against the record they name; ``problem`` says where it is absent or differs.
+
+    Only revisits are joined, with the digests of responses. records are evaluated twice: write them first.
+    """
+    revisits, others = records.where("record_type = 'revisit'"), records.where("coalesce(record_type <> 'revisit', true)")
+    named = others.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("payload_digest").alias("told_digest"), F.col("payload_bytes").alias("told_bytes"))
+    same = F.col("told_digest").eqNullSafe(F.col("payload_digest")) & F.col("told_bytes").eqNullSafe(F.col("payload_bytes"))
+    problem = F.coalesce("problem", F.when(F.col("told_digest").isNull(), "revisits no record here").when(~same, "another payload than the record it revisits"))
+    met = revisits.join(named, "refers_id", "left").withColumn("problem", problem)
+    return others.unionByName(met.select(*records.columns))
 
 
 def planned_records(pages: DataFrame, scratch: Scratch, id_col="page_id", url_col="url", html_col="html", least_bytes=100) -> DataFrame:
@@ -238,30 +257,33 @@ def planned_records(pages: DataFrame, scratch: Scratch, id_col="page_id", url_co
 
     Of equal payloads, rows at the smallest page_id (repeated ids: all of them) are responses. Only
     digests that occur under several ids go back to the pages, so no page of a hot payload waits
-    for another; the join's sides are written or scanned, and skewed parts are split.
+    for another; the join's sides are written or scanned, and skewed parts are split. pages are read
+    twice and must then have the same rows in the same partitions, as files do.
     """
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    many = base.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"))
-    many = scratch.save(many.where("first_id < last_id").drop("last_id"), "equal")
+    payload = F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8")
+    base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha2("payload", 256))
+    many = base.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "row")).alias("first"), F.max("page_id").alias("last_id"))
+    many = scratch.save(many.where("first.page_id < last_id").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")), "equal")
     refers = F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))
     return (
         base.join(many, "digest", "left")
         .withColumn("refers_to", refers)
         .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
-        .withColumn("record_uuid", F.expr("uuid()"))
-        .select("page_id", "record_uuid", "url", "record_type", "refers_to", "digest", "payload")
+        .withColumn("refers_row", F.when(F.col("refers_to").isNotNull(), F.col("first_row")))
+        .select("page_id", "row", "url", "record_type", "refers_to", "refers_row", "digest", "payload")
     )
 
 
-def round_trip(pages: DataFrame, archive_path: str | None = None, id_col="page_id", url_col="url", html_col="html", **writing) -> DataFrame:
-    """Write a WARC record per page, then read the archives back into page records.
+def round_trip(pages: DataFrame, archive_path: str | None = None, id_col="page_id", url_col="url", html_col="html", keep_payload=True, **writing) -> DataFrame:
+    """Write a WARC record per page, then read the archives back into page records, with their payloads or without.
 
     A null html is an empty payload; a null url is left out and a null page_id stays null (such a
-    page is a response). Repeated rows are records of their own. Columns: see ``page_records``.
+    page is a response). Repeated rows are records of their own. Revisits are checked against what
+    they name. Columns: see ``page_records``.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     path = archive_path or scratch.path("archives")
     write_archives(planned_records(pages, scratch, id_col, url_col, html_col), path, **writing)
     scratch.drop("equal")
-    return page_records(reassembled(read_archives(pages.sparkSession, path)))
+    records = page_records(reassembled(read_archives(pages.sparkSession, path)))
+    return resolved(scratch.save(records if keep_payload else records.drop("payload"), "records"))
