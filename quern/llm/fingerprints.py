@@ -27,7 +27,7 @@ def _uniform(bits: F.Column, mask: int) -> F.Column:
     return (bits.bitwiseAND(F.lit(mask)) + 0.5) * (1.0 / (mask + 1))
 
 
-def sample(term: F.Column, weight: F.Column, slot: int) -> F.Column:
+def sample(term: F.Column, weight: F.Column, slot: int | F.Column) -> F.Column:
     """A long for a term of that weight (1 or more): its place in the slot's order above 32 bits of its identity.
 
     By the scheme of consistent weighted sampling: r, c ~ Gamma(2, 1), b ~ U(0, 1),
@@ -44,10 +44,10 @@ def sample(term: F.Column, weight: F.Column, slot: int) -> F.Column:
     return F.shiftleft(F.floor((ln_a + 64.0) * 2.0**24), 32).bitwiseOR(identity)
 
 
-def _signature(names: list[str]) -> F.Column:
+def _signature(samples: F.Column) -> F.Column:
     """Codes of all slots; null for a text without terms."""
-    code = lambda c: F.col(c).bitwiseAND(F.lit((1 << 4 * CODE_DIGITS) - 1)).cast("int")
-    return F.when(F.col(names[0]).isNotNull(), F.array(*[code(c) for c in names]))
+    code = lambda x: x.bitwiseAND(F.lit((1 << 4 * CODE_DIGITS) - 1)).cast("int")
+    return F.when(F.get(samples, 0).isNotNull(), F.transform(F.slice(samples, 1, SAMPLES), code))
 
 
 def likeness(a: str, b: str) -> F.Column:
@@ -85,9 +85,9 @@ def weighted_signatures(rows: DataFrame, group: str, key: str, texts: list[str],
     sampled = alike.select(group, "rows", *[told_or(k).alias(s) for k, s in enumerate(slots)])
     # one minimum a slot, and no test where nothing is told: the JVM compiles no method of over 8000 bytes
     least = sampled.select(group, F.explode("rows").alias("at"), *slots).groupBy(group, "at").agg(*[F.min(s).alias(s) for s in slots])
-    signed = least.select(group, F.floor(F.col("at") / n).cast("long").alias(key), F.pmod("at", F.lit(n)).alias("of"), _signature(slots[:SAMPLES]).alias("sig"), F.array(*slots[: len(told)]).cast("array<bigint>").alias("told"))
-    found = signed.groupBy(group, key).agg(*[F.max(F.when(F.col("of") == k, F.col("sig"))).alias(f"sig_{t}") for k, t in enumerate(texts)], F.max(F.when(F.col("of") == len(texts), F.col("told"))).alias("told"))
-    return found.select(group, key, *[f"sig_{t}" for t in texts], *[F.get("told", k).alias(c) for k, c in enumerate(told)])
+    signed = least.select(group, F.floor(F.col("at") / n).cast("long").alias(key), F.pmod("at", F.lit(n)).alias("of"), F.array(*slots).alias("least"))
+    found = signed.groupBy(group, key).agg(*[F.max(F.when(F.col("of") == k, F.col("least"))).alias(f"of_{k}") for k in range(n)])
+    return found.select(group, key, *[_signature(F.col(f"of_{k}")).alias(f"sig_{t}") for k, t in enumerate(texts)], *[F.get(f"of_{n - 1}", k).alias(c) for k, c in enumerate(told)])
 
 
 def _in_pieces(hex_: F.Column, name: str, pieces: int = 8) -> dict[str, F.Column]:

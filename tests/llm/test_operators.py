@@ -156,6 +156,33 @@ def jaccard(a, b):
     return sum((x & y).values()) / max(1, sum((x | y).values()))
 
 
+@pytest.mark.parametrize(("a", "b"), [({1: 10, 2: 1}, {1: 1, 2: 10}), ({1: 1, 2: 1, 3: 1}, {2: 1, 3: 1, 4: 1}), ({1: 100, 2: 3, 3: 1}, {1: 90, 3: 7}), ({1: 5}, {1: 6})])
+def test_samples_collide_at_the_likeness(spark, a, b):
+    """Over 60,000 slots the share of equal samples is the generalised Jaccard similarity, skewed weights included."""
+    slots = spark.range(60_000).withColumnRenamed("id", "slot")
+    least = lambda terms: F.least(*[fingerprints.sample(F.lit(t * 1_000_003), F.lit(float(w)), F.col("slot")) for t, w in terms.items()], *([F.lit((1 << 63) - 1)] if len(terms) == 1 else []))
+    share = slots.agg(F.avg((least(a) == least(b)).cast("double"))).first()[0]
+    exact = sum(min(a.get(t, 0), b.get(t, 0)) for t in a | b) / sum(max(a.get(t, 0), b.get(t, 0)) for t in a | b)
+    assert abs(share - exact) < 0.01
+
+
+def test_fingerprints_of_hot_and_null_ids(spark, rows):
+    """Ids that hold many rows are spread over buckets; every row's next is the one after it in the stated order."""
+    many = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"{text or ''} {k}") for k, (_, text, *_) in enumerate(rows * 4)]
+    df = spark.createDataFrame(many, "doc_id long, text string").withColumn("bucket", F.lit("clash")).withColumn("row", F.lit(1)).repartition(3)
+    got = fingerprints.edited_likeness(df).collect()
+    assert len(got) == len(many) and sum(r.doc_id is None for r in got) == sum(k is None for k, _ in many)
+    tie = {r.text: r.tie for r in spark.createDataFrame([(t,) for _, t in many], "text string").select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("tie")).collect()}
+    order = sorted(many, key=lambda m: (m[0] is not None, m[0] or 0, tie[m[1]]), reverse=True)
+    edited = Counter()
+    for (key, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(text) // 2
+        edited[key, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert edited == Counter((r.doc_id, r.edited_sha256) for r in got)
+    alone = fingerprints.fingerprint_documents(df)
+    assert sorted([(r.doc_id or -1, r.fingerprint) for r in alone.collect()]) == sorted([(r.doc_id or -1, r.fingerprint) for r in got])
+
+
 def test_fingerprints(docs, rows):
     got = {r.doc_id: r for r in fingerprints.edited_likeness(docs).collect()}
     down = sorted(rows, key=lambda r: -r[0])
