@@ -19,9 +19,9 @@ def extracted(column: Column, pattern: str, group: int = 1) -> Column:
 
 def parse_bytes(column: Column) -> Column:
     """'12.5M', '1,024K', '3 GB', '17' -> bytes by powers of 1024, truncated; null for anything else."""
-    text = F.upper(F.regexp_replace(F.trim(column), "[,\\s]", ""))
-    number = extracted(text, "^(\\d+(?:\\.\\d+)?)([KMGT]?)B?$").try_cast("double")
-    unit = F.regexp_extract(text, "^(\\d+(?:\\.\\d+)?)([KMGT]?)B?$", 2)
+    text = F.upper(F.translate(column, ", \t\n\r\f\x0b", ""))
+    number = F.when(text.rlike("^\\d+(?:\\.\\d+)?[KMGT]?B?$"), F.rtrim(text, F.lit("KMGTB")).try_cast("double"))
+    unit = F.right(F.rtrim(text, F.lit("B")), F.lit(1))
     scale = F.when(unit == "K", 2.0**10).when(unit == "M", 2.0**20).when(unit == "G", 2.0**30).when(unit == "T", 2.0**40).otherwise(1.0)
     return (number * scale).try_cast("long")
 

@@ -46,6 +46,15 @@ def tables_of(lines: DataFrame, kept: DataFrame) -> Tables:
     return Tables(lines, dumps, thread_rows, logs, events, histos, rows, exceptions.parse(of(artifacts.APP_LOG)))
 
 
+#: Tables that each kind of artifact is parsed into.
+TABLES_OF = {
+    artifacts.THREAD_DUMP: ["dumps", "threads"],
+    artifacts.GC_LOG: ["gc_logs", "gc_events"],
+    artifacts.HEAP_HISTO: ["histos", "histo_rows"],
+    artifacts.APP_LOG: ["exceptions"],
+}
+
+
 class Engine:
     """Rules applied to parsed tables. Pass other rules to extend or narrow it."""
 
@@ -59,7 +68,26 @@ class Engine:
             out = out.unionByName(rule.evaluate(tables, thresholds))
         return out
 
-    def isolated(self, tables: Tables, thresholds: Thresholds, space: Workspace) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    def _written(self, tables: Tables, present: set[str], space: Workspace) -> dict[str, str]:
+        """Write what was parsed; of a kind that is absent, or whose parser fails, the tables are empty. Returns errors by table."""
+        errors: dict[str, str] = {}
+
+        def write(kind: str, name: str) -> DataFrame:
+            df = getattr(tables, name)
+            if kind in present:
+                try:
+                    return space.written(df, name)
+                except Exception as e:
+                    errors[name] = f"the parser of {name} failed: {type(e).__name__}"
+            return space.spark.createDataFrame([], df.schema)
+
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            made = {name: pool.submit(write, kind, name) for kind, names in TABLES_OF.items() for name in names}
+        for name, df in made.items():
+            setattr(tables, name, df.result())
+        return errors
+
+    def isolated(self, tables: Tables, thresholds: Thresholds, space: Workspace, present: set[str]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
         """Findings, (snapshot_id, rule_id, why) of what was declined, and errors by rule: a rule that fails costs no other's findings."""
         spark = tables.lines.sparkSession
         errors: dict[str, str] = {}
@@ -77,7 +105,7 @@ class Engine:
             return found, why
 
         with ThreadPoolExecutor(max_workers=8) as pool:  # small jobs that wait for one another would leave the cluster idle
-            made = list(pool.map(run, self.rules))
+            made = list(pool.map(run, [r for r in self.rules if r.artifact in present]))
         findings = reduce(DataFrame.unionByName, [f for f, _ in made if f is not None], spark.createDataFrame([], FINDING))
         declined = reduce(DataFrame.unionByName, [w for _, w in made if w is not None], spark.createDataFrame([], "snapshot_id string, why string, rule_id string"))
         return findings, declined, errors
@@ -100,11 +128,12 @@ class Engine:
         kinds = space.written(artifacts.sniff(lines), "kinds")
         kept, skipped = artifacts.first_of_kind(kinds, multi_log)
         tables = tables_of(lines, kept)
-        for name in ("dumps", "threads", "gc_logs", "gc_events", "histos", "histo_rows", "exceptions"):
-            setattr(tables, name, space.written(getattr(tables, name), name))
-        found, declined, errors = self.isolated(tables, thresholds, space)
+        present = {r["kind"] for r in kept.select("kind").distinct().collect()}  # five at most
+        errors = self._written(tables, present, space)
+        found, declined, failed = self.isolated(tables, thresholds, space, present)
+        errors |= failed
         merged = space.written(correlate.quoted(space.written(correlate.dedupe(found), "merged"), lines), "quoted")
-        status = correlate.rule_status(files.select("snapshot_id").distinct(), kept, merged, declined, self.rules, sorted(errors))
+        status = correlate.rule_status(files.select("snapshot_id").distinct(), kept, merged, declined, self.rules, sorted(failed))
         return Analysis(tables, kinds, skipped, merged, correlate.hypotheses(merged), correlate.timeline(tables, thresholds), status, thresholds, errors)
 
 

@@ -61,8 +61,9 @@ def _first(value: F.Column) -> F.Column:
     return F.min_by(value, F.when(value.isNotNull(), F.col("line_no")))
 
 
-def _bytes(text: F.Column, pattern: str, group: int) -> F.Column:
-    return parse_bytes(extracted(text, pattern, group))
+def _bytes(text: F.Column, pattern: str, group: int, word: str = "->") -> F.Column:
+    """Size in a group of a pattern that no text without the word has; others are not searched."""
+    return F.when(F.contains(text, F.lit(word)), parse_bytes(extracted(text, pattern, group)))
 
 
 def _unified(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,49 +82,54 @@ def _unified(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.exists("tokens", lambda x: F.lower(x).startswith("gc")).alias("tagged"),
     ).withColumn("uptime", F.coalesce(F.last("own", True).over(w), F.lit(0.0)))
     m, lower = F.col("msg"), F.lower("msg")
+    has = lambda text, word: F.contains(text, F.lit(word))
     banner = F.when(lower.startswith("using "), F.col("msg"))
-    chatter = lower.startswith("using ") | lower.startswith("version:") | lower.startswith("cpus:") | lower.startswith("memory limits") | m.rlike(MAX_HEAP)
-    number = extracted(m, "^GC\\((\\d+)\\)").try_cast("int")
-    rows = timed.withColumn("region", F.last(_bytes(m, REGION_SIZE, 1), True).over(w)).withColumn("gc_id", F.coalesce(number, F.when(F.col("tagged"), F.col("line_no") - 1 + 100_000)))
-    rows = rows.withColumn("chatter", chatter).withColumn("inner", F.trim(F.regexp_replace("msg", "^GC\\(\\d+\\)\\s*", "")))
+    max_heap = _bytes(m, MAX_HEAP, 1, "Max Heap Size:")
+    chatter = lower.startswith("using ") | lower.startswith("version:") | lower.startswith("cpus:") | lower.startswith("memory limits") | has(m, "Max Heap Size:") & m.rlike(MAX_HEAP)
+    number = F.when(m.startswith("GC("), extracted(m, "^GC\\((\\d+)\\)").try_cast("int"))
+    rows = timed.withColumn("region", F.last(_bytes(m, REGION_SIZE, 1, "Region Size:"), True).over(w)).withColumn("gc_id", F.coalesce(number, F.when(F.col("tagged"), F.col("line_no") - 1 + 100_000)))
+    rows = rows.withColumn("chatter", chatter).withColumn("inner", F.when(m.startswith("GC("), F.trim(F.regexp_replace("msg", "^GC\\(\\d+\\)\\s*", ""))).otherwise(F.trim("msg")))
     records = rows.where("gc_id is not null and not chatter")
-    i, il = F.col("inner"), F.lower("inner")
-    told = ~i.rlike(STATISTICS)
+    i, il = F.col("inner"), F.col("il")
     kind = (
         F.when(il.startswith("allocation stall"), "ALLOCATION_STALL")
         .when(il.startswith("pause full"), "FULL")
-        .when(il.contains("pause young (mixed)") | il.startswith("pause mixed"), "MIXED")
+        .when(has(il, "pause young (mixed)") | il.startswith("pause mixed"), "MIXED")
         .when(il.startswith("pause young"), "YOUNG")
-        .when(il.contains("pause remark"), "REMARK")
-        .when(il.contains("pause cleanup"), "CLEANUP")
-        .when(il.contains("concurrent mark cycle") | il.contains("conc-mark") | il.startswith("garbage collection (") | il.rlike("^(?:major|minor) collection"), "CYCLE")
+        .when(has(il, "pause remark"), "REMARK")
+        .when(has(il, "pause cleanup"), "CLEANUP")
+        .when(has(il, "concurrent mark cycle") | has(il, "conc-mark") | il.startswith("garbage collection (") | il.rlike("^(?:major|minor) collection"), "CYCLE")
     )
-    heap_text = F.regexp_replace(i, NOT_HEAP, " ")
-    heap = lambda g: F.coalesce(_bytes(i, HEAP, g), F.when(~i.contains("Metaspace:"), _bytes(heap_text, TRANSITION, g)))
-    before = F.coalesce(heap(1), F.when(~i.contains("Metaspace:"), _bytes(i, SHARES, 1)))
-    after = F.coalesce(heap(2), F.when(~i.contains("Metaspace:"), _bytes(i, SHARES, 2)))
-    ms = extracted(i, "([0-9]+(?:\\.[0-9]+)?)\\s*ms\\b").try_cast("double")
-    pause = il.startswith("pause ")
+    # each fact of a line is a column of its own before the records are gathered, so that none is searched for twice
+    told = records.withColumn("il", F.lower("inner")).withColumn("told", ~(has(i, "/") & i.rlike(STATISTICS)))
+    told = told.withColumn("metaspace", has(i, "Metaspace:")).withColumn("plain", F.when(has(i, "->") & ~F.col("metaspace"), F.regexp_replace(i, NOT_HEAP, " ")))
+    heap = lambda g: F.coalesce(F.when(has(i, "Heap:"), _bytes(i, HEAP, g)), _bytes(F.col("plain"), TRANSITION, g))
+    share = lambda g: F.when(has(i, "%") & ~F.col("metaspace"), _bytes(i, SHARES, g))
     parens = F.regexp_extract_all(i, F.lit(PARENTHESIS), F.lit(1))
-    said = F.filter(parens, lambda x: ~x.rlike(f"(?i)^(?:{_SIZE}%?)$"))
-    cause = F.try_element_at(F.filter(said, lambda x: ~F.lower(x).isin(*LABELS)), F.lit(-1))
-    label = F.get(F.filter(said, lambda x: F.lower(x).isin(*LABELS)), 0)
-    only = lambda c: F.when(told, c)
-    found = records.groupBy(*KEY, "gc_id").agg(
+    facts = told.select(
+        *KEY, "line_no", "gc_id", "uptime", "region", "told", "il", "inner", "wall", kind.alias("kind"), F.coalesce(heap(1), share(1)).alias("before"), F.coalesce(heap(2), share(2)).alias("after"), heap(3).alias("size"),
+        _bytes(i, MAX_CAPACITY, 1, "Max Capacity").alias("most"), F.when(has(i, "Old regions:"), extracted(i, OLD_REGIONS, 2).try_cast("long")).alias("old_regions"), F.when(F.col("metaspace"), _bytes(i, METASPACE, 2)).alias("meta"),
+        F.when(has(i, "ms"), extracted(i, "([0-9]+(?:\\.[0-9]+)?)\\s*ms\\b").try_cast("double")).alias("ms"), F.when(has(i, "("), F.filter(parens, lambda x: ~x.rlike(f"(?i)^(?:{_SIZE}%?)$"))).alias("said"),
+    )
+    facts = facts.withColumn("cause", F.try_element_at(F.filter("said", lambda x: ~F.lower(x).isin(*LABELS)), F.lit(-1))).withColumn("label", F.get(F.filter("said", lambda x: F.lower(x).isin(*LABELS)), 0))
+    pause = il.startswith("pause ")
+    only = lambda c: F.when(F.col("told"), F.col(c) if isinstance(c, str) else c)
+    ms = F.col("ms")
+    found = facts.groupBy(*KEY, "gc_id").agg(
         F.min("line_no").alias("line_no"),
         F.max("uptime").alias("at"),
-        F.coalesce(_last(only(kind)), F.lit("OTHER")).alias("kind"),
-        _last(only(F.when(pause & i.contains("->"), ms))).alias("summary"),
-        F.sum(only(F.when(pause & ~i.contains("->"), ms))).alias("phases"),
+        F.coalesce(_last(only("kind")), F.lit("OTHER")).alias("kind"),
+        _last(only(F.when(pause & has(i, "->"), ms))).alias("summary"),
+        F.sum(only(F.when(pause & ~has(i, "->"), ms))).alias("phases"),
         _last(only(F.when(il.startswith("allocation stall"), ms))).alias("stall"),
-        _last(only(before)).alias("heap_before"),
-        _last(only(after)).alias("heap_after"),
-        F.coalesce(_last(only(heap(3))), _first(only(_bytes(i, MAX_CAPACITY, 1)))).alias("capacity"),
-        (_last(only(extracted(i, OLD_REGIONS, 2).try_cast("long"))) * _last(F.col("region"))).alias("old_after"),
-        _last(only(_bytes(i, METASPACE, 2))).alias("metaspace_after"),
-        F.coalesce(_last(only(cause)), _first(only(label))).alias("cause"),
-        F.bool_or(told & il.rlike("to-space exhausted|evacuation failure|promotion failed")).alias("to_space_exhausted"),
-        F.bool_or(told & il.contains("humongous allocation")).alias("humongous"),
+        _last(only("before")).alias("heap_before"),
+        _last(only("after")).alias("heap_after"),
+        F.coalesce(_last(only("size")), _first(only("most"))).alias("capacity"),
+        (_last(only("old_regions")) * _last(F.col("region"))).alias("old_after"),
+        _last(only("meta")).alias("metaspace_after"),
+        F.coalesce(_last(only("cause")), _first(only("label"))).alias("cause"),
+        F.bool_or(F.col("told") & il.rlike("to-space exhausted|evacuation failure|promotion failed")).alias("to_space_exhausted"),
+        F.bool_or(F.col("told") & has(il, "humongous allocation")).alias("humongous"),
         _last(F.col("wall")).alias("wall_raw"),
     )
     stw = F.when(F.col("kind") == "ALLOCATION_STALL", F.coalesce("summary", "phases", "stall")).otherwise(F.coalesce("summary", "phases"))
@@ -131,7 +137,7 @@ def _unified(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     vocabulary = records.withColumn("nth", F.row_number().over(w)).where("nth <= 300").groupBy(*KEY).agg(F.array_join(F.collect_list("inner"), "\n").alias("words"))
     boot = epoch_millis(F.col("wall")) - (F.col("uptime") * 1000).cast("long")
     logs = rows.groupBy(*KEY).agg(
-        _last(banner).alias("banner"), _first(boot).alias("boot_epoch_ms"), _last(_bytes(m, MAX_HEAP, 1)).alias("max_heap_bytes")
+        _last(banner).alias("banner"), _first(boot).alias("boot_epoch_ms"), _last(max_heap).alias("max_heap_bytes")
     )
     logs = logs.join(vocabulary, KEY, "left").select(
         *KEY, F.coalesce(F.nullif(guess_collector(F.coalesce("banner", F.lit(""))), F.lit("UNKNOWN")), guess_collector(F.coalesce("words", F.lit("")))).alias("collector"), F.lit(True).alias("unified"), "boot_epoch_ms", "max_heap_bytes"
@@ -176,7 +182,7 @@ def _traditional(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         heap(2).alias("heap_after"),
         heap(3).alias("capacity"),
         _bytes(whole, OLD_GENERATION, 1).alias("old_after"),
-        _bytes(whole, METASPACE, 2).alias("metaspace_after"),
+        _bytes(whole, METASPACE, 2, "Metaspace:").alias("metaspace_after"),
         extracted(tail, PARENTHESIS).alias("cause"),
         lower.rlike("to-space exhausted|evacuation failure|promotion failed").alias("to_space_exhausted"),
         lower.contains("humongous allocation").alias("humongous"),
