@@ -105,4 +105,33 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL can express: no tokenizer, fingerprint, classifier or page can be.
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), d AS (SELECT page_id, strlen(body) AS n, sha256(body) AS digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM f""",
+    "op4_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT * FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        r AS (SELECT vec_id, vec_id AS low FROM v UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.vec_id), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(max(n_links), 0) AS n_links, min(low) AS component_id, vec_id = min(low) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id""",
+    "op9_substring_dedup": """
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM t WHERE len(words) >= 20), w AS (SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 19], ' ')) AS print FROM s),
+        g AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY print ORDER BY doc_id, pos) AS nth FROM w) WHERE nth > 1),
+        e AS (SELECT doc_id, words[k] AS word, k FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS k FROM t)), c AS (SELECT DISTINCT doc_id, pos + j AS k FROM g, range(0, 20) r(j)),
+        k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.k) FILTER (c.k IS NULL) AS kept, count(c.k) AS n_removed FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.k = e.k GROUP BY 1)
+        SELECT t.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)""",
+    "op10_source_mixing": """
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1), w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+        o AS (SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight::DOUBLE) AS k FROM w),
+        l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level FROM o),
+        b AS (SELECT coalesce(min_by(level, k) FILTER (2 * source_size > level * weight), max_by(level, k)) AS level FROM l),
+        t AS (SELECT source, source_size, least(2 * source_size, b.level * weight)::DOUBLE AS target FROM w, b),
+        x AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS each, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS rank,
+            CAST('0x' || substr(md5('mix:' || coalesce(d.source, chr(0) || 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, CAST(least(floor(each * (rank + 1) + start) - floor(each * rank + start), ceil(each)) AS BIGINT) * size AS taken FROM x""",
+}
