@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._scratch import Scratch
 
@@ -314,7 +315,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", threshold=
                 names += ["kept_text", "rest"]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
-        schema += f", kept_text string, rest {keyed.schema['rest'].dataType.simpleString()}"
+        schema = schema.add("kept_text", "string").add("rest", keyed.schema["rest"].dataType)
     return joined.mapInArrow(cut, schema)
