@@ -1,5 +1,7 @@
 """Every query of the engine against its SQL twin in DuckDB."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import duckdb
 import pytest
 
@@ -18,15 +20,26 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """All queries, several at a time: each waits for many small jobs."""
+
+    def run(name):
+        df = QUERIES[name](spark, SF)
+        return sorted(df.columns), df.collect()
+
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        yield {name: pool.submit(run, name) for name in sorted(QUERIES)}
+
+
 def plain(v):
     return None if v is None else str(v) if isinstance(v, (str, bool)) else f"{float(v):.6f}"
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_matches_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    found = sorted([tuple(plain(r[c]) for c in columns) for r in df.collect()], key=str)
+def test_matches_sql(results, duck, name):
+    columns, rows = results[name].result()
+    found = sorted([tuple(plain(r[c]) for c in columns) for r in rows], key=str)
     result = duck.execute(ORACLE_SQL[name])
     names = [x[0] for x in result.description]
     wanted = sorted([tuple(plain(dict(zip(names, row, strict=True))[c]) for c in columns) for row in result.fetchall()], key=str)
