@@ -50,9 +50,14 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def percentiles(value: str, percents: list[int]) -> list:
+    """Aggregates: nearest-rank percentiles p<percent>."""
+    return [F.expr(f"percentile_disc({p / 100}) within group (order by {value})").alias(f"p{p}") for p in percents]
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
     """Nearest-rank percentiles p<percent> of each key."""
-    return df.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p / 100}) within group (order by {value})").alias(f"p{p}") for p in percents])
+    return df.groupBy(*keys).agg(*percentiles(value, percents))
 
 
 def share_of_total(df: DataFrame, keys: list[str], value: str) -> DataFrame:

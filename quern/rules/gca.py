@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..config import Thresholds
 from ..functions import fixed
 from ..functions.exprs import is_major, not_heap_pressure
-from ..operators.series import densest_window, evenly_spaced
+from ..operators.series import densest_window, evenly_spaced, percentiles
 from .base import Rule, Tables, findings, ordered, span
 
 KEY = ["snapshot_id", "file"]
@@ -53,7 +53,7 @@ def long_pauses(t: Tables, c: Thresholds) -> DataFrame:
     over = F.col("pause_ms") > c.sla_ms
     worst = F.transform(F.array_sort(F.collect_list(F.when(over, F.struct((-F.col("pause_ms")).alias("k"), "seq", span("file", "line_no", note=F.format_string("%.0f ms", "pause_ms")).alias("e"))))), lambda x: x["e"])
     rows = pauses.groupBy(*KEY).agg(
-        *[F.expr(f"percentile_disc({p / 100}) within group (order by pause_ms)").alias(f"p{p}") for p in (50, 95, 99)],
+        *percentiles("pause_ms", [50, 95, 99]),
         F.max("pause_ms").alias("worst"), F.count_if(over).alias("n_over"), F.slice(worst, 1, c.max_evidence).alias("evidence"),
     ).where("n_over > 0")
     severity = (
