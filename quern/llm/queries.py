@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
+from .fill_middle import fill_in_middle, restored
 from .fingerprints import edited_likeness
 from .hamming import near_duplicate_vectors
 from .html_layout import extract_text
@@ -92,6 +93,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), digest_only=True)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_read(spark, sf_dir, "documents"))
+    sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -103,6 +112,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: DuckDB SQL for the queries that SQL can express: no tokenizer, fingerprint, classifier or page can be.
@@ -134,4 +144,12 @@ ORACLE_SQL: dict[str, str] = {
         x AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS each, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS rank,
             CAST('0x' || substr(md5('mix:' || coalesce(d.source, chr(0) || 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST(least(floor(each * (rank + 1) + start) - floor(each * rank + start), ceil(each)) AS BIGINT) * size AS taken FROM x""",
+    "op13_fill_in_middle": """
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        t AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)[A-Za-z]+|[^A-Za-z]') AS tokens, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || s[k:k + 7] AS BIGINT)) AS h FROM h),
+        c AS (SELECT doc_id, text, tokens, len(tokens) AS n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+            least(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS a, greatest(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS b FROM t),
+        p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(tokens[1:a], ''), '') AS prefix, coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle, coalesce(array_to_string(tokens[b + 1:], ''), '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
