@@ -31,7 +31,7 @@ def plainly(doc_id, text):
 def test_as_the_rules_say(spark, run, monkeypatch):
     """Every text under many ids, repeated rows, null ids and clashing columns; runs of any size give the same."""
     monkeypatch.setattr(fill_middle, "RUN_BYTES", run)
-    rows = [(31 * k + j, t) for k, t in enumerate(TEXTS) for j in range(3 if run == 1 else 9)] + [(None, "null id"), (None, "null id"), (7, "again"), (7, "again")]
+    rows = [(31 * k + j, t) for k, t in enumerate(TEXTS) for j in range(3 if run == 1 else 9)] + [(None, "null id"), (None, "null id"), (-7, "again"), (-7, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("Form", "n", "h1", "output", "a.b")}).repartition(2)
     got = fill_in_middle(docs)
     found = got.withColumn("back", restored(F.col("output"), F.col("form"))).collect()
