@@ -10,6 +10,7 @@ from .fill_middle import fill_in_middle, restored
 from .fingerprints import edited_likeness
 from .hamming import near_duplicate_vectors
 from .html_layout import extract_text
+from .kd_shards import kd_shards
 from .langid import LanguageCodes, predict_languages
 from .mixing import mixing_plan
 from .packing import pack_documents
@@ -93,6 +94,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), digest_only=True)
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(_read(spark, sf_dir, "documents"), shards=16)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(_read(spark, sf_dir, "documents"))
     sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
@@ -112,6 +117,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_kd_shards": op11_kd_shards,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
