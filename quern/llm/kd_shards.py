@@ -8,9 +8,10 @@ the one that holds the median; each pass leaves a small part of the candidates a
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,7 +23,7 @@ MOST_SHARDS = 1 << 16
 #: Candidates of a node that are few enough to be sorted by one task, and the quantiles that narrow down more.
 FEW, QUANTILES = 4096, 40
 _KEY = ["v", "h", "i", "row"]  # place in the dimension, hash of the text, hash of the id, number of the row
-_KINDS = "v double, h long, i long, row long"
+_KINDS = "v: double, h: long, i: long, row: long"
 _LOW, _HIGH = (float("-inf"), *[-(1 << 63)] * 3), (float("inf"), *[(1 << 63) - 1] * 3)
 
 
@@ -36,6 +37,16 @@ def _axis(docs: DataFrame, name: str) -> F.Column:
     return F.conv(F.rpad(F.hex(F.substring(F.encode(column.cast("string"), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
 
 
+def _hash(column: F.Column) -> F.Column:
+    """52 bits, as quantiles are exact for numbers below 2**53 alone; what they don't tell apart the next key does."""
+    return F.shiftrightunsigned(F.xxhash64(column), 12)
+
+
+def _told(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows of the driver as a table, without a Python worker."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def _spread(name: str, low: float | None, high: float | None) -> F.Column:
     """A dimension as a part of its whole range, null a quarter below it; infinite values at its ends."""
     if low is None:
@@ -44,8 +55,8 @@ def _spread(name: str, low: float | None, high: float | None) -> F.Column:
     return F.coalesce(place, F.lit(-0.25))
 
 
-def _key(prefix: str = "") -> F.Column:
-    return F.struct(*[F.col(prefix + c).alias(c) for c in _KEY])
+def _key() -> F.Column:
+    return F.struct(*_KEY)
 
 
 def _weighted_cuts(rows: DataFrame, wanted: dict[int, tuple[int, int, float]]) -> dict[int, tuple]:
@@ -55,12 +66,12 @@ def _weighted_cuts(rows: DataFrame, wanted: dict[int, tuple[int, int, float]]) -
     texts in one place isn't cut but left to the nearer side.
     """
     spark = rows.sparkSession
-    states = {k: {"node": k, "n": n, "want": want, "slack": slack, "before": 0, "part": 0, "lo": _LOW, "hi": _HIGH} for k, (n, want, slack) in wanted.items()}
-    schema = f"node int, part int, want long, before long, slack double, lo struct<{_KINDS.replace(' ', ':')}>, hi struct<{_KINDS.replace(' ', ':')}>".replace(",:", ", ")
+    states = {k: {"of": k, "n": n, "want": want, "slack": slack, "before": 0, "part": 0, "lo": _LOW, "hi": _HIGH} for k, (n, want, slack) in wanted.items()}
+    schema = f"of int, part int, want long, before long, slack double, lo struct<{_KINDS}>, hi struct<{_KINDS}>"
 
     def candidates(some: list[dict], *more: str) -> DataFrame:
-        told = spark.createDataFrame([tuple(s[c] for c in ("node", "part", "want", "before", "slack", "lo", "hi")) for s in some], schema)
-        met = rows.join(F.broadcast(told.withColumnRenamed("node", "of")), F.col("node") == F.col("of"))
+        named = [s | {end: dict(zip(_KEY, s[end], strict=True)) for end in ("lo", "hi")} for s in some]
+        met = rows.join(F.broadcast(_told(spark, named, schema)), F.col("node") == F.col("of"))
         return met.where((_key() > F.col("lo")) & (_key() <= F.col("hi"))).drop("of")
 
     while many := [s for s in states.values() if s["n"] > FEW]:
@@ -71,7 +82,7 @@ def _weighted_cuts(rows: DataFrame, wanted: dict[int, tuple[int, int, float]]) -
         )
         # a row for each node goes to the driver and comes back as a table of proven size
         sketched = {r["node"]: (r["of_v"], r["of_whole"]) for r in sketch.collect()}
-        bounds = spark.createDataFrame([(k, *b) for k, b in sketched.items()], "of int, of_v array<double>, of_whole array<long>")
+        bounds = _told(spark, [{"of": k, "of_v": v, "of_whole": whole} for k, (v, whole) in sketched.items()], "of int, of_v array<double>, of_whole array<long>")
         met = found.join(F.broadcast(bounds), F.col("node") == F.col("of"))
         # an interval between two bounds has an even number, a bound itself an odd one
         place = lambda b, x: 2 * F.size(F.filter(b, lambda y: y < F.col(x))) + F.array_contains(b, F.col(x)).cast("int")
@@ -133,7 +144,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None
     doc_id = F.col(f"`{id_col}`")
     axes = [f"axis{k}" for k in range(len(dimensions))]
     slim = docs.select(
-        doc_id.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.xxhash64(doc_id).alias("i"),
+        doc_id.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), _hash(text).alias("h"), _hash(doc_id).alias("i"),
         F.monotonically_increasing_id().alias("row"), *[_axis(docs, d).alias(a) for d, a in zip(dimensions, axes, strict=True)],
     )
     slim = scratch.save(slim, "slim")
@@ -152,15 +163,15 @@ def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None
         seen = placed.where(F.col("node").isin(*open_nodes)) if len(open_nodes) <= 64 else placed
         found = {r["node"]: r for r in seen.groupBy("node").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), *ends).collect() if r["node"] in open_nodes}
         widest = {k: max(range(len(axes)), key=lambda j, r=r: r[f"max_{axes[j]}"] - r[f"min_{axes[j]}"]) if axes else 0 for k, r in found.items()}
-        turned = spark.createDataFrame([(k, j) for k, j in widest.items()], "of int, axis int")
+        turned = _told(spark, [{"of": k, "axis": j} for k, j in widest.items()], "of int, axis int")
         value = F.get(F.array(*axes), F.col("axis")) if axes else F.lit(0.0)
         aimed = placed.join(F.broadcast(turned), F.col("node") == F.col("of"), "left").withColumn("v", value).drop("of", "axis")
         left = {k: open_nodes[k] // 2 for k in found}
         share = {k: r["bytes"] * left[k] // open_nodes[k] for k, r in found.items()}
         cuts = _weighted_cuts(aimed.where("v is not null"), {k: (r["n"], share[k], slack * r["bytes"] / open_nodes[k]) for k, r in found.items()})
-        cut_rows = spark.createDataFrame([(k, left[k], *key) for k, key in cuts.items()], "of int, left int, cut_v double, cut_h long, cut_i long, cut_row long")
+        cut_rows = _told(spark, [{"of": k, "left": left[k], "cut": dict(zip(_KEY, key, strict=True))} for k, key in cuts.items()], f"of int, left int, cut struct<{_KINDS}>")
         met = aimed.join(F.broadcast(cut_rows), F.col("node") == F.col("of"), "left")
-        moved = F.when(F.col("of").isNotNull() & (_key() > _key("cut_")), F.col("node") + F.col("left")).otherwise(F.col("node"))
+        moved = F.when(F.col("of").isNotNull() & (_key() > F.col("cut")), F.col("node") + F.col("left")).otherwise(F.col("node"))
         placed = met.withColumn("node", moved).select(*placed.columns)
         open_nodes = {child: n for k in found for child, n in ((k, left[k]), (k + left[k], open_nodes[k] - left[k]))}
     ranked, _ = rank_within(placed.select("doc_id", "size", "text_crc32", "h", "row", F.col("node").alias("shard")), "shard", ["doc_id", "h", "row"], scratch)
