@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .rollups import TokenRollup, token_changes
 from .simhash import near_duplicates
 from .substrings import remove_repeats
+from .turns import damaged, repair_digests
 from .warc import round_trip
 
 
@@ -98,6 +99,11 @@ def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_read(spark, sf_dir, "documents"), shards=16)
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    return repair_digests(conversations, damaged(conversations))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(_read(spark, sf_dir, "documents"))
     sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
@@ -118,6 +124,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
     "op11_kd_shards": op11_kd_shards,
+    "op12_turn_repair": op12_turn_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
