@@ -145,7 +145,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None
     axes = [f"axis{k}" for k in range(len(dimensions))]
     slim = docs.select(
         doc_id.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), _hash(text).alias("h"), _hash(doc_id).alias("i"),
-        F.monotonically_increasing_id().alias("row"), *[_axis(docs, d).alias(a) for d, a in zip(dimensions, axes, strict=True)],
+        F.monotonically_increasing_id().alias("row"), F.lit(0).alias("node"), *[_axis(docs, d).alias(a) for d, a in zip(dimensions, axes, strict=True)],
     )
     slim = scratch.save(slim, "slim")
     finite = lambda a: F.when(F.abs(a) < float("inf"), F.col(a))
@@ -156,8 +156,8 @@ def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None
         raise ValueError(f"{leaves} shards; at most {MOST_SHARDS} can be made")
     spread = [_spread(a, whole[f"min_{a}"], whole[f"max_{a}"]).alias(a) for a in axes]
     # a node's number is that of its first leaf
-    placed = slim.select("doc_id", "size", "text_crc32", "h", "i", "row", *spread, F.lit(0).alias("node"))
-    open_nodes = {0: leaves} if total else {}
+    placed = slim.select("doc_id", "size", "text_crc32", "h", "i", "row", "node", *spread)
+    open_nodes, level = {0: leaves} if total else {}, 0
     while open_nodes := {k: n for k, n in open_nodes.items() if n > 1}:
         ends = [f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))]
         seen = placed.where(F.col("node").isin(*open_nodes)) if len(open_nodes) <= 64 else placed
@@ -173,6 +173,9 @@ def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None
         met = aimed.join(F.broadcast(cut_rows), F.col("node") == F.col("of"), "left")
         moved = F.when(F.col("of").isNotNull() & (_key() > F.col("cut")), F.col("node") + F.col("left")).otherwise(F.col("node"))
         placed = met.withColumn("node", moved).select(*placed.columns)
+        level += 1
+        if level % 5 == 0:  # else each pass follows all cuts so far
+            placed = scratch.save(placed, f"level-{level}")
         open_nodes = {child: n for k in found for child, n in ((k, left[k]), (k + left[k], open_nodes[k] - left[k]))}
     ranked, _ = rank_within(placed.select("doc_id", "size", "text_crc32", "h", "row", F.col("node").alias("shard")), "shard", ["doc_id", "h", "row"], scratch)
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
