@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._scratch import Scratch
+from quern.llm._scratch import Scratch, named, unused
 from quern.llm.langid import LanguageCodes, predict_languages
 from quern.llm.mixing import mix_documents
 from quern.llm.packing import pack_documents
@@ -19,9 +19,10 @@ UNDECIDED_BELOW = 0.02
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, which becomes their lang; texts without letters or decision go."""
-    columns = docs.columns
-    found = predict_languages(docs, LanguageCodes.fit(docs), ambiguous_below=UNDECIDED_BELOW)
-    return found.where("lang_pred <> 'und' and not ambiguous").withColumn("lang", F.col("lang_pred")).select(*columns)
+    language, score, unsure = (unused(docs, name) for name in ("lang_pred", "score", "ambiguous"))
+    found = predict_languages(docs, LanguageCodes.fit(docs), ambiguous_below=UNDECIDED_BELOW, names=(language, score, unsure))
+    kept = found.where((F.col(language) != "und") & ~F.col(unsure))
+    return kept.select(*[F.col(language).alias(c) if c == "lang" else named(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,9 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Texts without passages of 20 words or more that an earlier text has; texts left without words go."""
     columns = docs.columns
     cut = remove_repeats(docs).where("n_removed < n_words or n_words = 0")
-    rest = {c: F.col(f"rest.{c}") for c in columns}
+    rest = {c: F.col("rest").getField(c) for c in columns}
     # a text that loses nothing stays as it was written
-    rest["text"] = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("rest.text"))
+    rest["text"] = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(rest["text"])
     rest["n_chars"] = F.length(rest["text"]).cast("long")
     return cut.select(*[rest[c].alias(c) for c in columns])
 

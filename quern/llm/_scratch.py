@@ -11,7 +11,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
 
@@ -63,6 +64,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def named(column: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like that one which df doesn't have (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

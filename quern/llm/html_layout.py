@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import unused
+from ._scratch import named
 
 # Fixed values of HTML: element names by what the parser or the layout does with them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -481,7 +481,7 @@ def extract_text(pages: DataFrame, html_col="html") -> DataFrame:
     with null ids, stay as they are.
     """
     columns = [c for c in pages.columns if c.lower() != "rendered_text"]
-    kept, html = [F.col(f"`{c}`") for c in columns], unused(pages, "page_html")
+    kept = [named(c) for c in columns]
 
     def each(batches):
         for batch in batches:
@@ -490,4 +490,5 @@ def extract_text(pages: DataFrame, html_col="html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*same, pa.array(texts, pa.string())], names=[*columns, "rendered_text"])
 
     schema = pages.select(*kept).schema.add("rendered_text", "string")
-    return pages.select(*kept, F.col(f"`{html_col}`").alias(html)).mapInArrow(each, schema)
+    numbered = [c.alias(f"c{k}") for k, c in enumerate(kept)]  # not every name can be passed to a worker
+    return pages.select(*numbered, named(html_col).alias("html")).mapInArrow(each, schema)

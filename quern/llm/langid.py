@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import named
 from .tokens import text_runs
 
 _GRAMS = (3, 4)
@@ -174,16 +175,16 @@ def _has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def predict_languages(docs: DataFrame, codes: LanguageCodes, text_col="text", ambiguous_below: float = 0.2) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and ambiguous added.
+def predict_languages(docs: DataFrame, codes: LanguageCodes, text_col="text", ambiguous_below: float = 0.2, names=("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with lang_pred, score (0 to 1) and ambiguous added, under these or other names.
 
     lang_pred is a learned language, or `und` (score 0) where the text is null or has no letter or
     nothing was learned. ambiguous: `und`, or the second codeword is nearer than ambiguous_below in
-    loss. Only the text is an input of a prediction; columns of docs with those names are replaced.
+    loss. Only the text is an input of a prediction; columns of docs with those names, in any case, are replaced.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(codes)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    columns = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     at = columns.index(text_col)
 
     def predicted(batches):
@@ -191,12 +192,16 @@ def predict_languages(docs: DataFrame, codes: LanguageCodes, text_col="text", am
         for batch in batches:
             texts = batch.column(at).to_pylist()
             known = np.array([_has_letter(t) for t in texts], bool) & (len(codes.languages) > 0)
-            names, scores, unsure = np.array(["und"] * len(texts), object), np.zeros(len(texts)), np.ones(len(texts), bool)
+            told, scores, unsure = np.array(["und"] * len(texts), object), np.zeros(len(texts)), np.ones(len(texts), bool)
             if known.any():
                 nearest, score, lead = codes.decode(bit_margins([t for t, k in zip(texts, known, strict=True) if k], codes.weights))
-                names[known], scores[known], unsure[known] = np.array(codes.languages, object)[nearest], score, lead < ambiguous_below
-            made = [pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(unsure)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*columns, "lang_pred", "score", "ambiguous"])
-
-    schema = docs.select(*[F.col(f"`{c}`") for c in columns]).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(predicted, schema)
+                told[known], scores[known], unsure[known] = np.array(codes.languages, object)[nearest], score, lead < ambiguous_below
+            made = [pa.array(told.tolist(), pa.string()), pa.array(scores), pa.array(unsure)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*columns, *names])
+
+    given = docs.select(*[named(c) for c in columns])
+    schema = given.schema
+    for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
+        schema = schema.add(name, kind)
+    # numbered, as not every name can be passed to a worker
+    return given.toDF(*[f"c{k}" for k in range(len(columns))]).mapInArrow(predicted, schema)

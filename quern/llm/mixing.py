@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._rank import rank_within
-from ._scratch import Scratch
+from ._scratch import Scratch, named
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -70,6 +70,6 @@ def mixing_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each row as often as ``mixing_plan`` takes it, with the columns of docs."""
-    whole = docs.withColumn("_whole", F.struct(*docs.columns))
+    whole = docs.withColumn("_whole", F.struct(*[named(c) for c in docs.columns]))
     plan = mixing_plan(whole, carry=("_whole",), **options).where("copies > 0")
     return plan.select("_whole", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_whole.*")

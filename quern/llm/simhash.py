@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._components import connected_components
-from ._scratch import Scratch, shuffle_partitions, unused
+from ._scratch import Scratch, shuffle_partitions, named, unused
 from .similar_sets import min_hash_bands, parity_sketch, similar_groups
 from .tokens import text_runs
 
@@ -217,7 +217,7 @@ def remove_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", wo
     gone = scratch.save(texts.join(stays, ["place", "digest"], "left_anti").select(F.col("place").alias(p), F.col("digest").alias(d)), "gone")
     again = scratch.save(texts.where("rows > 1").join(stays, ["place", "digest"]).select(F.col("place").alias(p), F.col("digest").alias(d)), "again")
     scratch.drop("sets", "texts")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [named(c) for c in docs.columns]
     left = docs.select(*columns, place.alias(p), digest.alias(d)).join(gone, [p, d], "left_anti")
     if not again.isEmpty():
         left = left.join(again, [p, d], "left_anti").unionByName(left.join(again, [p, d], "left_semi").dropDuplicates([p, d]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._scratch import Scratch
+from ._scratch import Scratch, named
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", threshold=
     scratch.drop("anchors", "extended", "earliest")
     by_doc = spans.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "windows"))).alias("spans"))
     with_text = not digest_only
-    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")] if with_text else []
+    rest = [F.struct(*[named(c) for c in docs.columns]).alias("rest")] if with_text else []
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),

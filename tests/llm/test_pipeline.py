@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quern.llm.mixing import share_out
@@ -115,3 +116,17 @@ def test_stages_and_run(spark, folder):
         assert end <= 4096
     again = P.run(spark, folder).collect()
     assert Counter(r[0] for r in again) == Counter(r[0] for r in packed)
+
+
+def test_columns_of_the_caller_survive(spark, folder):
+    """Whatever they are called: names that stages use themselves, in another case, with dots."""
+    names = ["score", "ambiguous", "LANG_PRED", "a.b", "rest", "kept_text", "_whole", "size", "n_removed", "tick`s", "rank"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n}:"), F.col("doc_id")) for n in names})
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        stage(spark, docs, folder).write.parquet(f"{folder}/named-{k}")
+        docs, before = spark.read.parquet(f"{folder}/named-{k}"), docs
+        assert docs.columns == before.columns
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names)
+    assert P.STAGES[-1][1](spark, docs, folder).count() >= len(rows)
