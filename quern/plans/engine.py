@@ -37,13 +37,13 @@ class Analysis:
         return self.findings.groupBy("snapshot_id").agg(bad.alias("failed"))
 
 
-def tables_of(lines: DataFrame, kept: DataFrame) -> Tables:
-    """Parse each artifact by its kind."""
+def tables_of(lines: DataFrame, kept: DataFrame, range_rows: int | None = None) -> Tables:
+    """Parse each artifact by its kind. range_rows: lines that a task numbers, where some file has more of them."""
     of = lambda kind: lines.join(kept.where(F.col("kind") == kind).select("snapshot_id", "file"), ["snapshot_id", "file"], "left_semi")
-    dumps, thread_rows = threads.parse(of(artifacts.THREAD_DUMP))
-    logs, events = gc.parse(of(artifacts.GC_LOG))
+    dumps, thread_rows = threads.parse(of(artifacts.THREAD_DUMP), range_rows)
+    logs, events = gc.parse(of(artifacts.GC_LOG), range_rows)
     histos, rows = histograms.parse(of(artifacts.HEAP_HISTO))
-    return Tables(lines, dumps, thread_rows, logs, events, histos, rows, exceptions.parse(of(artifacts.APP_LOG)))
+    return Tables(lines, dumps, thread_rows, logs, events, histos, rows, exceptions.parse(of(artifacts.APP_LOG), range_rows))
 
 
 #: Tables that each kind of artifact is parsed into.

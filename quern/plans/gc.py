@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import epoch_millis, extracted, parse_bytes
 from ..functions.fixed import COLLECTOR_WORDS
+from ..operators.ranges import running
 
 # What lines of collection logs look like.
 _SIZE = "\\d+(?:\\.\\d+)?\\s*[KMGT]?B?"
@@ -66,7 +67,7 @@ def _bytes(text: F.Column, pattern: str, group: int, word: str = "->") -> F.Colu
     return F.when(F.contains(text, F.lit(word)), parse_bytes(extracted(text, pattern, group)))
 
 
-def _unified(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _unified(lines: DataFrame, range_rows: int | None) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy(*KEY).orderBy("line_no")
     s = F.trim("text")
     prefix = F.regexp_extract(s, "^((?:\\[[^\\]]*\\]\\s*)*)", 1)
@@ -80,14 +81,16 @@ def _unified(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         extracted(pick("^\\d+(?:\\.\\d+)?s$"), "^([0-9.]+)s$").try_cast("double").alias("own"),
         pick("^\\d{4}[-/]\\d{2}[-/]\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}").alias("wall"),
         F.exists("tokens", lambda x: F.lower(x).startswith("gc")).alias("tagged"),
-    ).withColumn("uptime", F.coalesce(F.last("own", True).over(w), F.lit(0.0)))
+    )
     m, lower = F.col("msg"), F.lower("msg")
+    told = {"uptime": F.col("own"), "region": _bytes(m, REGION_SIZE, 1, "Region Size:")}
+    timed = running(timed, KEY, "line_no", lasts=told, length=range_rows).withColumn("uptime", F.coalesce("uptime", F.lit(0.0)))
     has = lambda text, word: F.contains(text, F.lit(word))
     banner = F.when(lower.startswith("using "), F.col("msg"))
     max_heap = _bytes(m, MAX_HEAP, 1, "Max Heap Size:")
     chatter = lower.startswith("using ") | lower.startswith("version:") | lower.startswith("cpus:") | lower.startswith("memory limits") | has(m, "Max Heap Size:") & m.rlike(MAX_HEAP)
     number = F.when(m.startswith("GC("), extracted(m, "^GC\\((\\d+)\\)").try_cast("int"))
-    rows = timed.withColumn("region", F.last(_bytes(m, REGION_SIZE, 1, "Region Size:"), True).over(w)).withColumn("gc_id", F.coalesce(number, F.when(F.col("tagged"), F.col("line_no") - 1 + 100_000)))
+    rows = timed.withColumn("gc_id", F.coalesce(number, F.when(F.col("tagged"), F.col("line_no") - 1 + 100_000)))
     rows = rows.withColumn("chatter", chatter).withColumn("inner", F.when(m.startswith("GC("), F.trim(F.regexp_replace("msg", "^GC\\(\\d+\\)\\s*", ""))).otherwise(F.trim("msg")))
     records = rows.where("gc_id is not null and not chatter")
     i, il = F.col("inner"), F.col("il")
@@ -145,11 +148,10 @@ def _unified(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, logs
 
 
-def _traditional(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    w = Window.partitionBy(*KEY).orderBy("line_no")
+def _traditional(lines: DataFrame, range_rows: int | None) -> tuple[DataFrame, DataFrame]:
     s = F.trim("text")
     rows = lines.where(s != "").select(*KEY, "line_no", s.alias("s"), s.rlike(TRADITIONAL).alias("start"))
-    rows = rows.withColumn("block", F.sum(F.col("start").cast("int")).over(w)).where("block > 0")
+    rows = running(rows, KEY, "line_no", sums={"block": F.col("start").cast("int")}, length=range_rows).where("block > 0")
     inside = Window.partitionBy(*KEY, "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     closed = F.coalesce(F.max((~F.col("start") & F.col("s").contains("[Times:")).cast("int")).over(inside), F.lit(0))
     blocks = rows.withColumn("closed", closed).where("closed = 0").groupBy(*KEY, "block").agg(
@@ -199,14 +201,16 @@ def _traditional(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, logs
 
 
-def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gc_logs, gc_events) of any number of logs in either format."""
+def parse(lines: DataFrame, range_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(gc_logs, gc_events) of any number of logs in either format.
+
+    range_rows: lines that a task numbers, where a log has more of them than one task may hold.
+    """
     told = formats(lines)
     parts = []
     for reader, unified in ((_unified, True), (_traditional, False)):
-        parts.append(reader(lines.join(told.where(F.col("unified") == unified).select(*KEY), KEY, "left_semi")))
+        parts.append(reader(lines.join(told.where(F.col("unified") == unified).select(*KEY), KEY, "left_semi"), range_rows))
     columns = [*KEY, "line_no", "at", "kind", "pause_ms", "heap_before", "heap_after", "capacity", "old_after", "metaspace_after", "cause", "to_space_exhausted", "humongous", "wall_raw"]
     events = parts[0][0].select(*columns).unionByName(parts[1][0].select(*columns))
-    order = Window.partitionBy(*KEY).orderBy("line_no")
-    numbered = events.withColumn("seq", F.row_number().over(order) - 1).withColumn("at_ms", F.round(F.col("at") * 1000).cast("long"))
+    numbered = running(events, KEY, "line_no", sums={"nth": F.lit(1)}, length=range_rows).withColumn("seq", (F.col("nth") - 1).cast("int")).withColumn("at_ms", F.round(F.col("at") * 1000).cast("long"))
     return parts[0][1].unionByName(parts[1][1]), numbered.select(*COLUMNS)

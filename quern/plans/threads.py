@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import epoch_millis, extracted
+from ..operators.ranges import running
 from .exceptions import FRAME, frame
 
 # What lines of thread dumps look like.
@@ -37,15 +38,14 @@ def _state(explicit: F.Column, status: F.Column) -> F.Column:
     return F.coalesce(F.when(explicit.isin(*STATES), explicit), said)
 
 
-def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(dumps, threads).
+def parse(lines: DataFrame, range_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(dumps, threads). range_rows: lines that a task numbers, where a file has more of them than one task may hold.
 
     A capture begins at a date line, or at a marker line unless a date line opened it just before. The
     deadlock report after the threads repeats their headers and is kept out of them. Lines of a
     thread lie within GAP lines of the one before; what comes later is not its own.
     """
     key = ["snapshot_id", "file"]
-    w = Window.partitionBy(*key).orderBy("line_no")
     s, t = F.trim("text"), F.col("text")
     flags = lines.withColumns(
         {
@@ -56,9 +56,10 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         }
     )
     # the last line that opened or filled a capture tells whether a marker continues a date line
-    before = F.last(F.when(F.col("date"), "date").when(F.col("marker") | F.col("header"), "other"), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.col("date") | F.col("marker") & (F.coalesce(before, F.lit("other")) == "other")
-    cut = flags.withColumn("dump", F.sum(starts.cast("int")).over(w)).withColumn("in_trailer", F.coalesce(F.last("trailer", True).over(w) == 1, F.lit(False)))
+    opened = F.when(F.col("date"), "date").when(F.col("marker") | F.col("header"), "other")
+    seen = running(flags, key, "line_no", lasts={"within": F.col("trailer")}, before={"opened": opened}, length=range_rows).withColumn("in_trailer", F.coalesce(F.col("within") == 1, F.lit(False)))
+    starts = F.col("date") | F.col("marker") & (F.coalesce("opened", F.lit("other")) == "other")
+    cut = running(seen, key, "line_no", sums={"dump": starts.cast("int")}, length=range_rows)
     within = [*key, "dump"]
     heads = cut.groupBy(*within).agg(
         F.min_by(F.regexp_extract(s, MARKER, 1), F.when(F.col("marker"), F.col("line_no"))).alias("vm"),
@@ -68,7 +69,7 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count_if(s.rlike(TRAILER)).alias("found"),
         F.bool_or("marker").alias("has_marker"),
     )
-    body = cut.where(~F.col("in_trailer") & ~s.rlike(TRAILER_END)).withColumn("stanza", F.sum(F.col("header").cast("int")).over(Window.partitionBy(*within).orderBy("line_no")))
+    body = running(cut.where(~F.col("in_trailer") & ~s.rlike(TRAILER_END)), within, "line_no", sums={"stanza": F.col("header").cast("int")}, length=range_rows)
     kind = (
         F.when(F.col("header"), "header")
         .when(s.rlike(STATE), "state")
