@@ -17,6 +17,8 @@ from .plans.engine import Engine
 from .report import explained, gathered, rules_json, to_json, to_markdown
 from .rules import RULES
 from .sources import artifacts
+from .sources.ranged import read_lines
+from .sources.workspace import Workspace
 
 
 def parser() -> argparse.ArgumentParser:
@@ -60,8 +62,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("quern").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     given = {f.name: getattr(args, f.name) for f in fields(Thresholds) if getattr(args, f.name, None) is not None}
     # several paths are one snapshot; the first log of the first path wins
-    parts = [artifacts.scan(spark, path)[0].withColumn("snapshot_id", F.lit("snapshot")) for path in args.paths]
-    analysis = Engine().analyze(artifacts.merged(parts), Thresholds().override(**given))
+    space = Workspace(spark)
+    parts = [read_lines(spark, path, space.inner(f"path-{k}"))[0].withColumn("snapshot_id", F.lit("snapshot")) for k, path in enumerate(args.paths)]
+    lines = space.written(artifacts.merged(parts), "lines")
+    analysis = Engine().analyze_lines(lines, lines.select("snapshot_id").distinct(), space, Thresholds().override(**given))
     if analysis.kinds.where(F.col("kind") != artifacts.UNKNOWN).isEmpty():
         print("no artifact was recognised", file=sys.stderr)
         return 2

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..rules import FINDING, RULES, Rule, Tables
+from ..operators.ranges import LENGTH
 from ..sources import artifacts
+from ..sources.ranged import read_lines
 from ..sources.workspace import Workspace
 from . import correlate, exceptions, gc, histograms, threads
 
@@ -122,21 +124,28 @@ class Engine:
 
         Lines, parsed tables and findings are written to the shared folder: several rules read each.
         """
-        thresholds = thresholds or Thresholds()
         space = Workspace(files.sparkSession)
         lines = space.written(artifacts.lines_of(files), "lines")
+        return self.analyze_lines(lines, files.select("snapshot_id").distinct(), space, thresholds, multi_log)
+
+    def analyze_lines(self, lines: DataFrame, snapshots: DataFrame, space: Workspace, thresholds: Thresholds | None = None, multi_log: bool = False) -> Analysis:
+        """The same of written lines; where a file is longer than a range, many tasks number its lines."""
+        thresholds = thresholds or Thresholds()
+        longest = lines.agg(F.max("line_no")).first()[0] or 0
         kinds = space.written(artifacts.sniff(lines), "kinds")
         kept, skipped = artifacts.first_of_kind(kinds, multi_log)
-        tables = tables_of(lines, kept)
+        tables = tables_of(lines, kept, LENGTH if longest > LENGTH else None)
         present = {r["kind"] for r in kept.select("kind").distinct().collect()}  # five at most
         errors = self._written(tables, present, space)
         found, declined, failed = self.isolated(tables, thresholds, space, present)
         errors |= failed
         merged = space.written(correlate.quoted(space.written(correlate.dedupe(found), "merged"), lines), "quoted")
-        status = correlate.rule_status(files.select("snapshot_id").distinct(), kept, merged, declined, self.rules, sorted(failed))
+        status = correlate.rule_status(snapshots, kept, merged, declined, self.rules, sorted(failed))
         return Analysis(tables, kinds, skipped, merged, correlate.hypotheses(merged), correlate.timeline(tables, thresholds), status, thresholds, errors)
 
 
 def analyze_folder(spark: SparkSession, root: str, thresholds: Thresholds | None = None, snapshot_depth: int = 0) -> Analysis:
-    files, _ = artifacts.scan(spark, root, snapshot_depth)
-    return Engine().analyze(files, thresholds)
+    """Analysis of the files under a root, of any number and size."""
+    space = Workspace(spark)
+    lines = space.written(read_lines(spark, root, space, snapshot_depth)[0], "lines")
+    return Engine().analyze_lines(lines, lines.select("snapshot_id").distinct(), space, thresholds)

@@ -28,7 +28,7 @@ def decode(content: F.Column) -> F.Column:
     bare = F.when(marked, F.substring(content, F.lit(4), F.octet_length(content))).otherwise(content)
     utf8 = bare.cast("string")
     valid = F.is_valid_utf8(utf8)
-    return F.when(valid, utf8).otherwise(_not_utf8(F.when(~valid, bare)))
+    return F.when(valid, utf8).otherwise(not_utf8(F.when(~valid, bare)))
 
 
 def _gbk_or_latin(content: bytes | None) -> str | None:
@@ -40,7 +40,20 @@ def _gbk_or_latin(content: bytes | None) -> str | None:
         return bytes(content).decode("latin-1")
 
 
-def _not_utf8(content: F.Column) -> F.Column:
+def gbk_decodes(content: F.Column) -> F.Column:
+    def each(parts: pd.Series) -> pd.Series:
+        def told(x: bytes) -> bool:
+            try:
+                return bytes(x).decode("gbk") is not None
+            except UnicodeDecodeError:
+                return False
+
+        return parts.map(told, na_action="ignore")
+
+    return F.pandas_udf(each, "boolean")(content)
+
+
+def not_utf8(content: F.Column) -> F.Column:
     def each(parts: pd.Series) -> pd.Series:
         return parts.map(_gbk_or_latin, na_action="ignore")
 
@@ -55,7 +68,7 @@ def scan(spark: SparkSession, root: str, snapshot_depth: int | None = 0, most_by
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    inner = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^/*{base.lstrip('/')}/?", "")
+    inner = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^/*\\Q{base.lstrip('/')}\\E/?", "")
     inner = F.coalesce(F.nullif(inner, F.lit("")), F.substring_index("path", "/", -1))  # the root may be a file
     parts = F.split(inner, "/")
     named = found.select("path", "length", "content", inner.alias("file"), F.element_at(parts, -1).alias("name"), F.size(parts).alias("depth"))

@@ -32,6 +32,12 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}"
 
+    def inner(self, name: str) -> Workspace:
+        """A workspace in a folder of this one."""
+        made = Workspace(self.spark)
+        made.folder = f"{self.folder}/{name}"
+        return made
+
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.parquet(path)
