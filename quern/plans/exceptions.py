@@ -41,40 +41,53 @@ def frame(text: F.Column, line_no: F.Column) -> F.Column:
     return F.when(text.rlike(FRAME), made)
 
 
-def parse(lines: DataFrame, range_rows: int | None = None) -> DataFrame:
-    """exceptions: one row per stack, with level, stamp and chain (outermost first).
-
-    range_rows: lines that a task numbers, where a file has more of them than one task may hold.
-
-    A root head always begins a stack. Frames, causes, "... more" lines and a blank line before a
-    frame continue it; anything else ends it, and a cause after an end begins a stack of its own.
-    A stack without frames is none. Time stamps stand on the head's line or up to three above it.
-    """
-    key = ["snapshot_id", "file"]
+def classified(lines: DataFrame) -> DataFrame:
+    """snapshot_id, file, line_no, text and what each line is by itself: head, cause, frame, more, blank (which goes on with a stack if a frame follows) or end; with class, message, frame and stamp."""
     t = F.col("text")
     named = reduce(or_, [F.contains(t, F.lit(end)) for end in ENDS])
     is_head, rest = named & t.rlike(HEAD), F.when(named, F.regexp_extract(t, AFTER_LEVEL, 1))
     after_prefix = F.coalesce(rest.rlike(HEAD_AFTER_LEVEL), F.lit(False))
     link = F.regexp_extract(t, HEAD, 1)
     at_line = F.ltrim(t).startswith("at ")
-    looks = {"next_at": ("at_line", 1)} | {f"stamp{k}": ("stamp", -k) for k in (1, 2, 3)}
-    told = lines.select(*key, "line_no", "text", at_line.alias("at_line"), F.when(~at_line, stamp_in(t)).alias("stamp"))
-    marked = beside(told, key, "line_no", looks, range_rows).select(
-        *key,
+    return lines.select(
+        "snapshot_id",
+        "file",
         "line_no",
         "text",
+        at_line.alias("at_line"),
         F.when(is_head & (link == "Caused by"), "cause")
         .when(is_head & (link == "Suppressed"), "end")
         .when(is_head | after_prefix & ~at_line, "head")
         .when(t.rlike(FRAME), "frame")
         .when(t.rlike(MORE), "more")
-        .when((F.trim(t) == "") & F.coalesce("next_at", F.lit(False)), "blank")
+        .when(F.trim(t) == "", "blank")
         .otherwise("end")
         .alias("what"),
         F.when(is_head, F.regexp_extract(t, HEAD, 2)).when(after_prefix, F.regexp_extract(rest, HEAD_AFTER_LEVEL, 1)).alias("cls"),
         F.when(is_head, F.regexp_extract(t, HEAD, 3)).when(after_prefix, F.regexp_extract(rest, HEAD_AFTER_LEVEL, 2)).alias("message"),
-        F.coalesce("stamp", "stamp1", "stamp2", "stamp3").alias("seen_stamp"),
+        F.when(~at_line, stamp_in(t)).alias("stamp"),
     )
+
+
+def told(stacks: DataFrame) -> DataFrame:
+    """The exceptions table of stacks with the text of their first line and its stamp."""
+    return stacks.select("snapshot_id", "file", "occ", extracted(F.col("first_text"), LEVEL).alias("level"), "ts_raw", epoch_millis(F.col("ts_raw")).alias("epoch_ms"), "chain", "start_line", "end_line")
+
+
+def parse(lines: DataFrame, range_rows: int | None = None) -> DataFrame:
+    """exceptions: one row per stack, with level, stamp and chain (outermost first).
+
+    range_rows: lines that a task numbers, where a file has more of them than one task may hold.
+
+    A root head always begins a stack. Frames, causes, "... more" lines and a blank line before a
+    frame continue it; anything else ends it, and a cause after an end begins a stack of its own.
+    A stack without frames is none. Time stamps stand on the head's line or up to three above it.
+    """
+    key, t = ["snapshot_id", "file"], F.col("text")
+    looks = {"next_at": ("at_line", 1)} | {f"stamp{k}": ("stamp", -k) for k in (1, 2, 3)}
+    near = beside(classified(lines), key, "line_no", looks, range_rows)
+    what = F.when((F.col("what") == "blank") & ~F.coalesce("next_at", F.lit(False)), "end").otherwise(F.col("what"))
+    marked = near.withColumns({"what": what, "seen_stamp": F.coalesce("stamp", "stamp1", "stamp2", "stamp3")})
     islands = running(marked, key, "line_no", sums={"island": F.col("what").isin("head", "end").cast("int")}, length=range_rows)
     inside = Window.partitionBy(*key, "island").orderBy("line_no")
     first_cause = F.min(F.when(F.col("what") == "cause", F.col("line_no"))).over(Window.partitionBy(*key, "island"))
@@ -101,13 +114,4 @@ def parse(lines: DataFrame, range_rows: int | None = None) -> DataFrame:
         F.min_by("stamp", "start_line").alias("ts_raw"),
     )
     real = stacks.where(F.exists("chain", lambda c: F.size(c["frames"]) > 0))
-    return running(real, key, "start_line", sums={"occ": F.lit(1)}, length=range_rows).select(
-        *key,
-        F.col("occ").cast("int").alias("occ"),
-        extracted(F.col("first_text"), LEVEL).alias("level"),
-        "ts_raw",
-        epoch_millis(F.col("ts_raw")).alias("epoch_ms"),
-        "chain",
-        "start_line",
-        "end_line",
-    )
+    return told(running(real, key, "start_line", sums={"occ": F.lit(1)}, length=range_rows).withColumn("occ", F.col("occ").cast("int")))
