@@ -6,16 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import running
 
-def densest_window(df: DataFrame, keys: list[str], at: str, tie: str, length: int) -> DataFrame:
+
+def densest_window(df: DataFrame, keys: list[str], at: str, tie: str, length: int, range_span: int | None = None) -> DataFrame:
     """Per key the start of the window [start, start + length] that holds most rows: keys, start_ms, n.
 
-    Windows begin at rows; of windows with as many rows the first (by at, tie) wins. at is an integer.
+    Windows begin at rows; of windows with as many rows the first (by at, tie) wins. at is an integer; rows without one are in no window. A
+    sweep over starts and ends counts what lies before each, so time grows as n log n. range_span cuts keys that are too
+    long for a task into ranges of so much time.
     """
-    ahead = Window.partitionBy(*keys).orderBy(at).rangeBetween(0, length)
-    counted = df.withColumn("_n", F.count(F.lit(1)).over(ahead))
-    best = F.max_by(F.struct(at, "_n"), F.struct("_n", -F.col(at), -F.col(tie)))
-    return counted.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col(f"_b.{at}").alias("start_ms"), F.col("_b._n").alias("n"))
+    span = None if range_span is None else 2 * range_span  # a place is twice the time, odd for ends
+    starts = df.where(F.col(at).isNotNull()).groupBy(*keys, F.col(at).cast("long").alias("_start")).agg(F.count(F.lit(1)).alias("_m"))
+    counted = running(starts.withColumn("_place", 2 * F.col("_start")), keys, "_place", sums={"_upto": F.col("_m")}, length=span)
+    before = F.col("_upto") - F.col("_m")
+    ends = counted.select(*keys, (F.col("_place") + 2 * length + 1).alias("_place"), F.lit(0).cast("long").alias("_m"), "_start", before.alias("_before"))
+    both = counted.select(*keys, "_place", "_m", F.lit(None).cast("long").alias("_start"), F.lit(None).cast("long").alias("_before")).unionByName(ends)
+    swept = running(both, keys, "_place", sums={"_held": F.col("_m")}, length=span).where("_start is not null").withColumn("_n", F.col("_held") - F.col("_before"))
+    best = F.max_by(F.struct("_start", "_n"), F.struct("_n", -F.col("_start")))
+    return swept.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b._start").alias("start_ms"), F.col("_b._n").alias("n"))
 
 
 def series_shape(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

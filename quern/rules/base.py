@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
+from ..operators.series import top_k
 
 EVIDENCE = "struct<file:string,start_line:int,end_line:int,quote:string,note:string>"
 FINDING = (
@@ -64,6 +67,21 @@ def ordered(*parts: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]))), lambda x: x[f"k{len(parts) - 1}"])
 
 
+def first_few(rows: DataFrame, keys: list[str], order: list[Column], evidence: Column, most: int, name: str = "evidence") -> DataFrame:
+    """(keys, evidence): that of the first rows of each key. Each task keeps so many of a key before any is gathered, so no group grows with its rows."""
+    places = [f"_o{k}" for k in range(len(order))]
+    first = top_k(rows.select(*keys, *[o.alias(p) for o, p in zip(order, places, strict=True)], evidence.alias("_e")), keys, [F.col(p) for p in places], most)
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_e"))), lambda x: x["_e"]).alias(name))
+
+
+def with_evidence(rows: DataFrame, shown: DataFrame, keys: list[str], name: str = "evidence") -> DataFrame:
+    """rows with evidence of their keys, an empty array where there is none; keys that are null are keys."""
+    other = shown.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col(name).alias(f"_{name}"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    met = rows.join(other, same, "left")
+    return met.withColumn(name, F.coalesce(f"_{name}", F.array().cast(f"array<{EVIDENCE}>"))).drop(*[f"_of_{k}" for k in keys], f"_{name}")
+
+
 def findings(rows: DataFrame, rule: str, title: str, artifact: str, severity: Column, confidence: Column, summary: Column, evidence: Column, metrics: dict[str, Column], advice: list[str], variant: str | None = None) -> DataFrame:
     values = [x for k, v in metrics.items() for x in (F.lit(k), v.cast("string"))]
     return rows.select(

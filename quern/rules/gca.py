@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,8 +12,8 @@ from pyspark.sql.window import Window
 from ..config import Thresholds
 from ..functions import fixed
 from ..functions.exprs import is_major, not_heap_pressure
-from ..operators.series import densest_window, evenly_spaced, percentiles
-from .base import Rule, Tables, findings, ordered, span
+from ..operators.series import densest_window, evenly_spaced, percentiles, top_k
+from .base import Rule, Tables, findings, first_few, ordered, span, with_evidence
 
 KEY = ["snapshot_id", "file"]
 
@@ -33,7 +36,7 @@ def full_gc_rate(t: Tables, c: Thresholds) -> DataFrame:
     minutes = F.greatest(span_ms / 60000.0, F.lit(min(1.0, c.gc_window / 60.0)))
     rated = best.join(last, KEY).withColumn("rate", F.col("n") / minutes).where(F.col("rate") >= c.full_gc_per_min)
     own = majors.join(rated.select(*KEY, "start_ms"), KEY).where((F.col("at_ms") >= F.col("start_ms")) & (F.col("at_ms") <= F.col("start_ms") + window))
-    shown = own.groupBy(*KEY).agg(F.slice(ordered(F.col("seq"), span("file", "line_no", note=F.col("cause"))), 1, c.max_evidence).alias("evidence"))
+    shown = first_few(own, KEY, [F.col("seq")], span("file", "line_no", note=F.col("cause")), c.max_evidence)
     rows = rated.join(shown, KEY)
     return findings(
         rows, "GCA001", "Full GC storm", "GC_LOG", F.when(F.col("rate") >= 3 * c.full_gc_per_min, "CRITICAL").otherwise("HIGH"), F.least(F.lit(0.95), 0.7 + 0.02 * F.col("n")),
@@ -47,15 +50,19 @@ def few_majors(t: Tables, c: Thresholds) -> DataFrame:
     return counted.where(F.coalesce("count", F.lit(0)) < 2).select("snapshot_id", F.lit("fewer than two major collections").alias("why"))
 
 
+def _longest(events: DataFrame, note: F.Column, c: Thresholds) -> DataFrame:
+    return first_few(events, KEY, [-F.coalesce("pause_ms", F.lit(0.0)), F.col("seq")], span("file", "line_no", note=note), c.max_evidence)
+
+
 def long_pauses(t: Tables, c: Thresholds) -> DataFrame:
     """Nearest-rank percentiles of stop-the-world pauses; allocation stalls are not pauses."""
     pauses = t.gc_events.where("pause_ms > 0 and kind <> 'ALLOCATION_STALL'")
     over = F.col("pause_ms") > c.sla_ms
-    worst = F.transform(F.array_sort(F.collect_list(F.when(over, F.struct((-F.col("pause_ms")).alias("k"), "seq", span("file", "line_no", note=F.format_string("%.0f ms", "pause_ms")).alias("e"))))), lambda x: x["e"])
     rows = pauses.groupBy(*KEY).agg(
         *percentiles("pause_ms", [50, 95, 99]),
-        F.max("pause_ms").alias("worst"), F.count_if(over).alias("n_over"), F.slice(worst, 1, c.max_evidence).alias("evidence"),
+        F.max("pause_ms").alias("worst"), F.count_if(over).alias("n_over"),
     ).where("n_over > 0")
+    rows = with_evidence(rows, _longest(pauses.where(over), F.format_string("%.0f ms", "pause_ms"), c), KEY)
     severity = (
         F.when(F.col("n_over") < 3, "MEDIUM").when((F.col("p99") > 5 * c.sla_ms) | (F.col("worst") > 2000), "CRITICAL").when(F.col("p99") > 2 * c.sla_ms, "HIGH").otherwise("MEDIUM")
     )
@@ -93,7 +100,7 @@ def leak_fingerprint(t: Tables, c: Thresholds) -> DataFrame:
     rows = rows.withColumn("shape", F.when(climbing, "climbing").when(saturated, "saturated").when(stalled, "stalled")).where("shape is not null")
     shown = evenly_spaced(s, KEY, "seq", c.max_evidence).groupBy(*KEY).agg(ordered(F.col("seq"), span("file", "line_no", note=F.format_string("%.0fM live", F.col("live") / 1048576.0))).alias("evidence"))
     leader = t.histo_rows.groupBy("snapshot_id").agg(F.max_by("class_name", F.struct("bytes", -F.col("line_no"))).alias("leader"))
-    rows = rows.join(shown, KEY).join(F.broadcast(leader), "snapshot_id", "left")
+    rows = rows.join(shown, KEY).join(leader, "snapshot_id", "left")
     share = F.col("top") / F.col("cap")
     plateau = F.col("shape") != "climbing"
     return findings(
@@ -115,8 +122,8 @@ def premature_promotion(t: Tables, c: Thresholds) -> DataFrame:
     flagged = F.col("to_space_exhausted") | F.col("humongous") | F.coalesce(low, F.lit(False))
     rows = t.gc_events.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("to_space_exhausted").alias("exhausted"), F.count_if("humongous").alias("humongous"), F.count_if(low).alias("low"),
-        F.slice(F.filter(ordered(F.col("seq"), F.when(flagged, span("file", "line_no", note="cause"))), lambda e: e.isNotNull()), 1, c.max_evidence).alias("evidence"),
     ).where("n >= 3 and (exhausted >= 1 or humongous >= 8 or low >= 8)")
+    rows = with_evidence(rows, first_few(t.gc_events.where(flagged), KEY, [F.col("seq")], span("file", "line_no", note="cause"), c.max_evidence), KEY)
     confidence = F.when(F.col("exhausted") >= 1, 0.8).when(F.col("humongous") >= 8, 0.7).when(F.col("low") >= 16, 0.6).otherwise(0.55)
     return findings(
         rows, "GCA004", "Premature promotion", "GC_LOG", F.when(F.col("exhausted") >= 1, "HIGH").otherwise("MEDIUM"), confidence,
@@ -131,9 +138,9 @@ def config_smells(t: Tables, c: Thresholds) -> DataFrame:
     explicit = F.coalesce(F.col("cause").rlike("System\\.gc\\(\\)|Full GC \\(System"), F.lit(False))
     counts = t.gc_events.groupBy(*KEY).agg(
         F.count_if(metadata).alias("metadata"), F.count_if(metadata & (F.col("at_ms") > c.gc_settle_sec * 1000)).alias("late"), F.count_if(explicit).alias("explicit"), F.coalesce(F.max("metaspace_after"), F.lit(0)).alias("metaspace"),
-        F.slice(F.filter(ordered(F.col("seq"), F.when(metadata, span("file", "line_no", note="cause"))), lambda e: e.isNotNull()), 1, c.max_evidence).alias("metadata_at"),
-        F.slice(F.filter(ordered(F.col("seq"), F.when(explicit, span("file", "line_no", note="cause"))), lambda e: e.isNotNull()), 1, c.max_evidence).alias("explicit_at"),
     )
+    for which, name in ((metadata, "metadata_at"), (explicit, "explicit_at")):
+        counts = with_evidence(counts, first_few(t.gc_events.where(which), KEY, [F.col("seq")], span("file", "line_no", note="cause"), c.max_evidence, name), KEY, name)
     a = findings(
         counts.where("metadata >= 3 and late >= 1"), "GCA005", "JVM configuration smell", "GC_LOG", F.when(F.col("metadata") >= 5, "HIGH").otherwise("MEDIUM"), F.lit(0.8),
         F.format_string("metaspace forced %d collections", "metadata"), F.col("metadata_at"), {"metadataCollections": F.col("metadata"), "maxMetaspace": F.col("metaspace")}, ["Raise -XX:MetaspaceSize or find the class loader that leaks."], "metaspace",
@@ -142,25 +149,23 @@ def config_smells(t: Tables, c: Thresholds) -> DataFrame:
         counts.where("explicit >= 1"), "GCA005", "JVM configuration smell", "GC_LOG", F.when(F.col("explicit") >= 5, "MEDIUM").otherwise("LOW"), F.lit(0.9),
         F.format_string("System.gc() ran %d times", "explicit"), F.col("explicit_at"), {"explicitCollections": F.col("explicit")}, ["Find the caller, or use -XX:+ExplicitGCInvokesConcurrent."], "explicit",
     )
-    hits = [
-        t.lines.join(t.gc_logs.select(*KEY), KEY, "left_semi").where(F.contains(F.lower("text"), F.lit(needle.lower()))).groupBy(*KEY).agg(F.min("line_no").alias("line_no"))
-        .select(*KEY, "line_no", F.lit(severity).alias("severity"), F.lit(meaning).alias("meaning"))
-        for needle, severity, meaning in fixed.CONFIG_NEEDLES
-    ]
-    rows = hits[0]
-    for more in hits[1:]:
-        rows = rows.unionByName(more)
+    # one pass over the lines: a line is searched once for each needle, and each needle's first line is a column of one aggregate
+    lower = F.lower("text")
+    has = [F.contains(lower, F.lit(needle.lower())) for needle, _, _ in fixed.CONFIG_NEEDLES]
+    met = t.lines.join(t.gc_logs.select(*KEY), KEY, "left_semi").where(reduce(or_, has)).groupBy(*KEY).agg(*[F.min(F.when(h, F.col("line_no"))).alias(f"at{k}") for k, h in enumerate(has)])
+    told = F.array(*[F.struct(F.col(f"at{k}").alias("line_no"), F.lit(severity).alias("severity"), F.lit(meaning).alias("meaning")) for k, (_, severity, meaning) in enumerate(fixed.CONFIG_NEEDLES)])
+    rows = met.select(*KEY, F.inline(told)).where("line_no is not null")
     n = findings(rows, "GCA005", "JVM configuration smell", "GC_LOG", F.col("severity"), F.lit(0.85), F.col("meaning"), F.array(span("file", "line_no", note="meaning")), {"line": F.col("line_no")}, ["Follow the hint in the log line."], "phrase")
     return a.unionByName(b).unionByName(n)
 
 
 def low_throughput(t: Tables, c: Thresholds) -> DataFrame:
     pause = F.when((F.col("pause_ms") > 0) & (F.col("kind") != "ALLOCATION_STALL"), F.col("pause_ms"))
-    worst = F.transform(F.array_sort(F.collect_list(F.when(pause.isNotNull(), F.struct((-pause).alias("k"), "seq", span("file", "line_no", note=F.format_string("%.0f ms", "pause_ms")).alias("e"))))), lambda x: x["e"])
     rows = t.gc_events.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("n"), ((F.max("at_ms") - F.min("at_ms")) / 1000.0).alias("seconds"), F.coalesce(F.sum(pause), F.lit(0.0)).alias("stopped"), F.slice(worst, 1, c.max_evidence).alias("evidence")
+        F.count(F.lit(1)).alias("n"), ((F.max("at_ms") - F.min("at_ms")) / 1000.0).alias("seconds"), F.coalesce(F.sum(pause), F.lit(0.0)).alias("stopped")
     )
     rows = rows.where("n >= 10 and seconds >= 10").withColumn("share", F.greatest(F.lit(0.0), 1 - F.col("stopped") / (F.col("seconds") * 1000))).where(F.col("share") < c.throughput)
+    rows = with_evidence(rows, _longest(t.gc_events.where(pause.isNotNull()), F.format_string("%.0f ms", "pause_ms"), c), KEY)
     lost = 1 - F.col("share")
     return findings(
         rows, "GCA006", "Low throughput", "GC_LOG", F.when(lost > 0.2, "CRITICAL").when(lost > 0.1, "HIGH").otherwise("MEDIUM"), F.lit(0.8),
@@ -170,10 +175,11 @@ def low_throughput(t: Tables, c: Thresholds) -> DataFrame:
 
 def allocation_stalls(t: Tables, c: Thresholds) -> DataFrame:
     stalls = t.gc_events.where("kind = 'ALLOCATION_STALL'")
-    worst = F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce("pause_ms", F.lit(0.0))).alias("k"), "seq", span("file", "line_no", note=F.col("cause")).alias("e")))), lambda x: x["e"])
-    victims = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "cause"))), lambda x: x["cause"])), 1, 3)
-    rows = stalls.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("pause_ms").alias("longest"), F.sum("pause_ms").alias("total"), F.array_join(victims, ", ").alias("victims"), F.slice(worst, 1, c.max_evidence).alias("evidence"))
+    rows = stalls.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("pause_ms").alias("longest"), F.sum("pause_ms").alias("total"))
     rows = rows.where((F.col("n") >= c.stall_min) | (F.col("longest") >= c.sla_ms))
+    first = top_k(stalls.groupBy(*KEY, "cause").agg(F.min("seq").alias("seq")), KEY, [F.col("seq")], 3)
+    victims = first.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "cause"))), lambda x: x["cause"]), ", ").alias("victims"))
+    rows = with_evidence(rows.join(victims, KEY), _longest(stalls, F.col("cause"), c), KEY)
     return findings(
         rows, "GCA007", "Allocation stalls", "GC_LOG", F.when((F.col("n") >= 20) | (F.col("longest") >= 1000), "CRITICAL").otherwise("HIGH"), F.when(F.col("n") >= 2 * c.stall_min, 0.92).otherwise(0.8),
         F.format_string("%d stalls, longest %.1f ms, first victims %s", "n", "longest", "victims"), F.col("evidence"), {"stalls": F.col("n"), "longestMs": F.round("longest", 3), "totalMs": F.round("total", 3)}, ["Give the concurrent collector headroom or more threads."],
