@@ -17,8 +17,20 @@ from quern.llm.substrings import remove_repeats
 UNDECIDED_BELOW = 0.02
 
 
+#: Documents in a batch that a Python worker gets at once; Spark's own 10,000 would be some hundred MB of long texts.
+BATCH_ROWS = 1000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what workers hold, unless the session asks for less already."""
+    if int(spark.conf.get(_BATCHES)) > BATCH_ROWS:
+        spark.conf.set(_BATCHES, BATCH_ROWS)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, which becomes their lang; texts without letters or decision go."""
+    small_batches(spark)
     language, score, unsure = (unused(docs, name) for name in ("lang_pred", "score", "ambiguous"))
     found = predict_languages(docs, LanguageCodes.fit(docs), ambiguous_below=UNDECIDED_BELOW, names=(language, score, unsure))
     kept = found.where((F.col(language) != "und") & ~F.col(unsure))
@@ -27,11 +39,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) one document."""
+    small_batches(spark)
     return remove_near_duplicates(docs)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 20 words or more that an earlier text has; texts left without words go."""
+    small_batches(spark)
     columns = docs.columns
     cut = remove_repeats(docs).where("n_removed < n_words or n_words = 0")
     rest = {c: F.col("rest").getField(c) for c in columns}
@@ -43,11 +57,13 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    small_batches(spark)
     return mix_documents(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 4096 tokens."""
+    small_batches(spark)
     return pack_documents(docs, tokenizer_path())
 
 

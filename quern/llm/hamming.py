@@ -98,8 +98,8 @@ def fit_index(sample: np.ndarray, labels: np.ndarray, largest: int, least_cosine
     """The cheapest index whose measured recall of pairs at least_cosine is `recall`.
 
     sample: unit vectors and their labels. For either centre (the mean, or none), the chance that a bit differs is measured on
-    made pairs, and on sampled pairs of one label for what would be compared. The cost of bits and tables is rows shipped
-    and codes compared for a label of the largest size; where it is no less than comparing all, bits are 0.
+    made pairs, and on sampled pairs of one label for what would be compared. The cost of bits and tables is rows shipped, buckets
+    opened and codes compared for a label of the largest size; where as many pairs would be compared as there are, bits are 0.
     """
     d = sample.shape[1]
     rng = np.random.default_rng(seed)
@@ -119,7 +119,8 @@ def fit_index(sample: np.ndarray, labels: np.ndarray, largest: int, least_cosine
                 break
             tables = max(needed)
             compared = tables * ((1 - apart) ** bits).mean()
-            cost = compared * largest + 60.0 * tables  # for each vector
+            # for each vector, in tests of two codes: a row shipped is worth some hundreds, a bucket some ten thousands
+            cost = compared * largest + 300.0 * tables + 50_000.0 * tables * min(1.0, 2.0**bits / largest)
             if compared < 1 and (best is None or cost < best[0]):
                 best = cost, centre, bits, tables, turns
     _, centre, bits, tables, turns = best or (0, sample.mean(axis=0), 0, 1, turns)
