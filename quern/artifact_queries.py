@@ -293,10 +293,10 @@ def wait_edges(spark, d):
     return edges(ring_tables(spark, d).threads, tda.DUMP).select("src", "dst", "monitor", "wait_line")
 
 
-@query("rule_tda001", _RING + ", c AS (SELECT a.src AS node, min(b.dst) AS cycle, count(*) AS length FROM r a JOIN r b ON a.src = b.src WHERE a.src = a.dst GROUP BY a.src) SELECT length AS threads, 4 + 7 * cycle AS first_line, string_agg('supplier-' || node, ' -> ' ORDER BY node) AS names, 0.92::DOUBLE AS confidence, least(6, length) AS n_evidence FROM c GROUP BY length, cycle")
+@query("rule_tda001", _RING + ", c AS (SELECT a.src AS node, min(b.dst) AS cycle, count(*) AS length FROM r a JOIN r b ON a.src = b.src WHERE a.src = a.dst GROUP BY a.src) SELECT length AS threads, 4 + 7 * cycle AS first_line, string_agg('supplier-' || node, ' -> ' ORDER BY node) AS names, 0.92::DOUBLE AS confidence, least(6, 2 * length) AS n_evidence, 4 + 7 * ((cycle * cycle + 3) % (SELECT n FROM n)) + 5 AS owner_took_at FROM c GROUP BY length, cycle")
 def rule_tda001(spark, d):
     found = tda.deadlocks(ring_tables(spark, d), LIMITS)
-    return found.select(metric("threads", "long").alias("threads"), "first_line", F.substring_index("summary", ": ", -1).alias("names"), "confidence", F.size("evidence").alias("n_evidence"))
+    return found.select(metric("threads", "long").alias("threads"), "first_line", F.substring_index("summary", ": ", -1).alias("names"), "confidence", F.size("evidence").alias("n_evidence"), F.get("evidence", 1)["start_line"].alias("owner_took_at"))
 
 
 _DESK = """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS snapshot_id, c_nationkey AS nation, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS nth, min(c_custkey) OVER (PARTITION BY c_mktsegment, c_nationkey) AS holder FROM customer),
@@ -458,3 +458,38 @@ def rule_exc003(spark, d):
 @query("declined_exc003", _THROWN + " SELECT snapshot_id, count(*) || ' of ' || count(*) || ' exceptions have a time stamp' AS why FROM t GROUP BY 1 HAVING count(*) < 66")
 def declined_exc003(spark, d):
     return exc.few_stamps(thrown_tables(spark, d), LIMITS.override(burst_min=66)).select("snapshot_id", "why")
+
+
+# --- one artifact of all rows: its lines are numbered range by range ---------------------------------------------
+
+
+@query("one_gc_log", """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS seq, o_orderkey * 250 AS at_ms, (o_orderkey % 90 * 8 + 1) / 8.0::DOUBLE AS pause_ms, (100 + o_orderkey % 90) * 1048576 AS heap_after, CASE WHEN o_orderkey % 10 = 0 THEN 'Ergonomics' ELSE 'Allocation Failure' END AS cause, o_orderkey + 2 AS line_no,
+    CASE WHEN o_orderkey >= 700 THEN 3145728 * (101 + o_orderkey // 700 % 2 * 100) END AS old_after FROM orders""")
+def one_gc_log(spark, d):
+    """All orders as collections of one log; the size of a region is told every 700 lines and holds from there on."""
+    n = F.col("o_orderkey")
+    region = F.when((n % 700 == 0) & (n > 0), " Heap Region Size: 1M").otherwise("")
+    old = F.when(n >= 700, F.format_string(" Old regions: 9->%d", 303 + F.floor(n / 700) % 2 * 300)).otherwise("")
+    cause = F.when(n % 10 == 0, "Ergonomics").otherwise("Allocation Failure")
+    moved = F.format_string(" %dM->%dM(512M) %.3fms", 300 + n % 100, 100 + n % 90, n % 90 + 0.125)
+    text = F.concat(F.format_string("[%.3fs][info][gc] GC(%d) Pause Full (", n / 4.0, n), cause, F.lit(")"), region, old, moved)
+    of_log = [F.lit("s").alias("snapshot_id"), F.lit("gc.log").alias("file"), F.lit("gc.log").alias("ord")]
+    lines = table(spark, d, "orders").select(*of_log, (n + 2).cast("int").alias("line_no"), text.alias("text"))
+    lines = spark.range(1).select(*of_log, F.lit(1).alias("line_no"), F.lit("[0.001s][info][gc] Using G1").alias("text")).unionByName(lines)
+    _, events = gc.parse(lines, range_rows=512)
+    return events.select("seq", "at_ms", "pause_ms", "heap_after", "cause", "line_no", "old_after")
+
+
+@query("one_app_log", """SELECT event_id + 1 AS occ, event_id * 5 + 2 AS start_line, event_id * 5 + CASE WHEN event_id % 3 = 0 THEN 5 ELSE 4 END AS end_line, 'app.' || upper(left(event_type, 1)) || substr(event_type, 2) || 'Exception' AS cls, CASE WHEN event_id % 3 = 0 THEN 'app.RootError' ELSE 'app.' || upper(left(event_type, 1)) || substr(event_type, 2) || 'Exception' END AS root,
+    1714557600000 + event_id * 1000 AS epoch_ms, 'user ' || user_id AS message FROM events""")
+def one_app_log(spark, d):
+    """All events as stacks of one log, five lines each."""
+    n = F.col("event_id")
+    stamp = F.date_format(F.timestamp_millis(1714557600000 + n * 1000), "yyyy-MM-dd HH:mm:ss,SSS")
+    texts = F.array(
+        F.concat(stamp, F.lit(" WARN [main] app.Web - failed")), F.concat(F.lit("app."), F.initcap("event_type"), F.lit("Exception: user "), F.col("user_id").cast("string")), F.lit("\tat app.Web.call(Web.java:5)"),
+        F.when(n % 3 == 0, "Caused by: app.RootError: deep").otherwise("\tat app.Web.more(Web.java:9)"), F.when(n % 3 == 0, "\tat app.Db.get(Db.java:77)").otherwise("all is well"),
+    )
+    rows = table(spark, d, "events").select(F.lit("s").alias("snapshot_id"), F.lit("app.log").alias("file"), n.alias("nth"), texts.alias("texts"))
+    found = exceptions.parse(numbered_lines(rows), range_rows=512)
+    return found.select("occ", "start_line", "end_line", X.outermost(F.col("chain"))["cls"].alias("cls"), X.root_cause(F.col("chain"))["cls"].alias("root"), "epoch_ms", X.outermost(F.col("chain"))["message"].alias("message"))

@@ -12,12 +12,12 @@ from ..sources.workspace import checkpointed
 
 
 def wait_edges(threads: DataFrame, within: list[str]) -> DataFrame:
-    """(within, src, dst, monitor, monitor_class): who waits for whom. src and dst are start lines.
+    """(within, src, dst, monitor, monitor_class, wait_line, hold_line): who waits for whom. src and dst are start lines.
 
-    The owner of a monitor is the last that lists it as held; a thread doesn't wait for itself.
+    The owner of a monitor is the last that lists it as held, hold_line where it first does; a thread doesn't wait for itself.
     """
     held = threads.select(*within, F.col("start_line").alias("dst"), F.posexplode(held_synchronizers(F.col("locks"))).alias("nth", "lock"))
-    owners = held.groupBy(*within, F.col("lock.addr").alias("monitor")).agg(F.max_by("dst", F.struct("dst", "nth")).alias("dst"))
+    owners = held.groupBy(*within, F.col("lock.addr").alias("monitor")).agg(F.max("dst").alias("dst"), F.max_by("lock.line_no", F.struct("dst", -F.col("nth"))).alias("hold_line"))
     wanted = waiting_monitor(F.col("locks"))
     waiters = threads.select(*within, F.col("start_line").alias("src"), wanted["addr"].alias("monitor"), wanted["cls"].alias("monitor_class"), wanted["line_no"].alias("wait_line"))
     return waiters.where("monitor is not null").join(owners, [*within, "monitor"]).where("src <> dst")

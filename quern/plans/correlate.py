@@ -37,14 +37,26 @@ def dedupe(findings: DataFrame) -> DataFrame:
     )
 
 
-def quoted(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Evidence with the text of its first line; only lines that some evidence names are fetched."""
-    each = findings.withColumn("f_id", F.xxhash64("snapshot_id", "rule_id", "summary", F.coalesce("variant", F.lit(""))))
-    spread = each.select("f_id", "snapshot_id", F.posexplode("evidence").alias("nth", "e"))
-    text = lines.select("snapshot_id", F.col("file").alias("e_file"), F.col("line_no").alias("e_line"), X.quote(F.col("text")).alias("q"))
-    met = spread.withColumn("e_file", F.col("e.file")).withColumn("e_line", F.col("e.start_line")).join(text, ["snapshot_id", "e_file", "e_line"], "left")
-    back = met.groupBy("f_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.struct("e.file", "e.start_line", "e.end_line", F.col("q").alias("quote"), "e.note").alias("e")))), lambda x: x["e"]).cast(f"array<{EVIDENCE}>").alias("quoted"))
-    return each.join(back, "f_id", "left").withColumn("evidence", F.coalesce("quoted", "evidence")).drop("f_id", "quoted")
+#: Places that are few enough to be sent to every task that reads lines.
+FEW_PLACES = 100_000
+
+
+def quoted(findings: DataFrame, lines: DataFrame, few: int = FEW_PLACES) -> DataFrame:
+    """Evidence with the text of its first line.
+
+    Where the named places are few (they are counted), each task that reads lines keeps these alone before anything is
+    shuffled; else lines are joined by place. findings are read more than once: give a written table.
+    """
+    each = findings.withColumn("of", F.struct("snapshot_id", "rule_id", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("variant", F.lit("")).alias("variant")))
+    spread = each.select("of", "snapshot_id", F.posexplode("evidence").alias("nth", "e")).withColumns({"e_file": F.col("e.file"), "e_line": F.col("e.start_line")})
+    place = ["snapshot_id", "e_file", "e_line"]
+    text = lines.select("snapshot_id", F.col("file").alias("e_file"), F.col("line_no").alias("e_line"), "text")
+    wanted = spread.select(*place).distinct()
+    if wanted.limit(few + 1).count() <= few:
+        text = text.join(F.broadcast(wanted), place, "left_semi")
+    met = spread.join(text.select(*place, X.quote(F.col("text")).alias("q")), place, "left")
+    back = met.groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.struct("e.file", "e.start_line", "e.end_line", F.col("q").alias("quote"), "e.note").alias("e")))), lambda x: x["e"]).cast(f"array<{EVIDENCE}>").alias("quoted"))
+    return each.join(back, "of", "left").withColumn("evidence", F.coalesce("quoted", "evidence")).drop("of", "quoted")
 
 
 def ordered(findings: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import exprs as X
 from ..functions.fixed import SERVER_POOL_BAR
 from ..operators.graph import functional_cycles, wait_edges
 from ..operators.series import top_k
-from .base import Rule, Tables, findings, ordered, span
+from .base import Rule, Tables, findings, first_few, ordered, span, with_evidence
 
 DUMP = ["snapshot_id", "file", "dump", "dump_ord"]
 
@@ -22,14 +22,14 @@ def deadlocks(t: Tables, c: Thresholds) -> DataFrame:
     cycles = functional_cycles(edges, DUMP)
     named = t.threads.select(*DUMP, F.col("start_line").alias("node"), "name")
     told = t.dumps.select(*DUMP, "vm_reported_deadlock", "vm_deadlock_count")
-    ring = (
-        cycles.join(named, [*DUMP, "node"]).join(edges.select(*DUMP, F.col("src").alias("node"), "monitor", "monitor_class", "wait_line"), [*DUMP, "node"])
-        .groupBy(*DUMP, "cycle").agg(
-            F.max("length").alias("length"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "name"))), lambda x: x["name"]), " -> ").alias("names"),
-            F.slice(ordered(F.col("node"), span("file", "node", "wait_line", F.concat(F.lit("waits for "), F.coalesce("monitor_class", F.lit("a lock")), F.lit(" "), F.col("monitor")))), 1, c.max_evidence).alias("evidence"),
-        )
-    )
+    each = cycles.join(named, [*DUMP, "node"]).join(edges.select(*DUMP, F.col("src").alias("node"), F.col("dst").alias("owner"), "monitor", "monitor_class", "wait_line", "hold_line"), [*DUMP, "node"])
+    ring = each.groupBy(*DUMP, "cycle").agg(F.max("length").alias("length"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "name"))), lambda x: x["name"]), " -> ").alias("names"))
+    # of each thread where it waits, then where the one it waits for took the lock
+    by_owner = each.join(named.select(*DUMP, F.col("node").alias("owner"), F.col("name").alias("owner_name")), [*DUMP, "owner"])
+    waits = span("file", "node", "wait_line", F.concat(F.lit("waits for "), F.coalesce("monitor_class", F.lit("a lock")), F.lit(" "), F.col("monitor")))
+    holds = span("file", "hold_line", note=F.concat(F.col("monitor"), F.lit(" was taken here by "), F.col("owner_name")))
+    both = by_owner.select(*DUMP, "cycle", "node", F.posexplode(F.array(waits, holds)).alias("side", "e"))
+    ring = with_evidence(ring, first_few(both, [*DUMP, "cycle"], [F.col("node"), F.col("side")], F.col("e"), c.max_evidence), [*DUMP, "cycle"])
     rows = ring.join(told, DUMP)
     graph = findings(
         rows, "TDA001", "Deadlock", "THREAD_DUMP", F.lit("CRITICAL"), F.when(F.col("vm_reported_deadlock"), 0.99).otherwise(0.92), F.format_string("%d threads wait in a ring: %s", "length", "names"),
@@ -68,11 +68,11 @@ def families(t: Tables) -> DataFrame:
 
 
 def oversized(t: Tables, c: Thresholds) -> DataFrame:
-    counted = families(t).where(~X.jvm_internal_name(F.col("name"))).groupBy(*DUMP, "family").agg(
-        F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first"), F.slice(ordered(F.col("start_line"), span("file", "start_line", note="name")), 1, c.max_evidence).alias("evidence")
-    )
+    own, of = families(t).where(~X.jvm_internal_name(F.col("name"))), [*DUMP, "family"]
+    counted = own.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first"))
     bar = F.when(X.server_pool(F.col("family")), SERVER_POOL_BAR).otherwise(c.thread_leak_threshold)
     rows = top_k(counted.withColumn("bar", bar).where("n >= bar"), DUMP, [F.desc("n"), F.col("first")], 2)
+    rows = with_evidence(rows, first_few(own, of, [F.col("start_line")], span("file", "start_line", note="name"), c.max_evidence), of)
     return findings(
         rows, "TDA003", "Thread leak", "THREAD_DUMP", F.lit("HIGH"), F.least(F.lit(0.9), 0.6 + (F.col("n") - F.col("bar")) / 200.0), F.format_string("%d threads named like %s", "n", "family"),
         F.col("evidence"), {"family": F.col("family"), "threads": F.col("n")}, ["Find who starts these threads and never ends them."], "oversized",
@@ -107,9 +107,10 @@ def stuck_crowds(t: Tables, c: Thresholds) -> DataFrame:
     stopped = t.threads.where(state.isin("BLOCKED", "WAITING", "TIMED_WAITING") & ~quiet & (F.size(stack) > 0)).withColumn("print", X.stack_fingerprint(state, stack, 5))
     crowds = stopped.groupBy(*DUMP, "print").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(state == "BLOCKED").alias("blocked"), F.min("start_line").alias("first"), F.min_by(F.get(stack, 0), "start_line").alias("top"),
-        F.slice(ordered(F.col("start_line"), span("file", "start_line", "end_line", F.col("name"))), 1, c.max_evidence).alias("evidence"),
     )
+    whole = span("file", "start_line", "end_line", F.col("name"))
     rows = top_k(crowds.where(F.col("n") >= c.stack_cluster), DUMP, [F.desc("n"), F.col("first")], 2)
+    rows = with_evidence(rows, first_few(stopped, [*DUMP, "print"], [F.col("start_line")], whole, c.max_evidence), [*DUMP, "print"])
     crowd = findings(
         rows, "TDA004", "Threads at one place", "THREAD_DUMP", F.when((F.col("blocked") >= F.col("n") / 2) & (F.col("blocked") >= c.stack_cluster), "HIGH").otherwise("MEDIUM"), F.least(F.lit(0.9), 0.5 + 0.03 * F.col("n")),
         F.format_string("%d threads stand at %s", "n", X.frame_id(F.col("top.cls"), F.col("top.method"))), F.col("evidence"), {"threads": F.col("n"), "blocked": F.col("blocked"), "variant": F.lit("stack-cluster")}, ["Look at what this frame waits for."], "stack-cluster",
@@ -117,8 +118,9 @@ def stuck_crowds(t: Tables, c: Thresholds) -> DataFrame:
     waiting = t.threads.where(X.socket_blocked(state, stack)).withColumn("where", X.frame_id(F.get(stack, 0)["cls"], F.get(stack, 0)["method"]))
     by_frame = waiting.groupBy(*DUMP, "where").agg(F.count(F.lit(1)).alias("k"), F.min("start_line").alias("first_line_no"))
     top = by_frame.groupBy(*DUMP).agg(F.max_by("where", F.struct("k", -F.col("first_line_no"))).alias("place"))
-    total = waiting.groupBy(*DUMP).agg(F.count(F.lit(1)).alias("n"), F.slice(ordered(F.col("start_line"), span("file", "start_line", "end_line", F.col("name"))), 1, c.max_evidence).alias("evidence"))
+    total = waiting.groupBy(*DUMP).agg(F.count(F.lit(1)).alias("n"))
     io = total.join(top, DUMP).where(F.col("n") >= max(3, c.stack_cluster - 2))
+    io = with_evidence(io, first_few(waiting, DUMP, [F.col("start_line")], whole, c.max_evidence), DUMP)
     network = findings(
         io, "TDA004", "Threads at one place", "THREAD_DUMP", F.lit("MEDIUM"), F.lit(0.72), F.format_string("%d threads read from the network, most at %s", "n", "place"), F.col("evidence"),
         {"threads": F.col("n"), "variant": F.lit("socket-io")}, ["Set timeouts and look at the dependency."], "socket-io",

@@ -38,3 +38,22 @@ def test_evidence_is_cut_before_it_is_gathered(spark):
     assert {r.k: r.evidence for r in shown.collect()} == {k: [str(9999 - (9999 - k) % 3 - 3 * j) for j in range(6)] for k in range(3)}
     plan = shown._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") >= 0 and plan.count("WindowGroupLimit") == 2  # one before the shuffle, one after
+
+
+def test_quotes_filter_lines_before_the_shuffle(spark):
+    """Few places are sent to the readers of lines; many are joined by place; the quotes are the same."""
+    from quern.plans.correlate import quoted
+    from quern.rules.base import EVIDENCE, FINDING
+
+    lines = spark.range(1, 500).select(F.lit("s").alias("snapshot_id"), F.lit("a.log").alias("file"), F.col("id").cast("int").alias("line_no"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("text"))
+    found = spark.range(3).select(
+        F.lit("s").alias("snapshot_id"), F.lit("R1").alias("rule_id"), F.lit("t").alias("title"), F.lit("LOW").alias("severity"), F.lit(0.5).alias("confidence"), F.lit("APP_LOG").alias("artifact"), F.lit(None).cast("string").alias("variant"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("summary"),
+        F.array().cast("array<string>").alias("recommendations"), F.array(*[F.struct(F.lit("a.log").alias("file"), (F.col("id") * 7 + k).cast("int").alias("start_line"), F.lit(9).alias("end_line"), F.lit(None).cast("string").alias("quote"), F.lit("n").alias("note")) for k in (3, 600)]).cast(f"array<{EVIDENCE}>").alias("evidence"),
+        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("metrics"), F.lit(0).alias("first_line"),
+    )
+    assert [f.split()[0] for f in FINDING.split(", ")][0] == "snapshot_id"
+    few, many = quoted(found, lines), quoted(found, lines, few=0)
+    rows = lambda df: sorted((r.summary, [(e.start_line, e.quote) for e in r.evidence]) for r in df.collect())
+    assert rows(few) == rows(many) == [(f"n{k}", [(7 * k + 3, f"line {7 * k + 3}"), (7 * k + 600, None)]) for k in range(3)]
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftSemi" not in many._jdf.queryExecution().optimizedPlan().toString()
