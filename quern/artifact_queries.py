@@ -6,6 +6,8 @@ parser and rule must find, without any text.
 
 from __future__ import annotations
 
+from dataclasses import fields, replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,7 @@ from .plans import exceptions, gc, histograms, threads
 from .queries import query, rounded, table, timed_events
 from .rules import exc, gca, his, tda
 from .rules.base import Tables
+from .sources.workspace import Workspace
 
 LIMITS = Thresholds()
 
@@ -43,6 +46,14 @@ def only(spark, **given) -> Tables:
     return Tables(*[given.get(n) for n in names])
 
 
+def kept(tables: Tables) -> Tables:
+    """Tables written once, as the engine does: a rule reads them more than once."""
+    names = [f.name for f in fields(Tables) if f.name != "lines"]
+    given = {n: getattr(tables, n) for n in names if getattr(tables, n) is not None}
+    space = Workspace(next(iter(given.values())).sparkSession)
+    return replace(tables, **{n: space.written(df, n) for n, df in given.items()})
+
+
 def metric(name: str, kind: str = "double"):
     return F.col("metrics")[name].cast(kind)
 
@@ -97,7 +108,7 @@ _MAJORS = _GC + ", m AS (SELECT * FROM e WHERE kind = 'FULL' AND cause <> 'Heap
     x AS (SELECT snapshot_id, n, n / greatest(least(300000, last - at_ms) / 60000.0::DOUBLE, 1.0::DOUBLE) AS rate FROM b JOIN l USING (snapshot_id) WHERE nth = 1 AND n >= 2)
     SELECT snapshot_id, n AS count, round(rate, 3) AS per_minute, CASE WHEN rate >= 3 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, round(least(0.95::DOUBLE, 0.7::DOUBLE + 0.02::DOUBLE * n), 6) AS confidence FROM x WHERE rate >= 1""")
 def rule_gca001(spark, d):
-    found = gca.full_gc_rate(gc_tables(spark, d), LIMITS)
+    found = gca.full_gc_rate(kept(gc_tables(spark, d)), LIMITS)
     return found.select("snapshot_id", metric("count", "long").alias("count"), metric("perMinute").alias("per_minute"), "severity", rounded("confidence").alias("confidence"))
 
 
@@ -109,7 +120,7 @@ def declined_gca001(spark, d):
 @query("rule_gca002", _GC + """, p AS (SELECT snapshot_id, count(*) FILTER (pause_ms > 200) AS over, quantile_disc(pause_ms, 0.5) AS p50, quantile_disc(pause_ms, 0.95) AS p95, quantile_disc(pause_ms, 0.99) AS p99, max(pause_ms) AS max FROM e WHERE kind <> 'ALLOCATION_STALL' AND pause_ms > 0 GROUP BY 1)
     SELECT snapshot_id, over, round(p50, 3) AS p50, round(p95, 3) AS p95, round(p99, 3) AS p99, round(max, 3) AS max, CASE WHEN over < 3 THEN 'MEDIUM' WHEN p99 > 1000 OR max > 2000 THEN 'CRITICAL' WHEN p99 > 400 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(least(0.95::DOUBLE, 0.6::DOUBLE + 0.03::DOUBLE * over), 6) AS confidence FROM p WHERE over > 0""")
 def rule_gca002(spark, d):
-    found = gca.long_pauses(gc_tables(spark, d), LIMITS)
+    found = gca.long_pauses(kept(gc_tables(spark, d)), LIMITS)
     return found.select("snapshot_id", metric("over", "long").alias("over"), *[metric(p).alias(p) for p in ("p50", "p95", "p99", "max")], "severity", rounded("confidence").alias("confidence"))
 
 
@@ -122,7 +133,7 @@ _LIVE = _GC + """, v AS (SELECT *, heap_after AS live, lag(heap_after) OVER (PAR
     SELECT snapshot_id, shape, n AS collections, dips, round(rise, 3) AS rise, CASE WHEN top / 536870912.0 > 0.85 THEN 'CRITICAL' WHEN top / 536870912.0 > 0.6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
     round(CASE WHEN shape <> 'climbing' THEN 0.9::DOUBLE ELSE least(0.95::DOUBLE, 0.6::DOUBLE + 0.6::DOUBLE * rise) END, 6) AS confidence FROM s WHERE shape IS NOT NULL""")
 def rule_gca003(spark, d):
-    found = gca.leak_fingerprint(gc_tables(spark, d), LIMITS)
+    found = gca.leak_fingerprint(kept(gc_tables(spark, d)), LIMITS)
     return found.select("snapshot_id", F.col("metrics")["shape"].alias("shape"), metric("collections", "long").alias("collections"), metric("dips", "long").alias("dips"), metric("rise").alias("rise"), "severity", rounded("confidence").alias("confidence"))
 
 
@@ -134,7 +145,7 @@ def declined_gca003(spark, d):
 @query("rule_gca004", _GC + """, g AS (SELECT snapshot_id, count(*) AS n, count(*) FILTER (exhausted) AS ex, count(*) FILTER (humongous) AS hu, count(*) FILTER (kind = 'YOUNG' AND heap_before >= capacity / 2 AND heap_before - heap_after < 0.15 * heap_before) AS low FROM e GROUP BY 1)
     SELECT snapshot_id, ex AS exhausted, hu AS humongous, low, CASE WHEN ex >= 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE WHEN ex >= 1 THEN 0.8 WHEN hu >= 8 THEN 0.7 WHEN low >= 16 THEN 0.6 ELSE 0.55 END::DOUBLE AS confidence FROM g WHERE n >= 3 AND (ex >= 1 OR hu >= 8 OR low >= 8)""")
 def rule_gca004(spark, d):
-    found = gca.premature_promotion(gc_tables(spark, d), LIMITS)
+    found = gca.premature_promotion(kept(gc_tables(spark, d)), LIMITS)
     return found.select("snapshot_id", metric("toSpaceExhausted", "long").alias("exhausted"), metric("humongous", "long").alias("humongous"), metric("lowYield", "long").alias("low"), "severity", rounded("confidence").alias("confidence"))
 
 
@@ -143,7 +154,7 @@ def rule_gca004(spark, d):
     UNION ALL SELECT snapshot_id, 'explicit', CASE WHEN explicit >= 5 THEN 'MEDIUM' ELSE 'LOW' END, 0.9::DOUBLE, explicit FROM g WHERE explicit >= 1
     UNION ALL SELECT snapshot_id, 'phrase', 'INFO', 0.85::DOUBLE, dumped FROM g WHERE dumped IS NOT NULL""")
 def rule_gca005(spark, d):
-    found = gca.config_smells(gc_tables(spark, d), LIMITS)
+    found = gca.config_smells(kept(gc_tables(spark, d)), LIMITS)
     n = F.coalesce(metric("metadataCollections", "long"), metric("explicitCollections", "long"), metric("line", "long"))
     return found.select("snapshot_id", "variant", "severity", rounded("confidence").alias("confidence"), n.alias("n"))
 
@@ -152,7 +163,7 @@ def rule_gca005(spark, d):
     s AS (SELECT *, greatest(0, 1 - stopped / (seconds * 1000)) AS share FROM g WHERE n >= 10 AND seconds >= 10)
     SELECT snapshot_id, round(share, 3) AS share, round(stopped, 2) AS stopped, CASE WHEN 1 - share > 0.2 THEN 'CRITICAL' WHEN 1 - share > 0.1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM s WHERE share < 0.97""")
 def rule_gca006(spark, d):
-    found = gca.low_throughput(gc_tables(spark, d), LIMITS)
+    found = gca.low_throughput(kept(gc_tables(spark, d)), LIMITS)
     return found.select("snapshot_id", metric("throughput").alias("share"), rounded(metric("pauseMs"), 2).alias("stopped"), "severity")
 
 
@@ -160,7 +171,7 @@ def rule_gca006(spark, d):
     v AS (SELECT snapshot_id, string_agg(cause, ', ' ORDER BY first) AS victims FROM fr WHERE nth <= 3 GROUP BY 1), g AS (SELECT snapshot_id, count(*) AS stalls, max(pause_ms) AS longest FROM st GROUP BY 1)
     SELECT snapshot_id, stalls, round(longest, 3) AS longest, stalls || ' stalls, longest ' || printf('%.1f', longest) || ' ms, first victims ' || victims AS summary, CASE WHEN stalls >= 20 OR longest >= 1000 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, CASE WHEN stalls >= 6 THEN 0.92 ELSE 0.8 END::DOUBLE AS confidence FROM g JOIN v USING (snapshot_id) WHERE stalls >= 3 OR longest >= 200""")
 def rule_gca007(spark, d):
-    found = gca.allocation_stalls(gc_tables(spark, d), LIMITS)
+    found = gca.allocation_stalls(kept(gc_tables(spark, d)), LIMITS)
     return found.select("snapshot_id", metric("stalls", "long").alias("stalls"), metric("longestMs").alias("longest"), "summary", "severity", rounded("confidence").alias("confidence"))
 
 
@@ -436,14 +447,14 @@ def parse_exceptions(spark, d):
 @query("rule_exc001", _THROWN + """, g AS (SELECT snapshot_id, print, count(*) AS n, min(start_line) AS first, any_value(root) AS cls, (max(ms) - min(ms)) / 1000.0::DOUBLE AS seconds FROM t GROUP BY 1, 2 HAVING count(*) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY n DESC, first) AS nth FROM g)
     SELECT snapshot_id, cls AS class, n AS count, round(seconds, 3) AS span, CASE WHEN cls = 'app.CrashError' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(least(0.9::DOUBLE, 0.55::DOUBLE + 0.02::DOUBLE * n), 6) AS confidence FROM r WHERE nth <= 3""")
 def rule_exc001(spark, d):
-    found = exc.clusters(thrown_tables(spark, d), LIMITS)
+    found = exc.clusters(kept(thrown_tables(spark, d)), LIMITS)
     return found.select("snapshot_id", F.col("metrics")["class"].alias("class"), metric("count", "long").alias("count"), metric("spanSec").alias("span"), "severity", rounded("confidence").alias("confidence"))
 
 
 @query("rule_exc002", _THROWN + """, g AS (SELECT snapshot_id, e % 4 AS site, count(*) AS n, min(start_line) AS first FROM t WHERE chained GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY n DESC, first DESC) AS nth FROM g)
     SELECT snapshot_id, 'java.sql.SQLException' AS class, 'app.Db#get' || site AS site, n AS count, CASE WHEN n >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM r WHERE nth <= 3 AND n >= 2""")
 def rule_exc002(spark, d):
-    found = exc.causal_sites(thrown_tables(spark, d), LIMITS)
+    found = exc.causal_sites(kept(thrown_tables(spark, d)), LIMITS)
     return found.select("snapshot_id", F.col("metrics")["class"].alias("class"), F.col("metrics")["site"].alias("site"), metric("count", "long").alias("count"), "severity")
 
 
@@ -451,7 +462,7 @@ def rule_exc002(spark, d):
     f AS (SELECT snapshot_id, print, min(start_line) AS first, any_value(root) AS cls FROM t GROUP BY 1, 2), r AS (SELECT d.*, cls, row_number() OVER (PARTITION BY d.snapshot_id ORDER BY first) AS nth FROM d JOIN f USING (snapshot_id, print) WHERE best = 1 AND k >= 10)
     SELECT snapshot_id, cls AS class, k AS count, bucket * 60000 AS bucket_start_ms, CASE WHEN k >= 100 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM r WHERE nth <= 2""")
 def rule_exc003(spark, d):
-    found = exc.bursts(thrown_tables(spark, d), LIMITS)
+    found = exc.bursts(kept(thrown_tables(spark, d)), LIMITS)
     return found.select("snapshot_id", F.col("metrics")["class"].alias("class"), metric("count", "long").alias("count"), metric("bucketStartMs", "long").alias("bucket_start_ms"), "severity")
 
 
