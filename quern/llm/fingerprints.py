@@ -72,13 +72,19 @@ def weighted_signatures(rows: DataFrame, group: str, key: str, texts: list[str],
     """
     told = told or {}
     n = len(texts) + 1
-    as_words = F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("-")) for c in told.values()])
-    each = rows.select(group, key, F.posexplode(F.array(*texts, as_words)).alias("of", "text"))
-    words = each.select(group, (F.col(key).cast("long") * n + F.col("of")).alias("at"), "of", F.posexplode(F.split("text", WHITE_SPACE)).alias("pos", "word")).where("word <> ''")
+    hashes = lambda t: F.sort_array(F.transform(F.array_remove(F.split(t, WHITE_SPACE), ""), lambda w: F.xxhash64(w)))
+    lists = F.array(*[F.coalesce(hashes(F.col(t)), F.array().cast("array<bigint>")) for t in texts], F.array(*[c.cast("long") for c in told.values()]).cast("array<bigint>"))
+    each = rows.select(group, key, lists.alias("lists")).select(group, key, F.posexplode("lists").alias("of", "terms"))
     is_told = F.col("of") == len(texts)
-    term, slot = F.when(is_told, F.col("word").try_cast("long")).otherwise(F.xxhash64("word")), F.when(is_told, F.col("pos") + 1).otherwise(0)
-    counted = words.groupBy(group, "at", slot.alias("slot"), term.alias("term")).agg(F.count(F.lit(1)).alias("weight"))
-    alike = counted.groupBy(group, "slot", "term", "weight").agg(F.collect_list("at").alias("rows"))
+    # a text's words are sorted where they are, so that runs of equal ones are its terms: one row a term, none a word
+    first_of_run = lambda i: is_told | (i == 0) | (F.get("terms", i) != F.get("terms", i - 1))
+    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), first_of_run)
+    runs = each.where(F.size("terms") > 0).select(group, (F.col(key).cast("long") * n + F.col("of")).alias("at"), is_told.alias("is_told"), "terms", starts.alias("starts"))
+    begun = runs.select(group, "at", "is_told", "terms", "starts", F.posexplode("starts").alias("nth", "start"))
+    weight = F.coalesce(F.get("starts", F.col("nth") + 1), F.size("terms")) - F.col("start")
+    counted = begun.select(group, "at", F.when(F.col("is_told"), F.col("start") + 1).otherwise(0).alias("slot"), F.get("terms", F.col("start")).alias("term"), weight.cast("long").alias("weight"))
+    # the term leads: sorts compare the first key before they look at rows, and the rows of a task share a few groups
+    alike = counted.groupBy("term", "weight", "slot", group).agg(F.collect_list("at").alias("rows"))
     slots = [f"s{s}" for s in range(max(SAMPLES, len(told)))]
     of_slot = lambda k: sample(F.col("term"), F.col("weight").cast("double"), k)
     told_or = lambda k: F.when(F.col("slot") == 0, of_slot(k)).when(F.col("slot") == k + 1, F.col("term")) if k < len(told) else of_slot(k)

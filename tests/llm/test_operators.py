@@ -204,6 +204,20 @@ def test_fingerprints(docs, rows):
     assert all(len(x) == 1 for x in alike.values())
 
 
+def test_terms_are_counted_in_place(spark):
+    """Words aren't made rows, only terms are; signatures are those of the counts, told longs and texts without terms included."""
+    texts = ["b a  a\tc a ", "", " \n", "a", "x y x y z", None]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "part int, nth long, text string")
+    signed = fingerprints.weighted_signatures(df, "part", "nth", ["text"], {"told": F.when(F.col("nth") != 3, F.col("nth") - 9)})
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(split(" not in plan and "count(1)" not in plan
+    got = {r.nth: (r.sig_text, r.told) for r in signed.collect()}
+    counts = [(k, w, float(c)) for k, text in enumerate(texts) for w, c in Counter((text or "").split()).items()]
+    least = [F.min(fingerprints.sample(F.xxhash64("word"), F.col("weight"), s)).bitwiseAND(F.lit(0xFFFF)).cast("int") for s in range(fingerprints.SAMPLES)]
+    wanted = {k: codes for k, *codes in spark.createDataFrame(counts, "nth long, word string, weight double").groupBy("nth").agg(*least).collect()}
+    assert got == {k: (wanted.get(k), None if k == 3 else k - 9) for k in range(len(texts))}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 16))
