@@ -89,6 +89,14 @@ def is_object_array(name: Column) -> Column:
     return name.rlike("^\\[+L")
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b by the rules of IEEE 754: over zero an infinity, or NaN of zero by zero, instead of an error."""
+    a, b = a.cast("double"), b.cast("double")
+    sign = F.signum(a) * F.when(b.cast("string").startswith("-"), -1.0).otherwise(1.0)  # -0.0 has one
+    over_zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).otherwise(sign * F.lit(float("inf")))
+    return F.when(b == 0, over_zero).otherwise(a / b)
+
+
 def name_family(name: Column) -> Column:
     """Thread name without its numbers: inner ones become N, a trailing one goes; a blank rest keeps the name."""
     inner = F.regexp_replace(name, "(?<=\\D)[-_]\\d+(?=\\D)", "-N")

@@ -74,9 +74,10 @@ def live_set_series(spark, d):
 def pinned_stagnant(spark, d):
     e = table(spark, d, "events")
     cap = F.broadcast(e.agg(F.max("value").alias("cap")))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     s = e.withColumn("prev", F.lag("value").over(w)).crossJoin(cap)  # one row
-    return s.groupBy("user_id").agg(F.count_if(F.col("value") >= F.col("cap") * 0.2).alias("pinned"), F.count_if((F.col("prev") - F.col("value")) / F.col("prev") < 0.02).alias("stagnant"), F.count(F.lit(1)).alias("n"))
+    freed = X.quotient(F.col("prev") - F.col("value"), F.col("prev"))
+    return s.groupBy("user_id").agg(F.count_if(F.col("value") >= F.col("cap") * 0.2).alias("pinned"), F.count_if(freed < 0.02).alias("stagnant"), F.count(F.lit(1)).alias("n"))
 
 
 @query("evenly_spaced_sample", """
