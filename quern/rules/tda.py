@@ -67,11 +67,14 @@ def families(t: Tables) -> DataFrame:
     return own.withColumn("family", X.name_family(F.col("name")))
 
 
-def oversized(t: Tables, c: Thresholds) -> DataFrame:
+def oversized(t: Tables, c: Thresholds, most: int | None = None) -> DataFrame:
+    """Families that are too large; most: only so many of a capture, the largest first."""
     own, of = families(t).where(~X.jvm_internal_name(F.col("name"))), [*DUMP, "family"]
     counted = own.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first"))
     bar = F.when(X.server_pool(F.col("family")), SERVER_POOL_BAR).otherwise(c.thread_leak_threshold)
-    rows = top_k(counted.withColumn("bar", bar).where("n >= bar"), DUMP, [F.desc("n"), F.col("first")], 2)
+    rows = counted.withColumn("bar", bar).where("n >= bar")
+    if most is not None:
+        rows = top_k(rows, DUMP, [F.desc("n"), F.col("first")], most)
     rows = with_evidence(rows, first_few(own, of, [F.col("start_line")], span("file", "start_line", note="name"), c.max_evidence), of)
     return findings(
         rows, "TDA003", "Thread leak", "THREAD_DUMP", F.lit("HIGH"), F.least(F.lit(0.9), 0.6 + (F.col("n") - F.col("bar")) / 200.0), F.format_string("%d threads named like %s", "n", "family"),
@@ -169,7 +172,8 @@ def hot_threads(t: Tables, c: Thresholds) -> DataFrame:
 
 
 def leaks(t: Tables, c: Thresholds) -> DataFrame:
-    return oversized(t, c).unionByName(growing(t, c))
+    # a report names the two largest families of a capture
+    return oversized(t, c, 2).unionByName(growing(t, c))
 
 
 RULES = [

@@ -43,3 +43,10 @@ def test_pinned_stagnant_over_zero(spark, tmp_path):
 def test_live_set_series_from_zero(spark, tmp_path):
     rows = {r.user_id: r for r in matches(spark, "live_set_series", tmp_path, events=ODD_EVENTS)}
     assert math.isnan(rows[1].rise) and rows[3].rise == -math.inf and rows[5].rise == -3 and rows[6].first == 2 and rows[8].rise is None
+
+
+def test_all_oversized_families(spark, tmp_path):
+    """Five families of a capture are too large, one of them by its last thread; another lacks one."""
+    customers = """SELECT row_number() OVER () - 1 AS c_custkey, 'S' || s AS c_mktsegment, n::INTEGER AS c_nationkey FROM range(2) a(s), (VALUES (1, 25), (3, 16), (7, 45), (8, 40), (9, 39), (11, 50), (12, 300)) f(n, k), range(k) r"""
+    rows = matches(spark, "rule_tda003_oversized", tmp_path, customer=customers)
+    assert sorted((r.family, r.threads) for r in rows if r.snapshot_id == "S1") == [("crew", 41), ("desk11", 50), ("desk12", 300), ("desk7", 45), ("desk8", 40)]
