@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import epoch_millis, extracted
 from ..operators.ranges import running
+from ..sources.workspace import Workspace
 from .exceptions import FRAME, frame
 
 # What lines of thread dumps look like.
@@ -38,8 +39,10 @@ def _state(explicit: F.Column, status: F.Column) -> F.Column:
     return F.coalesce(F.when(explicit.isin(*STATES), explicit), said)
 
 
-def parse(lines: DataFrame, range_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(dumps, threads). range_rows: lines that a task numbers, where a file has more of them than one task may hold.
+def parse(lines: DataFrame, range_rows: int | None = None, space: Workspace | None = None, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(dumps, threads). range_rows: lines that a task numbers, where a file has more of them than one task may hold. space: where to
+    write what is read more than once; without one it is computed again each time. columns: those of threads that are asked for beside
+    its place, all unless told; Spark computes no others.
 
     A capture begins at a date line, or at a marker line unless a date line opened it just before. The
     deadlock report after the threads repeats their headers and is kept out of them. Lines of a
@@ -47,12 +50,16 @@ def parse(lines: DataFrame, range_rows: int | None = None) -> tuple[DataFrame, D
     """
     key = ["snapshot_id", "file"]
     s, t = F.trim("text"), F.col("text")
+    # what a line begins with tells most lines apart, before any pattern is tried
+    says_found = F.lower(F.substring(s, 1, 6)) == "found "
+    is_date, is_marker, is_end = F.substring(s, 1, 1).between("0", "9") & s.rlike(DATE), s.startswith("Full thread dump ") & s.rlike(MARKER), says_found & s.rlike(TRAILER_END)
+    is_trailer = F.coalesce(F.col("trailer") == 1, F.lit(False))
     flags = lines.withColumns(
         {
-            "date": s.rlike(DATE),
-            "marker": s.rlike(MARKER),
-            "trailer": F.when(s.rlike(TRAILER), 1).when(s.rlike(TRAILER_END) | s.rlike(MARKER) | s.rlike(DATE), 0),
-            "header": t.rlike(HEADER) & ~s.endswith(":"),
+            "date": is_date,
+            "marker": is_marker,
+            "trailer": F.when(says_found & s.rlike(TRAILER), 1).when(is_end | is_marker | is_date, 0),
+            "header": t.startswith('"') & t.rlike(HEADER) & ~s.endswith(":"),
         }
     )
     # the last line that opened or filled a capture tells whether a marker continues a date line
@@ -62,17 +69,17 @@ def parse(lines: DataFrame, range_rows: int | None = None) -> tuple[DataFrame, D
     cut = running(seen, key, "line_no", sums={"dump": starts.cast("int")}, length=range_rows)
     within = [*key, "dump"]
     heads = cut.groupBy(*within).agg(
-        F.min_by(F.regexp_extract(s, MARKER, 1), F.when(F.col("marker"), F.col("line_no"))).alias("vm"),
+        F.min_by(F.when(F.col("marker"), F.regexp_extract(s, MARKER, 1)), F.when(F.col("marker"), F.col("line_no"))).alias("vm"),
         F.min_by(s, F.when(F.col("date"), F.col("line_no"))).alias("captured_at_raw"),
-        F.bool_or(s.rlike(TRAILER)).alias("vm_reported_deadlock"),
-        F.max(extracted(s, TRAILER_END).try_cast("int")).alias("stated"),
-        F.count_if(s.rlike(TRAILER)).alias("found"),
+        F.bool_or(is_trailer).alias("vm_reported_deadlock"),
+        F.max(F.when(is_end, extracted(s, TRAILER_END).try_cast("int"))).alias("stated"),
+        F.count_if(is_trailer).alias("found"),
         F.bool_or("marker").alias("has_marker"),
     )
-    body = running(cut.where(~F.col("in_trailer") & ~s.rlike(TRAILER_END)), within, "line_no", sums={"stanza": F.col("header").cast("int")}, length=range_rows)
+    body = running(cut.where(~F.col("in_trailer") & ~is_end), within, "line_no", sums={"stanza": F.col("header").cast("int")}, length=range_rows)
     kind = (
         F.when(F.col("header"), "header")
-        .when(s.rlike(STATE), "state")
+        .when(F.contains(s, F.lit("java.lang.Thread.State:")) & s.rlike(STATE), "state")
         .when(t.rlike(FRAME), "frame")
         .when(t.rlike(LOCK), "lock")
         .when(t.rlike(OWNED), "owned")
@@ -106,7 +113,7 @@ def parse(lines: DataFrame, range_rows: int | None = None) -> tuple[DataFrame, D
     )
     threads = kept.groupBy(*within, "stanza").agg(
         F.min_by("text", F.when(F.col("what") == "header", F.col("line_no"))).alias("head"),
-        F.min_by(F.regexp_extract(t, STATE, 1), F.when(F.col("what") == "state", F.col("line_no"))).alias("explicit"),
+        F.min_by(F.when(F.col("what") == "state", F.regexp_extract(t, STATE, 1)), F.when(F.col("what") == "state", F.col("line_no"))).alias("explicit"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == "frame", F.struct("line_no", frame(t, F.col("line_no")).alias("f"))))), lambda x: x["f"]).alias("stack"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("what").isin("lock", "owned"), lock))), lambda x: x["lock"]).alias("locks"),
         F.min("line_no").alias("start_line"),
@@ -138,6 +145,10 @@ def parse(lines: DataFrame, range_rows: int | None = None) -> tuple[DataFrame, D
         "start_line",
         "end_line",
     )
+    if columns is not None:
+        threads = threads.select(*within, "stanza", *columns)
+    if space is not None:
+        heads, threads = space.written(heads, "heads"), space.written(threads, "stanzas")
     full = heads.join(threads.groupBy(*within).agg(F.count(F.lit(1)).alias("n_threads")), within, "left").where("has_marker or vm_reported_deadlock or n_threads > 0")
     order = Window.partitionBy("snapshot_id").orderBy("file", "dump")
     dumps = full.select(
@@ -150,4 +161,6 @@ def parse(lines: DataFrame, range_rows: int | None = None) -> tuple[DataFrame, D
         F.coalesce("stated", "found").cast("int").alias("vm_deadlock_count"),
         F.coalesce("n_threads", F.lit(0)).alias("n_threads"),
     )
+    if space is not None:
+        dumps = space.written(dumps, "captures")
     return dumps, threads.join(dumps.select(*within, "dump_ord"), within)

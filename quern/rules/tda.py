@@ -155,7 +155,7 @@ def hot_threads(t: Tables, c: Thresholds) -> DataFrame:
     timed = t.threads.where("cpu_ms is not null and elapsed_s is not null and elapsed_s > 0").withColumn("who", F.coalesce("nid", "name"))
     ends = t.dumps.groupBy("snapshot_id").agg(F.min("dump_ord").alias("lo"), F.max("dump_ord").alias("hi"))
     marked = timed.join(ends, "snapshot_id")
-    last_of = lambda frame: frame.groupBy("snapshot_id", "who").agg(F.max_by(F.struct("name", "file", "start_line", "end_line", "cpu_ms", "elapsed_s", "stack"), "start_line").alias("x"))
+    last_of = lambda frame: frame.groupBy("snapshot_id", "who").agg(F.max_by(F.struct("name", "file", "start_line", "end_line", "cpu_ms", "elapsed_s"), "start_line").alias("x"))
     one = last_of(marked.where("dump_ord = lo and lo < hi")).withColumnRenamed("x", "a")
     two = last_of(marked.where("dump_ord = hi and lo < hi")).withColumnRenamed("x", "b")
     delta = two.join(one, ["snapshot_id", "who"]).withColumn("wall", F.col("b.elapsed_s") - F.col("a.elapsed_s")).withColumn("cpu", F.col("b.cpu_ms") - F.col("a.cpu_ms")).where("wall > 0 and cpu >= 0")
@@ -163,8 +163,10 @@ def hot_threads(t: Tables, c: Thresholds) -> DataFrame:
     single = marked.where(F.col("lo") == F.col("hi")).where(F.col("elapsed_s") >= c.cpu_min_elapsed_sec)
     average = single.select("snapshot_id", "name", "file", "start_line", "end_line", (F.col("cpu_ms") / (F.col("elapsed_s") * 1000)).alias("cores"), F.col("cpu_ms").alias("cpu"), F.lit("average").alias("variant_of"))
     all_of = delta.unionByName(average).where(~X.jvm_internal_name(F.col("name")))
-    total = F.sum("cpu").over(Window.partitionBy("snapshot_id"))
-    rows = top_k(all_of.withColumn("vm_share", F.col("cpu") / total).where(F.col("cores") >= c.cpu_min_cores), ["snapshot_id"], [F.desc("cores"), F.col("start_line")], c.cpu_hot_top_n)
+    # the few rows that are told meet the sums; a window over all rows of a snapshot would hold them in one task
+    total = all_of.groupBy("snapshot_id").agg(F.sum("cpu").alias("total"))
+    rows = top_k(all_of.where(F.col("cores") >= c.cpu_min_cores), ["snapshot_id"], [F.desc("cores"), F.col("start_line")], c.cpu_hot_top_n)
+    rows = rows.join(total, "snapshot_id").withColumn("vm_share", F.col("cpu") / F.col("total"))
     return findings(
         rows, "TDA006", "Hot thread", "THREAD_DUMP", F.when(F.col("cores") >= 0.95, "HIGH").otherwise("MEDIUM"), F.when(F.col("variant_of") == "delta", 0.85).otherwise(0.6), F.format_string("%s used %.2f cores", "name", "cores"),
         F.array(span("file", "start_line", "end_line")), {"cores": F.round("cores", 3), "vmShare": F.round("vm_share", 3), "basis": F.col("variant_of")}, ["Take a few stacks of this thread."],
