@@ -60,23 +60,31 @@ def parse(lines: DataFrame, range_rows: int | None = None, space: Workspace | No
             "marker": is_marker,
             "trailer": F.when(says_found & s.rlike(TRAILER), 1).when(is_end | is_marker | is_date, 0),
             "header": t.startswith('"') & t.rlike(HEADER) & ~s.endswith(":"),
+            "report_end": is_end,
+            "vm": F.when(is_marker, F.regexp_extract(s, MARKER, 1)),
+            "raw": F.when(is_date, s),
+            "stated": F.when(is_end, extracted(s, TRAILER_END).try_cast("int")),
         }
     )
+    if space is not None:
+        flags = space.written(flags, "lines")
     # the last line that opened or filled a capture tells whether a marker continues a date line
     opened = F.when(F.col("date"), "date").when(F.col("marker") | F.col("header"), "other")
     seen = running(flags, key, "line_no", lasts={"within": F.col("trailer")}, before={"opened": opened}, length=range_rows).withColumn("in_trailer", F.coalesce(F.col("within") == 1, F.lit(False)))
     starts = F.col("date") | F.col("marker") & (F.coalesce("opened", F.lit("other")) == "other")
-    cut = running(seen, key, "line_no", sums={"dump": starts.cast("int")}, length=range_rows)
+    inside = ~F.col("in_trailer") & ~F.col("report_end")
+    # stanzas are numbered through the file, so one pass numbers captures and stanzas
+    cut = running(seen, key, "line_no", sums={"dump": starts.cast("int"), "stanza": (F.col("header") & inside).cast("int")}, length=range_rows)
     within = [*key, "dump"]
     heads = cut.groupBy(*within).agg(
-        F.min_by(F.when(F.col("marker"), F.regexp_extract(s, MARKER, 1)), F.when(F.col("marker"), F.col("line_no"))).alias("vm"),
-        F.min_by(s, F.when(F.col("date"), F.col("line_no"))).alias("captured_at_raw"),
+        F.min_by("vm", F.when(F.col("marker"), F.col("line_no"))).alias("vm"),
+        F.min_by("raw", F.when(F.col("date"), F.col("line_no"))).alias("captured_at_raw"),
         F.bool_or(is_trailer).alias("vm_reported_deadlock"),
-        F.max(F.when(is_end, extracted(s, TRAILER_END).try_cast("int"))).alias("stated"),
+        F.max("stated").alias("stated"),
         F.count_if(is_trailer).alias("found"),
         F.bool_or("marker").alias("has_marker"),
     )
-    body = running(cut.where(~F.col("in_trailer") & ~is_end), within, "line_no", sums={"stanza": F.col("header").cast("int")}, length=range_rows)
+    body = cut.where(inside)
     kind = (
         F.when(F.col("header"), "header")
         .when(F.contains(s, F.lit("java.lang.Thread.State:")) & s.rlike(STATE), "state")
@@ -118,7 +126,7 @@ def parse(lines: DataFrame, range_rows: int | None = None, space: Workspace | No
         F.transform(F.array_sort(F.collect_list(F.when(F.col("what").isin("lock", "owned"), lock))), lambda x: x["lock"]).alias("locks"),
         F.min("line_no").alias("start_line"),
         F.max("line_no").alias("end_line"),
-    )
+    ).where("head is not null")  # lines of a capture before its first header are no thread's
     attrs = F.regexp_extract("head", HEADER, 2)
     status = F.trim(
         F.regexp_replace(
